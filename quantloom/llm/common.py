@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def partitions(spark: SparkSession) -> int:
 def chunks(batch: pa.RecordBatch, text: int = 1, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about ``limit`` bytes at most (or one row)."""
     col = batch.column(text)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
     at = total = 0
     for i, n in enumerate(sizes.tolist()):
         if i > at and total + n > limit:
@@ -213,9 +214,9 @@ def ranked(spark: SparkSession, df: DataFrame, keys: list[str], order: list[str]
                 for c in cols:
                     if b.num_rows > 1:
                         a, z = c.slice(0, len(c) - 1), c.slice(1)
-                        same = pa.compute.fill_null(pa.compute.equal(a, z), False)
-                        both = pa.compute.and_(pa.compute.is_null(a), pa.compute.is_null(z))
-                        new[1:] |= ~pa.compute.or_(same, both).to_numpy(zero_copy_only=False)
+                        same = pc.fill_null(pc.equal(a, z), False)
+                        both = pc.and_(pc.is_null(a), pc.is_null(z))
+                        new[1:] |= ~pc.or_(same, both).to_numpy(zero_copy_only=False)
                 first = tuple(c[0].as_py() for c in cols)
                 new[0] = first != last
                 last = tuple(c[len(c) - 1].as_py() for c in cols)
