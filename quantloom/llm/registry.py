@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, sharding
+from . import decontamination, packing, quality_rules, secrets, sharding, token_files
 
 
 def queries():
     return {
+        "op1_packed_token_files": token_files.query,
         "op3_ring_shards": sharding.query,
+        "op4_guess_cost_secrets": secrets.query,
+        "op6_best_fit_packing": packing.query,
         "op7_winnowing_decontamination": decontamination.query,
         "op9_rule_ledger": quality_rules.query,
     }

@@ -111,8 +111,8 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str =
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             shard = np.empty(b.num_rows, np.int32)
             seg = np.empty(b.num_rows, np.int64)
-            for i, (arc, high, part, cum) in enumerate(zip(*(col[n].to_pylist() for n in ("arc", "high", "part", "cum_size")), strict=True)):
-                at = starts[(arc * 2 + high, part)] + cum
+            for i, (arc, high, part, cum, size) in enumerate(zip(*(col[n].to_pylist() for n in ("arc", "high", "part", "cum_size", "size")), strict=True)):
+                at = starts[(arc * 2 + high, part)] + cum + size // 2  # a row goes where its middle lies
                 k = min(bisect_right(ends[arc], at), len(ends[arc]) - 1)
                 shard[i], seg[i] = cuts[arc][k][1], k
             yield pa.RecordBatch.from_arrays([col["id"], col["size"], col["crc"], pa.array(shard), col["high"], col["arc"], col["part"], pa.array(seg), col["idx"]], names=["id", "size", "crc", "shard", "high", "arc", "part", "seg", "idx"])
