@@ -240,3 +240,72 @@ def ranked(spark: SparkSession, df: DataFrame, keys: list[str], order: list[str]
     rows, path = stored(spark, dealt.mapInArrow(number, schema), label)
     runs = rows.groupBy("part", *keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
     return rows, runs, path
+
+
+#: Bits of a bitmap: 16 MB however many values go in. A fuller one passes more rows on to the exact join behind it.
+BITMAP_LOG2 = 27
+SLICE_LOG2 = 16
+
+
+class Bitmap:
+    """A fixed-size set of 64-bit hashes with false positives only, sent to the executors as a prefilter."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def __contains__(self, _):  # pragma: no cover - use has()
+        raise TypeError("use has()")
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        slot = x.astype(np.uint64) >> np.uint64(64 - BITMAP_LOG2)
+        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def bitmap(spark: SparkSession, df: DataFrame, col: str):
+    """A broadcast Bitmap of a long column, built in slices by the executors; the driver only joins the slices."""
+    slot = F.shiftrightunsigned(F.col(col), 64 - BITMAP_LOG2)
+    slices = df.select(F.shiftrightunsigned(slot, SLICE_LOG2).alias("s"), slot.bitwiseAND((1 << SLICE_LOG2) - 1).alias("b")).repartition(partitions(spark), "s")
+
+    def build(batches):
+        have: dict[int, np.ndarray] = {}
+        for b in batches:
+            s, bit = (b.column(i).to_numpy() for i in range(2))
+            for one in np.unique(s).tolist():
+                at = have.setdefault(one, np.zeros(1 << SLICE_LOG2, bool))
+                at[bit[s == one]] = True
+        for s, on in have.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["s", "bytes"])
+
+    bits = np.zeros(1 << (BITMAP_LOG2 - 3), np.uint8)
+    width = 1 << (SLICE_LOG2 - 3)
+    for r in slices.mapInArrow(build, "s bigint, bytes binary").groupBy("s").agg(F.collect_list("bytes").alias("p")).toLocalIterator():
+        for p in r["p"]:
+            bits[r["s"] * width : (r["s"] + 1) * width] |= np.frombuffer(p, np.uint8)
+    return spark.sparkContext.broadcast(Bitmap(bits))
+
+
+def components(spark: SparkSession, edges: DataFrame, label: str = "components") -> DataFrame:
+    """(v, root): the least vertex reachable, for each vertex of edges (a, b), by alternating large and small stars.
+
+    All steps are grouped minima and joins; the driver sees two numbers a round. Each round is written to the shared
+    folder, so its lineage ends there.
+    """
+    now, path = stored(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    mark = F.xxhash64("u", "v").cast("decimal(20,0)")
+    state = None
+    while True:
+        # Large star: every larger neighbour of u goes to the least vertex around u.
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # Small star: u and its smaller neighbours go to the least of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        then, then_path = stored(spark, small, label)
+        said = then.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("h")).first()
+        drop_paths(spark, path)
+        now, path = then, then_path
+        if state == said:
+            break
+        state = said
+    return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select(F.col("v"), F.col("v").alias("root")).distinct())

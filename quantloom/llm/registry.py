@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, secrets, sharding, token_files
+from . import decontamination, near_dedup, packing, quality_rules, secrets, sharding, token_files
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_guess_cost_secrets": secrets.query,
         "op6_best_fit_packing": packing.query,
         "op7_winnowing_decontamination": decontamination.query,
+        "op8_odd_sketch_near_dedup": near_dedup.query,
         "op9_rule_ledger": quality_rules.query,
     }
 
@@ -19,5 +20,6 @@ def queries():
 def oracle_sql():
     return {
         "op7_winnowing_decontamination": decontamination.ORACLE_SQL,
+        "op8_odd_sketch_near_dedup": near_dedup.ORACLE_SQL,
         "op9_rule_ledger": quality_rules.ORACLE_SQL,
     }
