@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, quality_rules, secrets, sharding, token_files
+from . import decontamination, near_dedup, packing, phrases, quality_rules, secrets, sharding, token_files
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_packed_token_files": token_files.query,
         "op3_ring_shards": sharding.query,
         "op4_guess_cost_secrets": secrets.query,
+        "op5_phrase_automata": phrases.query,
         "op6_best_fit_packing": packing.query,
         "op7_winnowing_decontamination": decontamination.query,
         "op8_odd_sketch_near_dedup": near_dedup.query,
@@ -19,6 +20,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op5_phrase_automata": phrases.ORACLE_SQL,
         "op7_winnowing_decontamination": decontamination.ORACLE_SQL,
         "op8_odd_sketch_near_dedup": near_dedup.ORACLE_SQL,
         "op9_rule_ledger": quality_rules.ORACLE_SQL,
