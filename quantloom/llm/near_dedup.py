@@ -9,8 +9,8 @@ bucket's first vertex; each vertex confirms its best-estimated link, which joins
 takes the buckets that still hold several components and compares members of different components, in blocks of
 ``BLOCK`` rows, so that no colliding pair that could still join two components goes untested.
 
-Losses: a pair at similarity s misses all bands with probability (1 - s^ROWS)^BANDS (3e-7 at 0.85), and the sketch filter
-(``LEAST_ESTIMATE``, five standard deviations under 0.85). Vertices are 64-bit hashes of sets.
+Losses: a pair at similarity s misses all bands with probability (1 - s^rows)^bands (3e-7 at 0.85), and the sketch filter
+lies five standard deviations under the threshold. Vertices are 64-bit hashes of sets.
 
 Defined results: null and empty texts and those without words have empty sets and link with nothing; texts shorter than a
 shingle are one shingle; equal sets are linked; rows that share an id are each judged on their text; null ids never name
@@ -31,10 +31,10 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-BANDS, ROWS = 32, 6
 SAMPLES = 256
 SKETCH_BITS = 512
-LEAST_ESTIMATE = 0.73
+#: Standard deviations that a pair's estimate may lie under the threshold.
+DEVIATIONS = 5
 BLOCK = 1024
 #: Pairs of one vertex that one group confirms.
 FAN = 256
@@ -44,8 +44,15 @@ MULTIPLY = (_rng.randint(0, 1 << 31, SAMPLES, np.int64) * 2 + 1).astype(np.uint3
 ADD = _rng.randint(0, 1 << 32, SAMPLES, np.int64).astype(np.uint32)
 
 
-def most_differing(least: float, bits: int = SKETCH_BITS, samples: int = SAMPLES) -> int:
-    """Differing sketch bits at an estimated similarity of ``least``: J = 1 + bits/(4 samples) ln(1 - 2z/bits)."""
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and rows that miss a pair at the threshold with a probability of about 3e-7."""
+    return (32, 6) if percent >= 85 else (40, 5) if percent >= 80 else (64, 4)
+
+
+def most_differing(percent: int, bits: int = SKETCH_BITS, samples: int = SAMPLES) -> int:
+    """Differing sketch bits at the least estimate, from J = 1 + bits/(4 samples) ln(1 - 2z/bits)."""
+    at = percent / 100
+    least = at - DEVIATIONS * math.sqrt(at * (1 - at) / samples)
     return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - least) / bits)))
 
 
@@ -73,12 +80,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit bucket key per band, distinct between bands."""
-    v = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)[None, :] * C.ODD
+    v = sig[:, : bands * rows].reshape(len(sig), bands, rows).astype(np.uint64)
+    key = np.arange(bands, dtype=np.uint64)[None, :] * C.ODD
     with np.errstate(over="ignore"):
-        for r in range(ROWS):
+        for r in range(rows):
             key = C.mix(key ^ (v[:, :, r] + np.uint64(r + 1) * C.ODD))
     return key
 
@@ -92,11 +99,11 @@ def odd_sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(sig), SKETCH_BITS), axis=1)
 
 
-def describe(docs: DataFrame, words: int) -> DataFrame:
+def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, idh, v, n, bands, sketch) of (id, text) rows; v is null for empty sets."""
-    src = docs.select("id", "text", F.xxhash64(F.col("id").cast("string")).alias("idh"))
-    long = T.LongType()
-    schema = T.StructType([src.schema["id"], T.StructField("idh", long), T.StructField("v", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long)), T.StructField("sketch", T.BinaryType())])
+    src = docs.select("id", "text", F.xxhash64(F.col("id").cast("string")).alias("idh"), F.xxhash64("text").alias("th"))
+    long, shape = T.LongType(), bands_for(percent)
+    schema = T.StructType([src.schema["id"], T.StructField("idh", long), T.StructField("v", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long)), T.StructField("sketch", T.BinaryType()), T.StructField("th", long)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +117,9 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 if full:
                     sig = signatures(full)
                     rows = np.flatnonzero(keep).tolist()
-                    for i, k, o in zip(rows, C.to_signed(band_keys(sig)), odd_sketches(sig), strict=True):
+                    for i, k, o in zip(rows, C.to_signed(band_keys(sig, *shape)), odd_sketches(sig), strict=True):
                         bands[i], sketch[i] = k, o.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(v, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(v, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), b.column(3)], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -175,7 +182,7 @@ def cross_pairs(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     cells = cells.select("key", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "c", "v", "n", "root", "sketch")
     dealt = cells.repartition(C.partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    most = most_differing(LEAST_ESTIMATE)
+    most = most_differing(percent)
 
     def pairs_of(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(rows)
@@ -218,9 +225,12 @@ def cross_pairs(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame
 
 
 def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is its component's)."""
+    """One row per document: id, n_shingles, component_id (smallest id reachable), kept (the id is its component's).
+
+    ``text_hash`` (xxhash64 of the text) tells rows of one id apart.
+    """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    described, _ = C.stored(spark, describe(docs, words), "near-described")
+    described, _ = C.stored(spark, describe(docs, words, percent), "near-described")
     reps, reps_path = C.stored(spark, described.filter("v IS NOT NULL").groupBy("v").agg(F.first("idh").alias("idh"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-vertices")
 
     # Buckets of two and more vertices, with their first vertex.
@@ -235,7 +245,7 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     words64 = [F.conv(F.hex(F.substring(c, i * 8 + 1, 8)), 16, -10).cast("long") for c in ("s_a", "s_b") for i in range(SKETCH_BITS // 64)]
     half = len(words64) // 2
     differ = sum((F.bit_count(words64[i].bitwiseXOR(words64[half + i])) for i in range(1, half)), F.bit_count(words64[0].bitwiseXOR(words64[half])))
-    stars = stars.withColumn("z", differ).filter(F.col("z") <= most_differing(LEAST_ESTIMATE))
+    stars = stars.withColumn("z", differ).filter(F.col("z") <= most_differing(percent))
     best = stars.groupBy("b").agg(F.min(F.struct("z", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
     best, best_path = C.stored(spark, best, "near-stars")
     links = confirmed(spark, docs, reps, best, words, percent)
@@ -256,14 +266,14 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     final, _ = C.stored(spark, final, "near-final")
     C.drop_paths(spark, members_path, best_path, roots_path, pairs_path, reps_path)
 
-    rows = described.select("id", "n", "v").join(final, "v", "left")
+    rows = described.select("id", "n", "v", "th").join(final, "v", "left")
     names = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("c"))
     out = rows.join(names, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(spark, C.table(spark, sf_dir, "documents"))
+    return cluster(spark, C.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 

@@ -19,10 +19,13 @@ hash; an empty table gives no blocks. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ HEAD = struct.Struct("<4sB3xQQ")
 BLOCK_IDS = 1 << 16
 END_ID = 2
 #: Pieces a worker remembers; when there are more it starts afresh.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 900_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -48,6 +51,10 @@ def bits_for(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """64 ids at a time fill ``bits`` whole words; each of the 64 places is one vectorised step."""
     n = -(-len(ids) // 64)
+    if bits == 16:  # the same layout, at once
+        out = np.zeros(n * 64, "<u2")
+        out[: len(ids)] = ids
+        return out.tobytes()
     grid = np.zeros((n, 64), np.uint64)
     grid.reshape(-1)[: len(ids)] = ids
     words = np.zeros((n, bits), np.uint64)
@@ -60,6 +67,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
+    if bits == 16:
+        return np.frombuffer(data, "<u2", n).astype(np.uint32)
     words = np.frombuffer(data, "<u8").reshape(-1, bits)
     out = np.empty((len(words), 64), np.uint32)
     mask = np.uint64((1 << bits) - 1)
@@ -104,6 +113,25 @@ PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{BL
 OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏ]")
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Pieces(dict):
+    """Ids of pieces as bytes; a piece not seen yet goes through the library's BPE model."""
+
+    def __init__(self, model, kind: str):
+        self.tokenize, self.kind, self.letters = model.tokenize, kind, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self[piece] = array(self.kind, [t.id for t in self.tokenize(spelled)]).tobytes()
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian uint16 or uint32 arrays, through a byte-level BPE file of the tokenizers library."""
 
@@ -113,24 +141,33 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        small = self.size <= 1 << 16
+        self.dtype = np.dtype("<u2") if small else np.dtype("<u4")
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        parts = json.loads(self.tok.to_str())
+        first = parts["pre_tokenizer"] or {}
+        #: Texts can be cut into pieces only if the file does no more than split by the byte-level pattern.
+        self.plain = parts["normalizer"] is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and sys.byteorder == "little"
+        self.pieces = Pieces(self.tok.model, "H" if small else "I")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        find, cache = PIECE.findall, self.cache
-        split = [None if t is None or OTHER.search(t) or any(a in t for a in self.added) else find(t) for t in texts]
-        new = list({p for s in split if s for p in s if p not in cache})
-        if new:
-            kind = self.dtype
-            cache.update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        get = cache.__getitem__
-        return [np.frombuffer(b"" if t is None else self.whole(t) if s is None else b"".join(map(get, s)), self.dtype) for t, s in zip(texts, split, strict=True)]
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        find, get = PIECE.findall, self.pieces.__getitem__
+        end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        out = []
+        for t in texts:
+            if t is None:
+                ids = b""
+            elif not self.plain or OTHER.search(t) or any(a in t for a in self.added):
+                ids = self.whole(t)
+            else:
+                ids = b"".join(map(get, find(t)))
+            out.append(np.frombuffer(ids + end, self.dtype))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -162,7 +199,6 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocab: str, end_id: i
         shard, enc = TaskContext.get().partitionId(), encoder(vocab)
         bits = bits_for(max(enc.size, end_id + 1))
         block, start, have, ids, held = 0, 0, 0, [], []
-        end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
             row = [[shard], [block], [start], [have]]
@@ -170,7 +206,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, vocab: str, end_id: i
 
         for batch in batches:
             for b in C.chunks(batch):
-                got = [np.concatenate([x.astype(np.uint32), end]) for x in enc.encode(b.column(1).to_pylist())]
+                got = enc.encode(b.column(1).to_pylist(), end_id)
                 at = 0
                 for i, x in enumerate(got):
                     held.append(x)
