@@ -2,7 +2,7 @@
 
 Names such as ``cheappills`` are split by a unigram Viterbi search: word counts come from the pages' own html, joined to the
 substrings of each distinct name, so the model is never sent to the executors whole. A multinomial naive Bayes is trained
-on the distinct hosts: those with a seed word are the blocked class. Every page without a rule gets the sum of its
+on the distinct hosts: those with a seed word are the blocked class, and seeds count as seen in it. Every page without a rule gets the sum of its
 host's and path's log odds.
 
 Hot hosts and paths are judged once and joined back. Defined results: a null url or one without ``://`` has empty host and
@@ -34,6 +34,9 @@ tracking viagra virus warez win xxx""".split()
 #: Of these only the unmistakable ones make a host an example of the blocked class.
 STRONG = frozenset("adult ads bet bets betting bingo camgirls casino cialis escort gamble gambling hentai jackpot keygen levitra lottery malware nude payday phish phishing pill pills poker porn porno scam sex sexy slots spam viagra warez xxx".split())
 
+#: Times that each strong seed counts as seen in the blocked class besides the hosts (in its own estimate only).
+SEED_COUNT = 20
+
 LONGEST = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAME = r"[a-z\x{80}-\x{10FFFF}]+"
@@ -143,7 +146,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: tuple[tuple[str, str], .
     sums = seen.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("v")).first()
     classes = examples.agg(F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     prior = math.log((classes["b"] + 1) / (classes["n"] - classes["b"] + 2))
-    odds = F.log((F.col("b") + 1.0) / (sums["b"] + sums["v"] + 1.0)) - F.log((F.col("a") + 1.0) / (sums["a"] + sums["v"] + 1.0))
+    seeded = F.when(F.col("token").isin(*strong), F.lit(float(SEED_COUNT))).otherwise(0.0)
+    odds = F.log((F.col("b") + seeded + 1.0) / (sums["b"] + sums["v"] + 1.0)) - F.log((F.col("a") + 1.0) / (sums["a"] + sums["v"] + 1.0))
     scores = tokens.join(seen.select("token", odds.alias("o")), "token").groupBy("kind", "key").agg(F.sum("o").alias("o"))
     scores, _ = C.stored(spark, scores, "url-scores")
     part = lambda kind, to: scores.filter(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("o").alias(to))
