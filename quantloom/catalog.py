@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.plans import technical
+
+PLANS = (technical,)
+
 
 def queries():
-    return {}
+    return {name: fn for plan in PLANS for name, fn in plan.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return technical.bollinger_signal(spark, sf_dir)

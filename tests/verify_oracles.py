@@ -80,7 +80,11 @@ def main(args):
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     oracle = e.oracle_sql()
+    skip = [n[1:] for n in names if n.startswith("~")]
+    names = [n for n in names if not n.startswith("~")]
     for name, q in e.queries().items():
+        if any(name.startswith(s) for s in skip):
+            continue
         if names and not any(name.startswith(n) for n in names):
             continue
         began = time.time()
