@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import technical
+from quantloom.plans import panels, technical
 
-PLANS = (technical,)
+PLANS = (technical, panels)
 
 
 def queries():
