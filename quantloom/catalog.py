@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import panels, technical
+from quantloom.plans import panels, performance, technical
 
-PLANS = (technical, panels)
+PLANS = (technical, panels, performance)
 
 
 def queries():
