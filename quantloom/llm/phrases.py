@@ -7,10 +7,11 @@ A window is ``WINDOW`` consecutive words; a word goes if a window over it also s
 2. Such windows are confirmed: their hashes meet by hash, in compressed column blobs, and each recurring window learns its
    first place. Windows with very many occurrences are found before from combined counts and sent to all tasks: there are
    at most (all windows) / (number of blocks), which is a constant number of windows per block of text.
-3. Documents are dealt into blocks of bounded text. The windows of a block that recur are compiled into Aho-Corasick
-   automata over the block's own vocabulary (one symbol per word), ``PATTERNS`` windows to an automaton, and all documents
-   of the block are streamed through them. Each occurrence that is not the first marks its words. A pattern is taken from
-   the block's own text, so a block holds each pattern once however many of its documents repeat it.
+3. Documents are dealt into blocks of bounded text. The fingerprint phrases of the windows that recur in a block are
+   compiled into Aho-Corasick automata over the block's own vocabulary, ``PATTERNS`` phrases to an automaton, and all
+   documents of the block are streamed through them. The windows over each occurrence are compared whole with the recurring
+   ones, and each that is not the first marks its words. Phrases are taken from the block's own text, so a block holds
+   each once however many of its documents repeat it.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; null ids come before all
 others; rows that share an id count as one document (only the start decides), rows that repeat whole are judged alike. An
@@ -34,12 +35,11 @@ from . import common as C
 WINDOW = 20
 GRAM = 10
 BLOCK_BYTES = 4 << 20
-#: Windows in one automaton: about 80 MB.
+#: Phrases in one automaton: about 80 MB.
 PATTERNS = 50_000
-#: Words of a block that get one character each.
-MOST_SYMBOLS = 1_000_000
-#: Least count of a window that is sent to all blocks.
-HOT = 64
+#: A window is sent to all blocks from this many occurrences: HOT, and HOT_BLOCKS for each block up to HOT_MOST, yet never
+#: less than one for each block.
+HOT, HOT_BLOCKS, HOT_MOST = 64, 16, 200_000
 FIRST = -(1 << 63)
 
 
@@ -100,72 +100,95 @@ BLOBS = "to bigint, data binary"
 
 
 class Automata:
-    """Aho-Corasick automata over recurring windows of one block, in shards of PATTERNS windows."""
+    """Aho-Corasick automata over phrases of one block, in shards of PATTERNS phrases."""
 
-    def __init__(self, texts: list[str], per: int, patterns: list[tuple[int, int]], window: int):
-        self.texts, self.per, self.patterns, self.window = texts, per, patterns, window
+    def __init__(self, texts: list[str], phrases: list[tuple[int, int]], words: int):
+        self.texts, self.phrases, self.words = texts, phrases, words
 
-    def occurrences(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(document, starts, pattern numbers), once for each document and shard with any."""
+    def occurrences(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(document, word positions of phrases), once for each document and shard with any."""
         import ahocorasick
 
-        for at in range(0, len(self.patterns), PATTERNS):
-            machine = ahocorasick.Automaton()
-            for k, (d, s) in enumerate(self.patterns[at : at + PATTERNS], at):
-                machine.add_word(self.texts[d][s * self.per : (s + self.window) * self.per], k)
+        for at in range(0, len(self.phrases), PATTERNS):
+            machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for d, s in self.phrases[at : at + PATTERNS]:
+                machine.add_word(self.texts[d][2 * s : 2 * (s + self.words)])
             machine.make_automaton()
             for d, t in enumerate(self.texts):
-                if len(t) >= self.window * self.per and (hits := list(machine.iter(t))):
-                    found = np.array(hits, np.int64)
-                    yield d, (found[:, 0] + 1) // self.per - self.window, found[:, 1]
+                if len(t) >= 2 * self.words and (ends := [e for e, _ in machine.iter(t)]):
+                    yield d, (np.array(ends, np.int64) + 1) // 2 - self.words
 
 
-def symbols(docs: list[list[bytes]]) -> tuple[list[str], int]:
-    """Each document as a string over the block's own vocabulary, and the characters a word takes: one, or two where there
-    are more words than characters (a high and a low one of disjoint ranges, so that matches stay aligned)."""
-    words = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    if len(words) <= MOST_SYMBOLS:
-        code = {w: chr(i + 1 if i < 0xD7FF else i + 0x801) for w, i in words.items()}
-    else:
-        code = {w: chr(1 + (i >> 16)) + chr(0x10000 + (i & 0xFFFF)) for w, i in words.items()}
-    return ["".join(map(code.__getitem__, d)) for d in docs], 1 if len(words) <= MOST_SYMBOLS else 2
+def symbols(flat: C.Flat) -> list[str]:
+    """Each document as a string over the block's own vocabulary, two characters to a word.
 
+    The first is one of 256 and the second tells its words apart, so no node of an automaton has many children (they are
+    searched one by one); the ranges are disjoint, so matches stay aligned to words.
+    """
+    _, code = np.unique(flat.h, return_inverse=True)
+    pair = np.stack([1 + (code & 255), 0x10000 + (code >> 8)], axis=1).astype("<u4")
+    return [pair[s:e].tobytes().decode("utf-32-le") for s, e in zip(flat.starts[:-1].tolist(), flat.starts[1:].tolist(), strict=True)]
 
-def locate(ids: np.ndarray, docs: list[list[bytes]], records: list[np.ndarray], hot: tuple[np.ndarray, ...], window: int) -> list[np.ndarray]:
-    """Which words of each document go. records: id, start, tag, first id, first start of recurring windows here."""
+
+def locate(ids: np.ndarray, docs: list[list[bytes]], records: list[np.ndarray], hot: tuple[np.ndarray, ...], window: int, gram: int) -> list[np.ndarray]:
+    """Which words of each document go. records: id, start, tag, first id, first start of recurring windows here.
+
+    The phrases compiled are the fingerprint grams of the recurring windows: wherever such a window stands, its phrase
+    stands at the same place in it. The windows over each occurrence are then compared whole with the recurring ones.
+    """
     gone = [np.zeros(len(d), bool) for d in docs]
     rid, start, tag, fid, fstart = records
+    if not len(rid) and not len(hot[0]):
+        return gone
     rows: dict[int, list[int]] = {}
     for d, i in enumerate(ids.tolist()):
         rows.setdefault(i, []).append(d)
-    flat = C.Flat(docs) if len(hot[0]) or any(len(r) > 1 for r in rows.values()) else None
-    wh, full = flat.windows(window) if flat is not None else (None, None)
-    patterns: list[tuple[int, int]] = []
+    flat = C.Flat(docs)
+    wh, _ = flat.windows(window)
+    grams, _, least, full = C.winnow(flat, gram, window)
+    places: list[int] = []
     firsts: list[tuple[int, int]] = []
     for i, s, g, fi, fs in zip(*(x.tolist() for x in (rid, start, tag, fid, fstart)), strict=True):
         for d in rows.get(i, ()):
-            # Of several rows with one id, the pattern stands in those whose window has its tag.
+            # Of several rows with one id, the window stands in those whose window has its tag.
             if s + window <= len(docs[d]) and (len(rows[i]) == 1 or int(wh[flat.starts[d] + s]) & 0xFFFFFFFF == g):
-                patterns.append((d, s))
+                places.append(int(flat.starts[d]) + s)
                 firsts.append((fi, fs))
                 break
     if len(hot[0]):
         at = np.flatnonzero(full)
         at = at[member(wh[at], hot[0])]
         _, one = np.unique(wh[at], return_index=True)
-        for p in at[one].tolist():
-            k = int(np.searchsorted(hot[0], wh[p]))
-            patterns.append((int(flat.doc[p]), int(flat.pos[p])))
-            firsts.append((int(hot[1][k]), int(hot[2][k])))
-    if not patterns:
+        k = np.searchsorted(hot[0], wh[at[one]])
+        places += at[one].tolist()
+        firsts += list(zip(hot[1][k].tolist(), hot[2][k].tolist(), strict=True))
+    if not places:
         return gone
-    first_id, first_start = (np.array([f[k] for f in firsts], np.int64) for k in range(2))
-    for d, starts, k in Automata(*symbols(docs), patterns, window).occurrences():
-        later = (first_id[k] != ids[d]) | (first_start[k] != starts)
-        edge = np.zeros(len(docs[d]) + 1, np.int64)
-        np.add.at(edge, starts[later], 1)
-        np.add.at(edge, starts[later] + window, -1)
-        gone[d] |= np.cumsum(edge)[:-1] > 0
+    texts = symbols(flat)
+    at = np.array(places, np.int64)
+    doc, pos = flat.doc[at], flat.pos[at]
+    whole = {texts[d][2 * s : 2 * (s + window)]: f for d, s, f in zip(doc.tolist(), pos.tolist(), firsts, strict=True)}
+    recurring = np.unique(wh[at])
+    place = at.copy()
+    for j in range(window - gram, -1, -1):
+        place = np.where(grams[at + j] == least[at], at + j, place)
+    _, one = np.unique(least[at], return_index=True)
+    phrases = list(zip(flat.doc[place[one]].tolist(), flat.pos[place[one]].tolist(), strict=True))
+    candidates: dict[int, list[np.ndarray]] = {}
+    for d, p in Automata(texts, phrases, gram).occurrences():
+        candidates.setdefault(d, []).append(p)
+    for d, found in candidates.items():
+        n = len(docs[d])
+        s = np.unique((np.concatenate(found)[:, None] - np.arange(window - gram + 1)[None, :]).reshape(-1))
+        s = s[(s >= 0) & (s + window <= n)]
+        s = s[member(wh[flat.starts[d] + s], recurring)]
+        t, me = texts[d], int(ids[d])
+        later = [i for i in s.tolist() if (f := whole.get(t[2 * i : 2 * (i + window)])) is not None and f != (me, i)]
+        if later:
+            edge = np.zeros(n + 1, np.int64)
+            edge[later] += 1
+            edge[np.array(later) + window] -= 1
+            gone[d] = np.cumsum(edge)[:-1] > 0
     return gone
 
 
@@ -175,7 +198,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
-    hot_at = max(HOT, n_blocks)
+    hot_at = max(HOT, n_blocks, min(HOT_BLOCKS * n_blocks, HOT_MOST))
 
     def part_of(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(40)).astype(np.int64) % parts
@@ -273,7 +296,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     def finish(ids: list, texts: list, blobs: list[bytes]) -> pa.RecordBatch:
         docs = [C.ascii_words(t) for t in texts]
         keys = np.array([FIRST if i is None else i for i in ids], np.int64)
-        gone = locate(keys, docs, from_blobs(blobs, ("i8", "i4", "u4", "i8", "i4")), hot_known.value, window)
+        gone = locate(keys, docs, from_blobs(blobs, ("i8", "i4", "u4", "i8", "i4")), hot_known.value, window, gram)
         kept = [b" ".join(w for w, x in zip(d, g.tolist(), strict=True) if not x) if g.any() else b" ".join(d) for d, g in zip(docs, gone, strict=True)]
         out = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode("utf-8", "surrogatepass") for k in kept]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(out, pa.string())], names=schema.names)

@@ -183,6 +183,7 @@ def plain_removed(rows, w=20):
 @pytest.mark.parametrize("hot", [2, 64])
 def test_phrases(spark, docs, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(phrases, "HOT", hot)
+    monkeypatch.setattr(phrases, "HOT_BLOCKS", 1)
     monkeypatch.setattr(phrases, "BLOCK_BYTES", 4000 if hot == 64 else 1 << 20)
     want = plain_removed(rows)
     got = phrases.dedup(spark, docs).collect()
@@ -192,15 +193,12 @@ def test_phrases(spark, docs, rows, empty, monkeypatch, hot):
     assert phrases.dedup(spark, empty).count() == 0
 
 
-def test_phrase_shards_and_wide_vocabulary(monkeypatch):
+def test_phrase_shards(monkeypatch):
     monkeypatch.setattr(phrases, "PATTERNS", 3)
-    monkeypatch.setattr(phrases, "MOST_SYMBOLS", 5)
-    docs = [[b"%d" % (i % 9) for i in range(40)], [b"%d" % (i % 9) for i in range(3, 30)]]
-    texts, per = phrases.symbols(docs)
-    assert per == 2
-    patterns = [(0, s) for s in range(9)]
-    found = {(d, int(s)) for d, starts, _ in phrases.Automata(texts, per, patterns, 20).occurrences() for s in starts}
-    assert found == {(0, s) for s in range(21)} | {(1, s) for s in range(8)}
+    docs = [[b"%d" % (i % 9) for i in range(40)], [b"%d" % (i % 9) for i in range(3, 30)]] + [[b"x%d" % i for i in range(1000)]]
+    texts = phrases.symbols(C.Flat(docs))
+    found = {(d, int(s)) for d, starts in phrases.Automata(texts, [(0, s) for s in range(9)] + [(2, 900)], 10).occurrences() for s in starts}
+    assert found == {(0, s) for s in range(31)} | {(1, s) for s in range(18)} | {(2, 900)}
 
 
 # 6
@@ -311,6 +309,7 @@ def test_near_dedup(spark, docs, rows, empty, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "LARGE", 3)
     monkeypatch.setattr(near_dedup, "FAN", 2)
+    monkeypatch.setattr(near_dedup, "FIRST_BEST", 1 if block == 4 else 8)
     got = near_dedup.cluster(spark, docs).collect()
     key = lambda x: tuple((v is not None, v or 0) for v in x)
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=key) == sorted(plain_components(rows), key=key)
@@ -348,6 +347,10 @@ def test_odd_sketch_estimates():
         z = np.unpackbits(s[0] ^ s[1]).sum()
         est = 1 + near_dedup.SKETCH_BITS / (4 * near_dedup.SAMPLES) * np.log(1 - 2 * z / near_dedup.SKETCH_BITS)
         assert abs(est - j) < 0.1
+        sets = [np.unique(a[:n]), np.unique(a[n - common :])]
+        t = near_dedup.set_sketches(sets)
+        z, differ = np.unpackbits(t[0] ^ t[1]).sum(), len(np.setxor1d(*sets))
+        assert z <= differ and (z <= near_dedup.most_in_sets(np.array([2 * n]), 85)[0]) == (j >= 0.85)
 
 
 # 9
