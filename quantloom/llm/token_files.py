@@ -41,7 +41,7 @@ HEAD = struct.Struct("<4sB3xQQ")
 BLOCK_IDS = 1 << 16
 END_ID = 2
 #: Pieces a worker remembers; when there are more it starts afresh.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 450_000
 
 
 def bits_for(vocabulary: int) -> int:
