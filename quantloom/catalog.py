@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import fundamentals, panels, performance, technical
+from quantloom.plans import fundamentals, models, panels, performance, technical
 
-PLANS = (technical, panels, performance, fundamentals)
+PLANS = (technical, panels, performance, fundamentals, models)
 
 
 def queries():
