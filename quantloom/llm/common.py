@@ -278,34 +278,61 @@ def bitmap(spark: SparkSession, df: DataFrame, col: str):
 
     bits = np.zeros(1 << (BITMAP_LOG2 - 3), np.uint8)
     width = 1 << (SLICE_LOG2 - 3)
-    for r in slices.mapInArrow(build, "s bigint, bytes binary").groupBy("s").agg(F.collect_list("bytes").alias("p")).toLocalIterator():
-        for p in r["p"]:
-            bits[r["s"] * width : (r["s"] + 1) * width] |= np.frombuffer(p, np.uint8)
+    for r in slices.mapInArrow(build, "s bigint, bytes binary").collect():  # at most the bitmap's size
+        bits[r["s"] * width : (r["s"] + 1) * width] |= np.frombuffer(r["bytes"], np.uint8)
     return spark.sparkContext.broadcast(Bitmap(bits))
 
 
+def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
+    """One star operation on edges (u, v), in one shuffle: rows of u come together in order of v, so the first v is the least
+    and rows stream on; nothing but the last pair is held however many neighbours u has.
+
+    Large: each neighbour over u gets an edge to the least around u. Small (v < u): u and its neighbours get one to the least.
+    """
+    dealt = edges.repartition(n, "u").sortWithinPartitions("u", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_u = last_v = last_m = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u, v = (b.column(i).to_numpy() for i in range(2))
+            new = np.ones(len(u), bool)
+            new[1:] = u[1:] != u[:-1]
+            new[0] = last_u is None or u[0] != last_u
+            fresh = np.ones(len(u), bool)
+            fresh[1:] = new[1:] | (v[1:] != v[:-1])
+            fresh[0] = new[0] or v[0] != last_v
+            group = np.cumsum(new) - 1
+            firsts = np.minimum(v[new], u[new]) if large else v[new]
+            m = np.where(group < 0, last_m if last_m is not None else 0, firsts[np.maximum(group, 0)] if len(firsts) else 0)
+            keep = fresh & (v > u) if large else fresh & (v != m)
+            x, y = v[keep], m[keep]
+            if not large:
+                x, y = np.concatenate([x, u[new]]), np.concatenate([y, m[new]])
+            last_u, last_v, last_m = u[-1], v[-1], m[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
 def components(spark: SparkSession, edges: DataFrame, label: str = "components") -> DataFrame:
     """(v, root): the least vertex reachable, for each vertex of edges (a, b), by alternating large and small stars.
 
-    All steps are grouped minima and joins; the driver sees two numbers a round. Each round is written to the shared
-    folder, so its lineage ends there.
+    The driver sees two numbers a round. Each round is written to the shared folder, so its lineage ends there.
     """
+    n = partitions(spark)
     now, path = stored(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    mark = F.xxhash64("u", "v").cast("decimal(20,0)")
-    state = None
-    while True:
-        # Large star: every larger neighbour of u goes to the least vertex around u.
+
+    def checksum(df: DataFrame):
+        return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+
+    state = checksum(now)
+    while state["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # Small star: u and its smaller neighbours go to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        then, then_path = stored(spark, small, label)
-        said = then.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("h")).first()
+        then, then_path = stored(spark, _star(_star(both, n, True), n, False), label)
         drop_paths(spark, path)
         now, path = then, then_path
-        if state == said:
+        if state == (state := checksum(now)):
             break
-        state = said
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select(F.col("v"), F.col("v").alias("root")).distinct())

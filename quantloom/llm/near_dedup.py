@@ -1,16 +1,18 @@
 """MinHash near-duplicates verified by odd sketches.
 
-Each document's set of word shingles gets ``SAMPLES`` MinHash values. Bands of them find candidates; folded into a parity
-bitmap (an odd sketch) they estimate high similarities from the population count of an XOR, and only pairs estimated near
-or above the threshold are confirmed on the full sets.
+Each document's set of word shingles gets ``SAMPLES`` MinHash values. Bands of them find candidates. Two parity bitmaps
+(odd sketches) then tell which candidates are worth confirming on the full sets, by the population count of their XOR: one
+folds the MinHash samples and estimates the similarity of sets of any size; the other folds the set itself, and since each
+differing shingle flips one bit, its count is a lower bound of the symmetric difference, nearly exact for usual sizes.
 
-No bucket is expanded into all its pairs. Equal sets are one vertex. Then, in each bucket, members are compared with the
-bucket's first vertex; each vertex confirms its best-estimated link, which joins families of copies. A second round
-takes the buckets that still hold several components and compares members of different components, in blocks of
-``BLOCK`` rows, so that no colliding pair that could still join two components goes untested.
+No bucket is expanded into all its pairs. Equal sets are one vertex. In each bucket members are first compared with one
+centre (in large buckets the member nearest to the majority sketch), and each vertex confirms its best-estimated link.
+Then buckets that still hold several components are compared in blocks: a vertex outside its bucket's largest component
+confirms its nearest members of other components, a few, then eight times as many each round, until no colliding pair that
+the sketches admit and that could join two components is untested.
 
-Losses: a pair at similarity s misses all bands with probability (1 - s^rows)^bands (3e-7 at 0.85), and the sketch filter
-lies five standard deviations under the threshold. Vertices are 64-bit hashes of sets.
+Losses: a pair at similarity s misses all bands with probability (1 - s^rows)^bands (3e-7 at 0.85), and the estimates
+lie five standard deviations under the threshold. Vertices are 64-bit hashes of sets.
 
 Defined results: null and empty texts and those without words have empty sets and link with nothing; texts shorter than a
 shingle are one shingle; equal sets are linked; rows that share an id are each judged on their text; null ids never name
@@ -25,17 +27,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 
 SAMPLES = 256
-SKETCH_BITS = 512
+#: Bits of the sketch of the samples and of the sketch of the set.
+SKETCH_BITS, SET_BITS = 512, 1024
+SAMPLE_WORDS, SKETCH_WORDS = SKETCH_BITS // 64, (SKETCH_BITS + SET_BITS) // 64
 #: Standard deviations that a pair's estimate may lie under the threshold.
 DEVIATIONS = 5
 BLOCK = 1024
+#: Nearest members that a vertex confirms in the first round over split buckets; each further round takes eight times as many.
+FIRST_BEST = 8
+#: Members from which a bucket gets a medoid.
+LARGE = 16
 #: Pairs of one vertex that one group confirms.
 FAN = 256
 
@@ -56,6 +64,26 @@ def most_differing(percent: int, bits: int = SKETCH_BITS, samples: int = SAMPLES
     return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - least) / bits)))
 
 
+def most_in_sets(total: np.ndarray, percent: int) -> np.ndarray:
+    """Most differing bits of set sketches whose sizes sum to ``total`` and that may still be linked.
+
+    100 |A n B| >= p |A u B| bounds the symmetric difference by total (100 - p) / (100 + p); the bits can't be more, and
+    are expected to be fewer where many fall together.
+    """
+    d = total * (100 - percent) / (100 + percent)
+    mean = SET_BITS / 2 * (1 - np.exp(-2 * d / SET_BITS))
+    sd = np.sqrt(SET_BITS / 4 * (1 - np.exp(-4 * d / SET_BITS)))
+    return np.minimum(np.floor(d + 1e-9), mean + DEVIATIONS * sd)
+
+
+def most_in_sets_column(total, percent: int):
+    """The same as a column."""
+    d = total * (100 - percent) / (100 + percent)
+    mean = SET_BITS / 2 * (1 - F.exp(-2 * d / SET_BITS))
+    sd = F.sqrt(SET_BITS / 4 * (1 - F.exp(-4 * d / SET_BITS)))
+    return F.least(F.floor(d + 1e-9).cast("double"), mean + DEVIATIONS * sd)
+
+
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     flat = C.Flat([C.text_of(t).lower().split() for t in texts])
@@ -99,11 +127,19 @@ def odd_sketches(sig: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(sig), SKETCH_BITS), axis=1)
 
 
+def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of the sets themselves."""
+    bit = (C.mix(np.concatenate(sets)) & np.uint64(SET_BITS - 1)).astype(np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    odd = (np.bincount(row * SET_BITS + bit, minlength=len(sets) * SET_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sets), SET_BITS), axis=1)
+
+
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, idh, v, n, bands, sketch) of (id, text) rows; v is null for empty sets."""
     src = docs.select("id", "text", F.xxhash64(F.col("id").cast("string")).alias("idh"), F.xxhash64("text").alias("th"))
     long, shape = T.LongType(), bands_for(percent)
-    schema = T.StructType([src.schema["id"], T.StructField("idh", long), T.StructField("v", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long)), T.StructField("sketch", T.BinaryType()), T.StructField("th", long)])
+    schema = T.StructType([src.schema["id"], T.StructField("idh", long), T.StructField("v", long), T.StructField("n", long), T.StructField("bands", T.ArrayType(long)), T.StructField("sketch", T.ArrayType(long)), T.StructField("th", long)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +153,10 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if full:
                     sig = signatures(full)
                     rows = np.flatnonzero(keep).tolist()
-                    for i, k, o in zip(rows, C.to_signed(band_keys(sig, *shape)), odd_sketches(sig), strict=True):
-                        bands[i], sketch[i] = k, o.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(v, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), b.column(3)], names=schema.names)
+                    both = np.concatenate([odd_sketches(sig), set_sketches(full)], axis=1).view(np.int64)
+                    for i, k, o in zip(rows, C.to_signed(band_keys(sig, *shape)), both, strict=True):
+                        bands[i], sketch[i] = k, o
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(v, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), b.column(3)], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -128,15 +165,15 @@ def vertex(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
 
 
-def confirmed(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of vertices whose full sets reach the threshold: 100 |A n B| >= percent |A u B|.
 
-    Only the texts of vertices in pairs are read (a fixed-size bitmap filters the scan). Each group holds one set and at
-    most about FAN partners, so a vertex with any number of partners is spread over many groups.
+    pairs also carry ha and hb, the id hashes of one text of each vertex: only those texts are read (a fixed-size bitmap
+    filters the scan). Each group holds one set and at most about FAN partners, so a vertex with any number of partners is
+    spread over many groups.
     """
-    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    wanted = reps.join(ends, "v", "left_semi").select("v", "idh")
-    near = C.bitmap(spark, wanted, "idh")
+    ends = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h")))
+    near = C.bitmap(spark, ends, "h")
     src = docs.select("text", F.xxhash64(F.col("id").cast("string")).alias("idh"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +183,9 @@ def confirmed(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: Data
                 sets = [s for s in shingle_sets(b.column(0).to_pylist(), words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([vertex(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "set"])
 
-    sets = src.mapInArrow(load, "v bigint, set binary").join(ends, "v", "left_semi").dropDuplicates(["v"])
-    sets, sets_path = C.stored(spark, sets, "near-sets")
+    sets, sets_path = C.stored(spark, src.mapInArrow(load, "v bigint, set binary"), "near-sets")
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("g"))
-    salted = pairs.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("g"))).select("a", "b", "salt")
+    salted = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).alias("salt"))
     one = sets.withColumnRenamed("v", "a").join(fans, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "set")
     other = salted.join(sets.withColumnRenamed("v", "b"), "b").select("a", "salt", "b", "set")
     dealt = one.unionByName(other).repartition(C.partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -175,53 +211,115 @@ def confirmed(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: Data
     return out
 
 
-def cross_pairs(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of rows (key, v, n, sketch, root) of one key with different roots that the estimate lets through."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("g"))
-    cells = rows.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("v"), F.col("g")))
-    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    cells = cells.select("key", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "c", "v", "n", "root", "sketch")
-    dealt = cells.repartition(C.partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    most = most_differing(percent)
-
-    def pairs_of(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(rows)
-        x, y, c, v, n, root = (t.column(i).to_numpy() for i in range(1, 7))
-        sk = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(len(v), -1)
-        left, right = (np.arange(len(v)),) * 2 if x[0] == y[0] else (np.flatnonzero(c == x[0]), np.flatnonzero(c == y[0]))
-        a_out, b_out = [], []
-        for i in left.tolist():
-            r = right[(root[right] != root[i]) & (np.minimum(n[right], n[i]) * 100 >= percent * np.maximum(n[right], n[i]))]
-            if x[0] == y[0]:
-                r = r[r > i]
-            if len(r):
-                r = r[np.bitwise_count(sk[r] ^ sk[i]).sum(axis=1) <= most]
-                a_out.append(np.minimum(v[r], v[i]))
-                b_out.append(np.maximum(v[r], v[i]))
-        return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.zeros(0, np.int64),) * 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = np.stack([b.column(i).to_numpy() for i in range(3)])
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table | None, bool]]:
+    """Tables of the rows that share the first ``keys`` columns; (None, True) after each batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if b.num_rows:
+            k = np.stack([b.column(i).to_numpy() for i in range(keys)])
             edge = np.concatenate([[0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [b.num_rows]])
-            a_out, b_out = [], []
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if held and last != tuple(k[:, s]):
-                    pair = pairs_of(held)
-                    a_out.append(pair[0])
-                    b_out.append(pair[1])
+                    yield pa.Table.from_batches(held), False
                     held = []
                 held.append(b.slice(s, e - s))
                 last = tuple(k[:, s])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a_out, b_out)], names=["a", "b"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs_of(held)], names=["a", "b"])
+        yield None, True
+    if held:
+        yield pa.Table.from_batches(held), False
+    yield None, True
+
+
+def sketch_words(col: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in col.chunks]).view(np.uint64).reshape(-1, SKETCH_WORDS)
+
+
+def differing(x: str, y: str, first: int, last: int):
+    """Column: differing bits of words first to last of two sketch columns."""
+    word = lambda i: F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1)))
+    return sum((word(i) for i in range(first + 1, last)), word(first))
+
+
+def medoids(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(key, a): of each bucket the member nearest to the bitwise majority of its sketches.
+
+    Where all copies come from one text, that text is the hub that most of them link with. Bits are counted in groups of
+    about BLOCK members and summed, so no task sees a whole bucket. rows: (key, v, m, sketch).
+    """
+    n = C.partitions(spark)
+    salted = rows.select("key", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("salt"), "sketch")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, bytes]] = []
+        for t, end in runs_of(batches, 2):
+            if t is not None:
+                bits = np.unpackbits(sketch_words(t.column(2)).view(np.uint8).reshape(t.num_rows, -1), axis=1)
+                out.append((t.column(0)[0].as_py(), t.num_rows, bits.sum(axis=0, dtype=np.int64).tobytes()))
+            if end and out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "n", "bits"])
+                out = []
+
+    def majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            for key, k, bits in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                had = sums.get(key, (0, 0))
+                sums[key] = (had[0] + k, had[1] + np.frombuffer(bits, np.int64))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([np.packbits(2 * x > k).view(np.int64) for k, x in sums.values()], pa.list_(pa.int64()))], names=["key", "middle"])
+
+    parts = salted.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(count, "key bigint, n bigint, bits binary")
+    middle = parts.repartition(n, "key").mapInArrow(majority, "key bigint, middle array<bigint>")
+    return rows.join(middle, "key").groupBy("key").agg(F.min(F.struct(differing("sketch", "middle", 0, SKETCH_WORDS).alias("z"), "v")).alias("p")).select("key", F.col("p.v").alias("a"))
+
+
+def nearest(spark: SparkSession, rows: DataFrame, percent: int, best: int) -> DataFrame:
+    """For vertices outside their bucket's largest component: the ``best`` nearest members of other components.
+
+    rows: (key, m, v, n, sketch, root), m the members of the bucket. Returns (x, y, z); x = y marks that x has more. Buckets
+    are compared in blocks of BLOCK x BLOCK members, and what a block returns is linear in its members.
+    """
+    cells = rows.withColumn("g", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("c", F.pmod(F.xxhash64("v"), F.col("g")))
+    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    cells = cells.select("key", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "c", "v", "n", "root", "sketch")
+    dealt = cells.repartition(C.partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    most = most_differing(percent)
+
+    def near(t: pa.Table) -> Iterator[tuple[int, int, int]]:
+        p, q, c, v, n, root = (t.column(i).to_numpy() for i in range(1, 7))
+        roots, back, times = np.unique(root, return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            return
+        sk = sketch_words(t.column(7))
+        for i in np.flatnonzero(back != times.argmax()).tolist():
+            ok = (root != root[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
+            r = np.flatnonzero(ok & (c != c[i]) if p[0] != q[0] else ok)
+            if len(r):
+                bits = np.bitwise_count(sk[r] ^ sk[i])
+                z = bits[:, SAMPLE_WORDS:].sum(axis=1, dtype=np.int64)
+                ok = (bits[:, :SAMPLE_WORDS].sum(axis=1, dtype=np.int64) <= most) & (z <= most_in_sets(n[r] + n[i], percent))
+                r, z = r[ok], z[ok]
+                order = np.lexsort((v[r], z))
+                for k in order[:best].tolist():
+                    yield int(v[i]), int(v[r[k]]), int(z[k])
+                if len(order) > best:
+                    yield int(v[i]), int(v[i]), -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        for t, end in runs_of(batches, 3):
+            if t is not None:
+                out.extend(near(t))
+            if end and out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["x", "y", "z"])
+                out = []
+
+    return dealt.mapInArrow(run, "x bigint, y bigint, z bigint")
+
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,40 +330,59 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     described, _ = C.stored(spark, describe(docs, words, percent), "near-described")
     reps, reps_path = C.stored(spark, described.filter("v IS NOT NULL").groupBy("v").agg(F.first("idh").alias("idh"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-vertices")
+    used = [reps_path]
 
-    # Buckets of two and more vertices, with their first vertex.
+    # Buckets of two and more vertices, each with a centre: large ones their medoid, others their first vertex.
     members = reps.select("v", F.explode("bands").alias("key"))
-    firsts = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("a")).filter("m > 1").drop("m")
-    members, members_path = C.stored(spark, members.join(firsts, "key"), "near-buckets")
-
-    # Round 1: each vertex with the first vertices of its buckets; its best estimate is confirmed.
-    side = lambda c: reps.select(F.col("v").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    stars = members.filter("a <> v").select("a", F.col("v").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    stars = stars.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    words64 = [F.conv(F.hex(F.substring(c, i * 8 + 1, 8)), 16, -10).cast("long") for c in ("s_a", "s_b") for i in range(SKETCH_BITS // 64)]
-    half = len(words64) // 2
-    differ = sum((F.bit_count(words64[i].bitwiseXOR(words64[half + i])) for i in range(1, half)), F.bit_count(words64[0].bitwiseXOR(words64[half])))
-    stars = stars.withColumn("z", differ).filter(F.col("z") <= most_differing(percent))
-    best = stars.groupBy("b").agg(F.min(F.struct("z", "a")).alias("p")).select(F.col("p.a").alias("a"), "b")
-    best, best_path = C.stored(spark, best, "near-stars")
-    links = confirmed(spark, docs, reps, best, words, percent)
+    firsts = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("a")).filter("m > 1")
+    members, path = C.stored(spark, members.join(firsts, "key"), "near-buckets")
+    used.append(path)
+    sketches = reps.select("v", "n", "sketch")
+    large = medoids(spark, members.filter(F.col("m") >= LARGE).join(sketches, "v").select("key", "v", "m", "sketch"))
+    stars = members.filter(F.col("m") >= LARGE).select("key", "v").join(large, "key").select("a", F.col("v").alias("b"))
+    stars = stars.unionByName(members.filter(F.col("m") < LARGE).select("a", F.col("v").alias("b"))).filter("a <> b").distinct()
+
+    hashed = lambda c: reps.select(F.col("v").alias(c), F.col("idh").alias(f"h{c}"))
+
+    # First round: each vertex confirms its best-estimated link with a centre.
+    side = lambda c: reps.select(F.col("v").alias(c), F.col("idh").alias(f"h{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    stars = stars.withColumn("z", differing("s_a", "s_b", SAMPLE_WORDS, SKETCH_WORDS)).filter(F.col("z") <= most_in_sets_column(F.col("n_a") + F.col("n_b"), percent))
+    stars = stars.filter(differing("s_a", "s_b", 0, SAMPLE_WORDS) <= most_differing(percent))
+    tried, path = C.stored(spark, stars.groupBy("b").agg(F.min(F.struct("z", "a", "ha", "hb")).alias("p")).select(F.col("p.a").alias("a"), "b", "p.ha", "p.hb"), "near-tried")
+    used.append(path)
+    links = confirmed(spark, docs, tried, words, percent)
     roots = C.components(spark, links, "near-roots")
-    roots, roots_path = C.stored(spark, roots, "near-roots")
-
-    # Round 2: buckets that still hold several components.
-    rooted = members.select("key", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rows = rooted.join(split, "key").join(reps.select("v", "n", "sketch"), "v").select("key", "v", "n", "root", "sketch")
-    pairs = cross_pairs(spark, rows, percent).join(best, ["a", "b"], "left_anti").join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    pairs, pairs_path = C.stored(spark, pairs, "near-pairs")
-    more = confirmed(spark, docs, reps, pairs, words, percent)
-
-    rooted_links = more.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b", "left")
-    joined = C.components(spark, rooted_links.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), "near-joined")
-    final = reps.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("r")).join(joined.select(F.col("v").alias("r"), F.col("root").alias("top")), "r", "left").select("v", F.coalesce("top", "r").alias("root"))
-    final, _ = C.stored(spark, final, "near-final")
-    C.drop_paths(spark, members_path, best_path, roots_path, pairs_path, reps_path)
 
+    # Further rounds: buckets that still hold several components, nearest members first, until no candidate is untried.
+    best, rest = FIRST_BEST, True
+    while rest:
+        rooted = members.select("key", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
+        rows = rooted.join(split, "key").join(sketches, "v").select("key", "m", "v", "n", "root", "sketch")
+        order = Window.partitionBy("x").orderBy("z", "y")
+        ranked = nearest(spark, rows, percent, best).withColumn("r", F.dense_rank().over(order))
+        near, near_path = C.stored(spark, ranked, "near-nearest")
+        rest = not near.filter((F.col("x") == F.col("y")) | (F.col("r") > best + 1)).isEmpty()
+        pairs = near.filter((F.col("x") != F.col("y")) & (F.col("r") <= best + 1)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = pairs.join(both_ways(tried), ["a", "b"], "left_anti").join(hashed("a"), "a").join(hashed("b"), "b").select("a", "b", "ha", "hb")
+        pairs, path = C.stored(spark, pairs, "near-pairs")
+        used.append(path)
+        C.drop_paths(spark, near_path)
+        best *= 8
+        if pairs.isEmpty():
+            continue
+        more = confirmed(spark, docs, pairs, words, percent)
+        of = lambda c: roots.select(F.col("v").alias(c), F.col("root").alias(f"r_{c}"))  # noqa: B023, E731
+        lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
+        joined = C.components(spark, lifted, "near-joined")
+        known = roots.unionByName(joined.select("v", F.col("v").alias("root")).join(roots, "v", "left_anti"))
+        roots, path = C.stored(spark, known.join(joined.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("v", F.coalesce("top", "root").alias("root")), "near-roots")
+        used.append(path)
+        tried = tried.unionByName(pairs)
+
+    final, _ = C.stored(spark, reps.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root")), "near-final")
+    C.drop_paths(spark, *used)
     rows = described.select("id", "n", "v", "th").join(final, "v", "left")
     names = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("c"))
     out = rows.join(names, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))
