@@ -191,11 +191,47 @@ def weighted(weights: DataFrame, values: DataFrame, cols: list[str]) -> DataFram
     return weights.join(values, "symbol").groupBy("portfolio").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
 
 
-def covariances(returns: DataFrame) -> DataFrame:
-    """(a, b, cov, corr, n), a <= b, over the dates both have: the symbol pairs are the result's size."""
-    x = returns.filter("ret IS NOT NULL").select(F.col("symbol").alias("a"), "date", F.col("ret").alias("x"))
-    y = x.select(F.col("a").alias("b"), "date", F.col("x").alias("y"))
-    return x.join(y, "date").filter("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+#: Symbols in one block of pairs.
+PAIR_BLOCK = 128
+
+
+def covariances(returns: DataFrame, key: str = "symbol") -> DataFrame:
+    """(a, b, cov, corr, n), a <= b, over the dates both have.
+
+    Symbols are dealt into blocks; each pair of blocks is two small matrices (symbols x dates) whose products give all their
+    moments at once, so rows shuffled grow with blocks x observations and never with pairs x dates.
+    """
+    rows = returns.filter("ret IS NOT NULL")
+    n = rows.select(key).distinct().count()
+    blocks = max(1, -(-n // PAIR_BLOCK))
+    mine = F.pmod(F.xxhash64(key), F.lit(blocks))
+    cells = rows.select(F.col(key).alias("s"), "date", "ret", mine.alias("m")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    cells = cells.select("s", "date", "ret", "m", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"))
+
+    def run(cell: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        i, j = cell
+        parts = [x[x["m"] == k].pivot(index="date", columns="s", values="ret") for k in (i, j)]
+        dates = parts[0].index.union(parts[1].index)
+        (u, names_u), (v, names_v) = ((p.reindex(dates).to_numpy(float), p.columns.to_numpy()) for p in parts)
+        mu, mv = ~np.isnan(u), ~np.isnan(v)
+        # Deviations from each symbol's own mean keep the sums small; pairs correct for their common dates.
+        u, v = (np.where(m, z - np.where(m, z, 0).sum(0) / np.maximum(m.sum(0), 1), 0.0) for z, m in ((u, mu), (v, mv)))
+        fu, fv = mu.astype(float), mv.astype(float)
+        k = fu.T @ fv
+        sx, sy = u.T @ fv, fu.T @ v
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cov = (u.T @ v - sx * sy / k) / (k - 1)
+            vx, vy = ((u * u).T @ fv - sx * sx / k) / (k - 1), (fu.T @ (v * v) - sy * sy / k) / (k - 1)
+            corr = cov / np.sqrt(vx * vy)
+        p, q = np.nonzero(k)
+        a, b = names_u[p], names_v[q]
+        keep = (a <= b) if i == j else np.ones(len(a), bool)
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cov": cov[p, q], "corr": corr[p, q], "n": k[p, q].astype(np.int64)})
+        return out[keep]
+
+    kind = returns.schema[key].dataType.simpleString()
+    out = cells.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}, cov double, corr double, n bigint")
+    return out.select("a", "b", P.clean("cov").alias("cov"), P.clean("corr").alias("corr"), "n")
 
 
 def portfolio_volatility(weights: DataFrame, cov: DataFrame) -> DataFrame:
