@@ -8,30 +8,42 @@ from pyspark.sql import functions as F
 from quantloom.llm import common, decontamination, near_dedup, packing, quality_rules, secrets
 
 
+def plainly(docs: DataFrame) -> tuple[DataFrame, str, str, list[str]]:
+    """The rows with columns that clash with nothing, the new names of id and text, and all of them in order."""
+    new = [f"_c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index
+    return docs.toDF(*new), new[at("doc_id")], new[at("text")], new
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the default policy of the rule ledger rejects go."""
-    entries = quality_rules.ledger(docs, carry=tuple(docs.columns))
-    return quality_rules.apply_policy(entries).filter("kept").select(*docs.columns)
+    rows, id_col, text_col, names = plainly(docs)
+    entries = quality_rules.ledger(rows, id_col, text_col, carry=tuple(names))
+    return quality_rules.apply_policy(entries).filter("kept").select(*names).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at 0.8 over five-word shingles the one with the smallest id stays."""
-    found = near_dedup.cluster(spark, docs, words=5, percent=80)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    rows, id_col, text_col, names = plainly(docs)
+    found = near_dedup.cluster(spark, rows, 5, 80, id_col, text_col)
+    kept = found.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    rows = rows.withColumn("_h", F.xxhash64(text_col))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    return rows.dropDuplicates([id_col, "_h"]).select(*names).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    benchmark = common.table(spark, sf_dir, "benchmark")
-    return decontamination.detect(spark, docs, benchmark, carry=tuple(docs.columns)).filter("n_hit = 0").select(*docs.columns)
+    rows, id_col, text_col, names = plainly(docs)
+    found = decontamination.detect(spark, rows, common.table(spark, sf_dir, "benchmark"), id_col, text_col, carry=tuple(names))
+    return found.filter("n_hit = 0").select(*names).toDF(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; every document stays."""
     out = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
 
 

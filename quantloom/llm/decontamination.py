@@ -115,7 +115,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> It
         yield block
 
 
-def detect(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", index_bytes: int = INDEX_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def detect(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, n_words, n_hit, ``items`` (sorted strings with an occurring window), plus ``carry``."""
     kept = list(dict.fromkeys([id_col, text_col, *carry]))
     src = docs.select(*kept)
@@ -149,7 +149,7 @@ def detect(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: s
 
         return run
 
-    parts = [spark.sparkContext.broadcast(Index(block)) for block in blocks(benchmark, item_col, text_col, index_bytes)]
+    parts = [spark.sparkContext.broadcast(Index(block)) for block in blocks(benchmark, item_col, item_text, index_bytes)]
     if len(parts) <= 1:
         index = parts[0] if parts else spark.sparkContext.broadcast(Index([]))
         return src.mapInArrow(scan_with(index), fields + ", n_words bigint, n_hit bigint, items array<string>")

@@ -61,12 +61,27 @@ def char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 3.0
 
 
-def segments(value: str, i: int) -> Iterator[tuple[int, str, float]]:
+class Value:
+    """A value with what its segments need, prepared once: lower case, plain spelling, and how far it repeats."""
+
+    def __init__(self, value: str):
+        self.value, self.low = value, value.lower()
+        self.plain = self.low.translate(LEET)
+        n = len(value)
+        #: again[u][i]: how many characters from i on equal those u further on.
+        self.again = {}
+        for unit in range(1, 5):
+            row = [0] * (n + unit + 1)
+            for i in range(n - unit - 1, -1, -1):
+                row[i] = row[i + 1] + 1 if value[i] == value[i + unit] else 0
+            self.again[unit] = row
+
+
+def segments(v: Value, i: int) -> Iterator[tuple[int, str, float]]:
     """Structured segments from position i: (end, kind, log10 of guesses)."""
-    low = value.lower()
-    plain = low.translate(LEET)
+    value, low = v.value, v.low
     for n in range(3, min(LONGEST, len(value) - i) + 1):
-        for form, more in ((low, 0.0), (plain, NEXT)):
+        for form, more in ((low, 0.0), (v.plain, NEXT)):
             if (rank := RANK.get(form[i : i + n])) is not None:
                 case = 0.0 if value[i : i + n] in (low[i : i + n], value[i : i + n].upper()) else NEXT
                 yield i + n, "word", math.log10(rank) + case + more
@@ -76,11 +91,9 @@ def segments(value: str, i: int) -> Iterator[tuple[int, str, float]]:
     if m := YEAR.match(value, i):
         yield m.end(), "date", math.log10(120)
     for unit in range(1, 5):
-        one, j = value[i : i + unit], i + unit
-        while len(one) == unit and value.startswith(one, j):
-            j += unit
-        if j - i >= max(3, 2 * unit):
-            yield j, "repeat", sum(map(char_cost, one)) + math.log10((j - i) // unit)
+        times = (v.again[unit][i] + unit) // unit
+        if unit * times >= max(3, 2 * unit):
+            yield i + unit * times, "repeat", sum(map(char_cost, value[i : i + unit])) + math.log10(times)
     for row in ROWS:
         at = row.find(low[i])
         if at < 0:
@@ -95,7 +108,7 @@ def segments(value: str, i: int) -> Iterator[tuple[int, str, float]]:
 
 def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
     """log10 of the guesses for a value, with the cheapest segmentation. Adjoining brute-force characters are one span."""
-    n = len(value)
+    n, prepared = len(value), Value(value)
     best = [[math.inf, math.inf] for _ in range(n + 1)]  # by whether the last segment is brute force
     back: list[list[tuple[int, int, str] | None]] = [[None, None] for _ in range(n + 1)]
     best[0][0] = 0.0
@@ -105,7 +118,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
             continue
         last = best[i].index(start)
         opened = NEXT if i else 0.0
-        for end, kind, cost in segments(value, i):
+        for end, kind, cost in segments(prepared, i):
             if start + opened + cost < best[end][0]:
                 best[end][0], back[end][0] = start + opened + cost, (i, last, kind)
         cost = char_cost(value[i])

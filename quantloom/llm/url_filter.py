@@ -106,8 +106,10 @@ def segmented(spark: SparkSession, distinct_names: DataFrame, counts: DataFrame,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column(0).to_pylist():
-                subs = list({name[i:j] for i in range(len(name)) for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(subs), pa.string()), pa.array(subs, pa.string())], names=["name", "word"])
+                for at in range(0, len(name), 2000):
+                    starts = range(at, min(at + 2000, len(name)))
+                    subs = list({name[i:j] for i in starts for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(subs), pa.string()), pa.array(subs, pa.string())], names=["name", "word"])
 
     found = distinct_names.select("name").mapInArrow(cut, "name string, word string").join(known, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("c"))
     joined = distinct_names.select("name").join(found, "name", "left").select("name", F.col("c.word").alias("w"), F.col("c.n").alias("n"))

@@ -137,8 +137,8 @@ def test_secret_spans():
 
 
 def test_guess_cost_is_least():
-    for value in ("password1", "qwerty19840312", "aaaa", "zxcvbnQ!", "p4ss", "ab1"):
-        segs = {i: list(secrets.segments(value, i)) for i in range(len(value))}
+    for value in ("password1", "qwerty19840312", "aaaa", "zxcvbnQ!", "p4ss", "ab1", "abababa1"):
+        segs = {i: list(secrets.segments(secrets.Value(value), i)) for i in range(len(value))}
 
         def least(i, brute, opened, value=value, segs=segs):
             if i == len(value):
@@ -151,6 +151,7 @@ def test_guess_cost_is_least():
         assert abs(secrets.guess_cost(value)[0] - least(0, False, False)) < 1e-9
     assert secrets.guess_cost("password1")[0] < 3 < 8 < secrets.guess_cost("Xk9$vQ2!mZ")[0]
     assert "".join(p for _, p in secrets.guess_cost("hunter2!19840312")[1]) == "hunter2!19840312"
+    assert secrets.guess_cost("a" * 50_000)[0] < 8 and len(secrets.scan("key: " + "x1" * 30_000 + "!")) == 0
 
 
 def test_secrets_query(spark, docs, rows, empty):

@@ -9,9 +9,9 @@ from .test_operators import plain_components, plain_hits, words
 
 def test_pipeline_against_plain_stages(spark, rows, tmp_path):
     base = rows[1][1].split()
-    docs = [r[:5] for r in rows] + [(900, " ".join(base[:70]) + " password=0123456789abcdef99", "en", "s", 10), (901, " ".join(f"z{i}" for i in range(60)) + " token: abcdefabcdef12345", "en", "s", 10)]
+    docs = [(*r[:5], 7, "x") for r in rows] + [(900, " ".join(base[:70]) + " password=0123456789abcdef99", "en", "s", 10, 7, "x"), (901, " ".join(f"z{i}" for i in range(60)) + " token: abcdefabcdef12345", "en", "s", 10, 7, "x")]
     items = [("7", " ".join(rows[16][1].split()[100:115]))]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(os.path.join(tmp_path, "documents.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string").write.parquet(os.path.join(tmp_path, "documents.parquet"))
     spark.createDataFrame(items, "item_id string, text string").write.parquet(os.path.join(tmp_path, "benchmark.parquet"))
     now = spark.read.parquet(os.path.join(tmp_path, "documents.parquet"))
     want = [d for d in docs if keep(d[1])]
@@ -24,10 +24,10 @@ def test_pipeline_against_plain_stages(spark, rows, tmp_path):
             want = [d for d in want if not plain_hits(d[1], items)[1]]
         if k == 3:
             want = [(d[0], secrets.hide(d[1], secrets.scan(d[1]), "[secret]"), *d[2:]) for d in want]
-            want = [(*d[:4], len(d[1])) for d in want]
+            want = [(*d[:4], len(d[1]), *d[5:]) for d in want]
         if k < 4:
             assert Counter(tuple(r) for r in now.collect()) == Counter(want), name
-            assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert now.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words", "kept"]
     assert Counter(r["doc_id"] for r in now.collect()) == Counter(d[0] for d in want for _ in range(-(-(len(words(d[1])) + 1) // 4096)))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in now.collect())
