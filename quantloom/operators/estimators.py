@@ -424,3 +424,79 @@ def ewma_regime_cov(x: np.ndarray, index: np.ndarray, calm: float = 0.98, stress
     """Faster decay while the index's 5-week volatility exceeds the 90th percentile of its year."""
     vol = np.array([index[max(0, i - 4) : i + 1].std() for i in range(len(index))])
     return ewma_cov(x, stress if vol[-1] > np.quantile(vol[-52:], 0.9) else calm)
+
+
+def best_lag(x: np.ndarray, f: np.ndarray, most: int = 3, ridge: float = 1e-6) -> int:
+    """Lags of the factors (0 to most) with the least BIC of the joint regression, on a common sample."""
+    t, k = x.shape
+    best = (math.inf, 0)
+    for lags in range(most + 1):
+        z = np.column_stack([np.ones(t - most), *[f[most - j : t - j] for j in range(lags + 1)]])
+        y = x[most:]
+        e = y - z @ np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y)
+        bic = len(y) * np.log(np.maximum(e.var(0), 1e-300)).sum() + z.shape[1] * k * math.log(len(y))
+        best = min(best, (bic, lags))
+    return best[1]
+
+
+def orthogonal_blocks(blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """Each block of factors less its projection on the blocks before it."""
+    out: list[np.ndarray] = []
+    for b in blocks:
+        out.append(b if not out else np.column_stack([residualise(b[:, j], np.column_stack(out)) for j in range(b.shape[1])]))
+    return out
+
+
+def factor_idio(x: np.ndarray, f: np.ndarray, keep: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """Covariance explained by factors, and the rest (diagonal blended with its mean)."""
+    z = np.column_stack([np.ones(len(f)), f])
+    b = np.linalg.lstsq(z, x, rcond=None)[0]
+    psi = (x - z @ b).var(0)
+    return b[1:].T @ np.cov(f.T, ddof=0).reshape(f.shape[1], -1) @ b[1:], np.diag(keep * psi + (1 - keep) * psi.mean())
+
+
+def term_scaled(factor: np.ndarray, idio: np.ndarray, weeks: int, factor_power: float = 1.0, idio_power: float = 0.9) -> np.ndarray:
+    """Covariance over a horizon: the two parts grow at their own powers of time."""
+    return psd(factor * weeks**factor_power + idio * weeks**idio_power)
+
+
+def shrunk_correlations(x: np.ndarray, least: int = 20, alpha: float = 0.2) -> np.ndarray:
+    """Pairwise correlations over the rows both have, shrunk to 0; pairs with too few are 0."""
+    r = pd.DataFrame(x).corr(min_periods=least).fillna(0.0).to_numpy() * (1 - alpha)
+    np.fill_diagonal(r, 1.0)
+    return psd(r)
+
+
+def factor_monte_carlo(panel: DataFrame, factors: list[str], horizon: int = 4, sims: int = 500, seed: int = 2, least: int = 60) -> DataFrame:
+    """Per symbol: factor loadings, factor paths from a vector autoregression, own shocks; quantiles of the compounded return."""
+
+    def run(symbol, x: pd.DataFrame) -> list[tuple]:
+        x = x.dropna()
+        if len(x) < least:
+            return []
+        f, y = x[factors].to_numpy(float), x["ret"].to_numpy(float)
+        z = np.column_stack([np.ones(len(f)), f])
+        b = np.linalg.lstsq(z, y, rcond=None)[0]
+        e = y - z @ b
+        rng = np.random.default_rng([seed, int(symbol)])
+        const, coef, cov = fit_bvar(f, 1, own=0.0)
+        paths = simulate_var(const, coef, f, shocks(cov, horizon, sims, rng, "student"))
+        r = b[0] + paths @ b[1:] + rng.choice(e, (sims, horizon))
+        total = np.prod(1 + np.clip(r, -0.99, None), axis=1) - 1
+        return [(symbol, float(total.mean()), float(total.std(ddof=1)), *map(float, np.quantile(total, [0.05, 0.5, 0.95])))]
+
+    return G.per_symbol(panel.select("symbol", "date", "ret", *factors), "symbol", "date", "symbol long, mean double, sd double, p05 double, p50 double, p95 double", run)
+
+
+def shrunk_covariances(panel: DataFrame, most_assets: int = 2000) -> DataFrame:
+    """Shrinkage covariance of a universe as long rows (a, b, cov). The matrix is the universe's square, so its size is checked
+    before the panel is gathered."""
+    spark = panel.sparkSession
+    n = panel.select("symbol").distinct().count()
+    if n > most_assets:
+        raise ValueError(f"{n} assets; a dense covariance is for at most {most_assets}")
+    wide = panel.select("symbol", "date", "ret").toPandas().pivot(index="date", columns="symbol", values="ret").fillna(0.0)
+    s, _ = shrinkage_cov(wide.to_numpy())
+    names = wide.columns.to_numpy()
+    i, j = np.triu_indices(len(names))
+    return spark.createDataFrame(pd.DataFrame({"a": names[i].astype("int64"), "b": names[j].astype("int64"), "cov": s[i, j]}))

@@ -488,3 +488,54 @@ def neighbours(returns: DataFrame, k: int = 5, least: int = 30) -> DataFrame:
     both = c.select(F.col("a").alias("src"), F.col("b").alias("dst"), "corr").unionByName(c.select(F.col("b").alias("src"), F.col("a").alias("dst"), "corr"))
     top = P.top_k(both, ["src"], [F.abs("corr").desc(), F.col("dst")], k)
     return top.select("src", "dst", F.col("corr").alias("rho"), (F.abs("corr") / F.sum(F.abs("corr")).over(Window.partitionBy("src"))).alias("weight"))
+
+
+def direct_quantiles(panel: DataFrame, features: list[str], quantiles=(0.1, 0.5, 0.9), least: int = 60) -> DataFrame:
+    """Quantile regressions of a forward target on features, read at the last row; crossings removed by isotonic order."""
+
+    def run(symbol, x: pd.DataFrame) -> list[tuple]:
+        last = x[features].dropna().tail(1).to_numpy(float)
+        d = x.dropna(subset=[*features, "target"])
+        if len(d) < least or not len(last):
+            return []
+        xs, y = d[features].to_numpy(float), d["target"].to_numpy(float)
+        sd = xs.std(0) + 1e-12
+        q = isotonic(np.array([(b := quantile_regression(xs / sd, y, p))[0] + (last[0] / sd) @ b[1:] for p in quantiles]))
+        return [(symbol, len(d), *map(float, q))]
+
+    cols = ", ".join(f"q{int(100 * q):02d} double" for q in quantiles)
+    return G.per_symbol(panel.select("symbol", "date", "target", *features), "symbol", "date", f"symbol long, n long, {cols}", run)
+
+
+def peer_features(returns: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
+    """Lagged cross-asset features: leave-one-out means of the market and of the group, and the mean of the k most correlated
+    peers. groups: symbol, grp."""
+    from quantloom.functions import panel as P
+    from quantloom.operators import joins as J
+
+    rows = J.leave_one_out(J.leave_one_out(returns.join(groups, "symbol"), "ret", ["date"], "market"), "ret", ["grp", "date"], "group_mean")
+    edges = neighbours(returns, k).select(F.col("src").alias("symbol"), F.col("dst").alias("peer"))
+    peers = edges.join(returns.select(F.col("symbol").alias("peer"), "date", F.col("ret").alias("_r")), "peer").groupBy("symbol", "date").agg(F.avg("_r").alias("peers"))
+    w = P.over("symbol")
+    rows = rows.join(peers, ["symbol", "date"], "left")
+    return rows.select("symbol", "date", "ret", *[F.lag(c).over(w).alias(f"{c}_l1") for c in ("market", "group_mean", "peers")])
+
+
+def joint_paths(returns: DataFrame, horizon: int = 13, sims: int = 500, seed: int = 11, most_assets: int = 500) -> DataFrame:
+    """Joint simulation of a universe: GARCH variances per asset, dynamic correlations across, Student shocks; quantiles of each
+    asset's return and of the equal-weight portfolio (symbol -1). The universe's size is checked before it is gathered."""
+    spark = returns.sparkSession
+    if (n := returns.select("symbol").distinct().count()) > most_assets:
+        raise ValueError(f"{n} assets; joint simulation is for at most {most_assets}")
+    wide = returns.select("symbol", "date", "ret").toPandas().pivot(index="date", columns="symbol", values="ret").dropna(axis=1, thresh=30).fillna(0.0)
+    r = wide.to_numpy()
+    d = r - r.mean(0)
+    fits = [garch(d[:, j]) for j in range(d.shape[1])]
+    u = np.column_stack([d[:, j] / np.sqrt(f[3]) for j, f in enumerate(fits)])
+    _, _, corr = dcc(u)
+    e = E.shocks(E.psd(corr), horizon, sims, np.random.default_rng(seed), "student")
+    var = np.column_stack([garch_forecast(f[0], f[1], f[2], f[3][-1], d[-1, j], horizon) for j, f in enumerate(fits)])
+    total = np.prod(1 + np.clip(r.mean(0) + e * np.sqrt(var), -0.99, None), axis=1) - 1
+    cols = np.column_stack([total, total.mean(1)])
+    names = [*map(int, wide.columns), -1]
+    return spark.createDataFrame([(s, *map(float, np.quantile(cols[:, j], [0.05, 0.5, 0.95])), float(cols[:, j].mean())) for j, s in enumerate(names)], "symbol long, p05 double, p50 double, p95 double, mean double")

@@ -317,3 +317,81 @@ def autocorrelation(returns: DataFrame, k: int = 1) -> DataFrame:
 def calibration_map(rows: DataFrame) -> DataFrame:
     """JSON parameters of stored calibrations as maps."""
     return rows.withColumn("params", F.from_json("param_json", "map<string,double>"))
+
+
+def backtest_grid(rows: DataFrame, params: list[str], buy: Column, sell: Column) -> DataFrame:
+    """Backtest of pulses over rows that already hold one copy of the panel per parameter set (columns ``params``)."""
+    w = Window.partitionBy("symbol", *params).orderBy("date")
+    pulse = F.when(sell, -1).when(buy, 1)
+    rows = rows.withColumn("position", F.coalesce(F.last(pulse, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return stats(rows, "position", ["symbol", *params])
+
+
+def with_params(rows: DataFrame, name: str, values: list[float]) -> DataFrame:
+    return rows.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+
+
+def breakout_grid(bars: DataFrame, mults: list[float]) -> DataFrame:
+    """Breakouts beyond multiples of yesterday's range."""
+    rows = breakouts(atr(bars.withColumn("ret", P.pct_change("close", W()))))
+    rows = with_params(rows.select("symbol", "date", "ret", "close", "hi_prev", "lo_prev", F.lag("atr").over(W()).alias("atr1")), "mult", mults)
+    step = F.col("mult") * F.col("atr1")
+    return backtest_grid(rows, ["mult"], F.col("close") > F.col("hi_prev") + step, F.col("close") < F.col("lo_prev") - step)
+
+
+def stochastic_grid(bars: DataFrame, lows: list[float], highs: list[float]) -> DataFrame:
+    rows = stochastic(bars.withColumn("ret", P.pct_change("close", W())))
+    up, down = P.crosses_over("stoch_k", "stoch_d", W()), P.crosses_under("stoch_k", "stoch_d", W())
+    rows = rows.select("symbol", "date", "ret", "stoch_k", up.alias("up"), down.alias("down"))
+    rows = with_params(with_params(rows, "low", lows), "high", highs)
+    return backtest_grid(rows, ["low", "high"], F.col("up") & (F.col("stoch_k") < F.col("low")), F.col("down") & (F.col("stoch_k") > F.col("high")))
+
+
+def vwap_grid(bars: DataFrame, windows: list[int]) -> DataFrame:
+    """Crossings of the volume-weighted price, calibrated against yesterday's."""
+    out = None
+    for n in windows:
+        rows = vwap(bars.withColumn("ret", P.pct_change("close", W())), n)
+        rows = rows.select("symbol", "date", "ret", "close", "vwap", F.lag("close").over(W()).alias("c1"), F.lag("vwap").over(W()).alias("v1"), F.lit(float(n)).alias("window"))
+        one = backtest_grid(rows, ["window"], (F.col("close") > F.col("vwap")) & (F.col("c1") <= F.col("v1")), (F.col("close") < F.col("vwap")) & (F.col("c1") >= F.col("v1")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def obv_grid(bars: DataFrame, lookbacks: list[int]) -> DataFrame:
+    """Divergences of price and volume balance over lookbacks."""
+    out = None
+    for n in lookbacks:
+        rows = breakouts(obv(bars.withColumn("ret", P.pct_change("close", W()))), n).withColumn("lookback", F.lit(float(n)))
+        c, o = F.col("close"), F.col("obv")
+        one = backtest_grid(rows, ["lookback"], (c < F.col("close_lo_prev")) & (o >= F.col("obv_lo_prev")), (c > F.col("close_hi_prev")) & (o <= F.col("obv_hi_prev")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Coarse grids of the calibration.
+GRIDS = {"bb": ([10, 20, 30], [1.5, 2.0, 2.5]), "atr": ([0.5, 1.0, 1.5, 2.0],), "stoch": ([15.0, 20.0, 25.0], [75.0, 80.0, 85.0]), "vwap": ([10, 20, 40],), "obv": ([10, 20, 40],), "ema": ([8, 12, 16], [20, 26, 32]), "macd": ([8, 12], [20, 26], [7, 9]), "levels": ([20.0, 30.0, 40.0], [60.0, 70.0, 80.0])}
+
+
+def calibrate(spark, bars: DataFrame, grids: dict = GRIDS, alpha: float = 0.05) -> DataFrame:
+    """One row per symbol and indicator: best parameters as JSON, weight and statistics."""
+    levels = spark.createDataFrame([(a, b) for a in grids["levels"][0] for b in grids["levels"][1]], "low double, high double")
+    ret = lambda df: df.withColumn("ret", P.pct_change("close", W()))
+    parts = {
+        "bb": (band_grid(bars, *grids["bb"]), ["window", "width"]), "atr": (breakout_grid(bars, *grids["atr"]), ["mult"]), "stoch": (stochastic_grid(bars, *grids["stoch"]), ["low", "high"]), "vwap": (vwap_grid(bars, *grids["vwap"]), ["window"]), "obv": (obv_grid(bars, *grids["obv"]), ["lookback"]),
+        "ema": (spans_grid(bars, *grids["ema"]), ["fast", "slow"]), "macd": (spans_grid(bars, *grids["macd"]), ["fast", "slow", "signal"]), "rsi": (threshold_grid(ret(exponential(bars)), "rsi", levels), ["low", "high"]), "mfi": (threshold_grid(ret(mfi(bars)), "mfi", levels), ["low", "high"]),
+    }
+    out = None
+    for name, (results, params) in parts.items():
+        row = best(results, ["symbol"], params, alpha).withColumn("weight", weight(alpha))
+        row = row.select("symbol", F.lit(name).alias("indicator"), F.to_json(F.struct(*[F.col(p).cast("double").alias(p) for p in params])).alias("param_json"), "weight", "sharpe", "sharpe_bh", "t_stat", "p_value", "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def calibrated_score(pos: DataFrame, calibration: DataFrame) -> DataFrame:
+    """Scores with each symbol's own weights: sum of weight x position, clipped."""
+    w = calibration.groupBy("symbol").pivot("indicator", list(NAMES)).agg(F.first("weight"))
+    rows = pos.join(w, "symbol", "left")
+    total = sum((F.coalesce(F.col(n), F.lit(0)) * F.col(f"pos_{n}") for n in NAMES), F.lit(0))
+    return rows.withColumn("score", F.least(F.greatest(total, F.lit(-10)), F.lit(10)).cast("short")).drop(*NAMES)

@@ -49,11 +49,11 @@ def statement_sheet(spark, d):
     return rounded(S.sheet(long, ["revenue", "debt"]), "revenue", "debt", n=2)
 
 
-@query("annual_inputs")
+@query("annual_inputs", f"WITH {ST_SQL}, a AS (SELECT symbol, date, revenue, net_income AS pretax, net_income * 0.2 AS tax, debt * 0.01 AS interest, current_assets - current_liabilities AS working_capital, debt, ocf, assets * 0.01 AS capex FROM st), b AS (SELECT *, least(greatest(tax / nullif(pretax, 0), 0), 1) AS rate FROM a) SELECT symbol, date, round(revenue, 4) AS revenue, round(pretax, 4) AS pretax, round(tax, 4) AS tax, round(interest, 4) AS interest, round(working_capital, 4) AS working_capital, round(debt, 4) AS debt, round(ocf, 4) AS ocf, round(capex, 4) AS capex, round(rate, 4) AS tax_rate, round(interest * (1 - coalesce(rate, 0)), 4) AS interest_after_tax, round(working_capital - lag(working_capital) {WIN}, 4) AS d_working_capital, round(debt - lag(debt) {WIN}, 4) AS net_borrowing, round(ocf - capex, 4) AS fcf FROM b")
 def annual_inputs(spark, d):
     st = statements(spark, d).selectExpr("symbol", "date", "revenue", "net_income AS pretax", "net_income * 0.2 AS tax", "debt * 0.01 AS interest", "current_assets - current_liabilities AS working_capital", "debt", "ocf", "assets * 0.01 AS capex")
     long = st.unpivot(["symbol", "date"], st.columns[2:], "item", "value")
-    return floats(S.annuals(long), 2)
+    return floats(S.annuals(long), 4)
 
 
 @query("ratio_kpis")
@@ -110,7 +110,9 @@ for _keys in S.LEVELS:
     _peer("peers_" + "_".join(_keys), _keys)
 
 
-@query("peer_lenses")
+@query("peer_lenses", f"""WITH {PU}, q AS (SELECT region, industry, quantile_cont(pe, 0.25) AS a, quantile_cont(pe, 0.75) AS b, quantile_cont(ps, 0.25) AS c, quantile_cont(ps, 0.75) AS e FROM pu GROUP BY ALL), p AS (SELECT region, industry, avg(least(greatest(pe, a - 1.5 * (b - a)), b + 1.5 * (b - a))) AS pe, avg(CASE WHEN ps IS NOT NULL THEN least(greatest(ps, c - 1.5 * (e - c)), e + 1.5 * (e - c)) END) AS ps FROM pu JOIN q USING (region, industry) GROUP BY ALL),
+q2 AS (SELECT industry, quantile_cont(pe, 0.25) AS a, quantile_cont(pe, 0.75) AS b, quantile_cont(ps, 0.25) AS c, quantile_cont(ps, 0.75) AS e FROM pu GROUP BY ALL), p2 AS (SELECT industry, avg(least(greatest(pe, a - 1.5 * (b - a)), b + 1.5 * (b - a))) AS pe2, avg(CASE WHEN ps IS NOT NULL THEN least(greatest(ps, c - 1.5 * (e - c)), e + 1.5 * (e - c)) END) AS ps2 FROM pu JOIN q2 USING (industry) GROUP BY ALL)
+SELECT symbol, round(p.pe, 6) AS pe_region_industry, round(pe2, 6) AS pe_industry, round(coalesce(p.ps, p.pe), 6) AS ps_region_industry, round(coalesce(ps2, pe2), 6) AS ps_industry FROM pu JOIN p USING (region, industry) JOIN p2 USING (industry)""")
 def peer_lenses(spark, d):
     out = S.peer_lenses(peer_universe(spark, d), ["pe", "ps"], backups={"ps": "pe"})
     return out.select("symbol", *[F.round(F.element_at(m, lens), 6).alias(f"{m}_{lens.replace('-', '_')}") for m in ("pe", "ps") for lens in ("region-industry", "industry")])

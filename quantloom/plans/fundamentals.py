@@ -144,7 +144,10 @@ def graham_number(spark, d):
     return valued(V.graham(inputs(spark, d), ("pe1", "pe2"), ("pb1", "pb2")))
 
 
-@query("relative_value")
+REL = lambda values, multiples, formula: f"SELECT symbol, price, least(greatest({formula}, 0.2 * price), 5 * price) AS p FROM inputs JOIN (SELECT symbol, unnest(list_filter([{', '.join(values)}], lambda x: x IS NOT NULL)) AS e FROM inputs) USING (symbol) JOIN (SELECT symbol, unnest(list_filter([{', '.join(multiples)}], lambda x: x IS NOT NULL)) AS m FROM inputs) USING (symbol)"
+
+
+@query("relative_value", f"WITH {INPUT_SQL}, c AS ({REL(EPS0, ['pe1', 'pe2'], 'e * m')} UNION ALL {REL(V.REV, ['ps1', 'ps2'], 'e * m / shares')} UNION ALL {REL(V.EPS, ['pb1', 'pb2'], 'greatest(bvps + e - dps, 0) * m')}) SELECT symbol, round(min(p), 6) AS low, round(avg(p), 6) AS avg, round(max(p), 6) AS high, round(avg(p / price - 1), 6) AS ret, round(stddev_pop(p / price - 1) / sqrt(5), 6) AS se FROM c GROUP BY symbol")
 def relative_value(spark, d):
     return valued(V.relative_value(inputs(spark, d), ("pe1", "pe2"), ("ps1", "ps2"), ("pb1", "pb2")))
 
@@ -196,9 +199,14 @@ LEX = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in X.LEXICON.items()) + "}"
 TICKERS = f"list_filter(regexp_extract_all(text, '\\b([A-Z]{{2,5}})\\b', 1), lambda t: t NOT IN ({', '.join(repr(t) for t in X.NOT_TICKERS)}))"
 
 
-@query("ticker_mentions")
+WORDS_SQL = "regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)"
+
+
+@query("ticker_mentions", f"""WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')), s AS (SELECT doc_id, list_sum(list_transform({WORDS_SQL}, lambda t: coalesce({LEX}[t], 0))) AS x, list_filter({WORDS_SQL}, lambda w: w NOT IN ({', '.join(repr(w) for w in X.STOP)})) AS w, unnest({TICKERS}) AS ticker FROM d),
+m AS (SELECT ticker, count(*) AS mentions, avg(coalesce({SENT}, 0)) AS a, stddev_pop(coalesce({SENT}, 0)) AS sd FROM s GROUP BY 1), c AS (SELECT ticker, word, count(*) AS n FROM (SELECT ticker, unnest(w) AS word FROM s) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY n DESC, word) AS r FROM c), l AS (SELECT ticker, string_agg(word, ', ' ORDER BY r) AS top_words FROM t WHERE r <= 3 GROUP BY 1)
+SELECT ticker, mentions, round(a, 6) AS avg_sentiment, round(sd, 6) AS sentiment_std, top_words FROM m LEFT JOIN l USING (ticker)""")
 def ticker_mentions(spark, d):
-    docs = parquet(spark, d, "documents")
+    docs = parquet(spark, d, "documents").filter(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
     return rounded(X.mentions(docs), "avg_sentiment", "sentiment_std")
 
 

@@ -13,7 +13,7 @@ from quantloom.plans.fundamentals import inputs
 from quantloom.plans.panels import quarters
 from quantloom.plans.performance import BENCH, RETS, benchmark, weekly_returns
 from quantloom.plans.technical import rounded
-from quantloom.sources.tables import bars, parquet, universe
+from quantloom.sources.tables import UNIVERSE_SQL, bars, parquet, universe
 from quantloom.streaming import events as S
 
 Q: dict = {}
@@ -134,3 +134,61 @@ def event_sessions(spark, d):
 @query("event_sliding", "WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, value FROM events) SELECT start, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY start")
 def event_sliding(spark, d):
     return S.sliding(parquet(spark, d, "events")).select("start", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("calibration")
+def calibration(spark, d):
+    from quantloom.operators import indicators as I
+
+    return floats(I.calibrate(spark, bars(spark, d).filter("symbol <= 40")))
+
+
+@query("shrinkage_covariance")
+def shrinkage_covariance(spark, d):
+    return floats(E.shrunk_covariances(weekly_returns(spark, d).filter("symbol <= 60 AND ret IS NOT NULL")), 8)
+
+
+@query("factor_monte_carlo")
+def factor_monte_carlo(spark, d):
+    r = weekly_returns(spark, d)
+    by = r.join(universe(spark, d).select("symbol", "region"), "symbol").filter("ret IS NOT NULL")
+    f = by.groupBy("date").pivot("region", ["AFRICA", "ASIA"]).agg(F.avg("ret")).na.fill(0.0)
+    return floats(E.factor_monte_carlo(r.join(f, "date"), ["AFRICA", "ASIA"], sims=300), 4)
+
+
+@query("direct_quantiles")
+def direct_quantiles(spark, d):
+    from quantloom.operators import align as A
+
+    w = P.over("symbol")
+    r = weekly_returns(spark, d)
+    panel = r.select("symbol", "date", "ret", F.lag("ret").over(w).alias("l1"), A.forward_sum("ret", 4).alias("target"))
+    return floats(X.direct_quantiles(panel, ["ret", "l1"]), 4)
+
+
+@query("peer_features", f"""WITH {RETS}, {UNIVERSE_SQL}, j AS (SELECT r.*, region FROM r JOIN universe USING (symbol)), l AS (SELECT *, sum(ret) OVER (PARTITION BY date) AS t1, count(ret) OVER (PARTITION BY date) AS n1, sum(ret) OVER (PARTITION BY region, date) AS t2, count(ret) OVER (PARTITION BY region, date) AS n2, (ret IS NOT NULL)::INT AS own FROM j), m AS (SELECT symbol, date, ret, CASE WHEN n1 > own THEN (t1 - coalesce(ret, 0)) / (n1 - own) END AS market, CASE WHEN n2 > own THEN (t2 - coalesce(ret, 0)) / (n2 - own) END AS grp FROM l),
+c AS (SELECT x.symbol AS src, y.symbol AS dst, corr(x.ret, y.ret) AS rho, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.symbol <> y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY ALL), t AS (SELECT src, dst FROM c WHERE n >= 30 QUALIFY row_number() OVER (PARTITION BY src ORDER BY abs(rho) DESC, dst) <= 5), p AS (SELECT src AS symbol, r.date, avg(r.ret) AS peers FROM t JOIN r ON r.symbol = t.dst GROUP BY ALL)
+SELECT m.symbol, m.date, round(m.ret, 6) AS ret, round(lag(market) OVER w, 6) AS market_l1, round(lag(grp) OVER w, 6) AS group_mean_l1, round(lag(peers) OVER w, 6) AS peers_l1 FROM m LEFT JOIN p ON p.symbol = m.symbol AND p.date = m.date WINDOW w AS (PARTITION BY m.symbol ORDER BY m.date)""")
+def peer_features(spark, d):
+    g = universe(spark, d).select("symbol", F.col("region").alias("grp"))
+    return floats(X.peer_features(weekly_returns(spark, d), g))
+
+
+@query("joint_paths")
+def joint_paths(spark, d):
+    return floats(X.joint_paths(weekly_returns(spark, d).filter("symbol <= 15 AND ret IS NOT NULL"), sims=200), 4)
+
+
+def _grid(name, fn, params):
+    from quantloom.operators import indicators as I
+
+    @query(name)
+    def run(spark, d):
+        out = I.best(fn(I, bars(spark, d)), ["symbol"], params)
+        return floats(out.select("symbol", *params, "n", "sharpe", "t_stat", "p_value"))
+
+
+_grid("atr_grid", lambda I, b: I.breakout_grid(b, [0.5, 1.0, 1.5]), ["mult"])
+_grid("stochastic_grid", lambda I, b: I.stochastic_grid(b, [15, 20, 25], [75, 80, 85]), ["low", "high"])
+_grid("vwap_grid", lambda I, b: I.vwap_grid(b, [10, 20, 40]), ["window"])
+_grid("obv_grid", lambda I, b: I.obv_grid(b, [10, 20, 40]), ["lookback"])

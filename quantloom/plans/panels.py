@@ -246,7 +246,8 @@ def target_dispersion(spark, d):
     return t.select("symbol", F.round((F.col("hi") - F.col("lo")) / (2 * z * F.col("p")), 6).alias("sigma"))
 
 
-@query("synthetic_forecast")
+@query("synthetic_forecast", f"""WITH {QUARTERS}, g AS (SELECT country AS symbol, sales / lag(sales) OVER (PARTITION BY country ORDER BY date) - 1 AS g FROM qs), q AS (SELECT symbol, quantile_cont(g, 0.25) AS a, quantile_cont(g, 0.75) AS b FROM g GROUP BY 1), k AS (SELECT symbol, min(g) AS lo, avg(g) AS av, max(g) AS hi FROM g JOIN q USING (symbol) WHERE g BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) GROUP BY 1), l AS (SELECT country AS symbol, arg_max(sales, date) AS base FROM qs GROUP BY 1), s AS (SELECT *, unnest(range(1, 7)) AS step FROM l JOIN k USING (symbol)), f AS (SELECT *, base * pow(1 + av, greatest(step - 2, 0)) AS before FROM s)
+SELECT symbol, step::INTEGER AS step, round(CASE WHEN step = 1 THEN base ELSE before * (1 + lo) END, 2) AS low, round(CASE WHEN step = 1 THEN base ELSE before * (1 + av) END, 2) AS avg, round(CASE WHEN step = 1 THEN base ELSE before * (1 + hi) END, 2) AS high FROM f""")
 def synthetic_forecast(spark, d):
     h = quarters(spark, d).select(F.col("country").alias("symbol"), "date", F.col("sales").alias("value"))
     return rounded(A.synthetic_forecast(h), "low", "avg", "high", n=2)
@@ -258,7 +259,8 @@ def unit_flip_repair(spark, d):
     return rounded(A.repair_unit_flips(b), "close")
 
 
-@query("fx_conversion")
+@query("fx_conversion", f"""WITH {BARS_SQL}, c AS (SELECT symbol, date, close, CASE symbol % 3 WHEN 0 THEN 'GBP' WHEN 1 THEN 'USD' ELSE 'JPY' END AS ccy FROM bars), w AS (SELECT DISTINCT date FROM bars WHERE isodow(date) < 6), g AS (SELECT (SELECT min(date) FROM bars) AS lo)
+SELECT symbol, c.date, ccy, round(close * CASE ccy WHEN 'GBP' THEN 1 WHEN 'USD' THEN 1 / (1.3 + dayofyear(w.date) / 1000) ELSE 1 / (110 + dayofyear(w.date) / 10) / (1.3 + dayofyear(w.date) / 1000) END, 6) AS close FROM c ASOF LEFT JOIN w ON c.date >= w.date""")
 def fx_conversion(spark, d):
     b = bars(spark, d).select("symbol", "date", "close", F.when(F.col("symbol") % 3 == 0, "GBP").when(F.col("symbol") % 3 == 1, "USD").otherwise("JPY").alias("ccy"))
     days = b.select("date").distinct()
