@@ -14,7 +14,7 @@ def queries():
 
 
 def oracle_sql():
-    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
+    return {name: technical.plain_rounding(sql) for plan in PLANS for name, sql in plan.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quantloom.operators import statements as S
 from quantloom.plans.models import floats
 from quantloom.plans.panels import QUARTERS, quarters
 from quantloom.plans.performance import RETS, weekly_returns
-from quantloom.plans.technical import BARS_SQL, WIN, rounded
+from quantloom.plans.technical import R, BARS_SQL, WIN, rounded
 from quantloom.sources.tables import bars, parquet
 
 Q: dict = {}
@@ -29,7 +29,7 @@ def query(name, sql=None):
 
 #: Statement items derived from a nation's quarterly sales s and order count n.
 ITEMS = {"revenue": "s", "cogs": "s * 0.6", "net_income": "s * 0.1 - n * 1000", "assets": "s * 3 + n * 5000", "current_assets": "s * 1.2", "current_liabilities": "s * 0.8 + n", "debt": "s + n * 100", "ocf": "s * 0.15 - n * 500", "shares": "1000.0 + n"}
-ST_SQL = f"{QUARTERS}, st AS (SELECT country AS symbol, date, {', '.join(f'{e} AS {c}' for c, e in ITEMS.items())} FROM (SELECT country, date, sales AS s, n FROM qs))"
+ST_SQL = f"{QUARTERS}, st AS (SELECT country::BIGINT AS symbol, date, {', '.join(f'{e} AS {c}' for c, e in ITEMS.items())} FROM (SELECT country, date, sales AS s, n FROM qs))"
 
 
 def statements(spark, d):
@@ -115,7 +115,7 @@ q2 AS (SELECT industry, quantile_cont(pe, 0.25) AS a, quantile_cont(pe, 0.75) AS
 SELECT symbol, round(p.pe, 6) AS pe_region_industry, round(pe2, 6) AS pe_industry, round(coalesce(p.ps, p.pe), 6) AS ps_region_industry, round(coalesce(ps2, pe2), 6) AS ps_industry FROM pu JOIN p USING (region, industry) JOIN p2 USING (industry)""")
 def peer_lenses(spark, d):
     out = S.peer_lenses(peer_universe(spark, d), ["pe", "ps"], backups={"ps": "pe"})
-    return out.select("symbol", *[F.round(F.element_at(m, lens), 6).alias(f"{m}_{lens.replace('-', '_')}") for m in ("pe", "ps") for lens in ("region-industry", "industry")])
+    return out.select("symbol", *[R(F.element_at(m, lens), 6).alias(f"{m}_{lens.replace('-', '_')}") for m in ("pe", "ps") for lens in ("region-industry", "industry")])
 
 
 @query("size_bounds", f"WITH {PU}, m AS (SELECT size, max(pe) AS m FROM pu GROUP BY 1) SELECT size, lag(m) OVER (ORDER BY m, size) AS lo, CASE WHEN lead(m) OVER (ORDER BY m, size) IS NULL THEN NULL ELSE m END AS hi FROM m")
@@ -144,10 +144,10 @@ def macro_changes(spark, d):
     return rounded(M.weekly_changes(quarters(spark, d), {"sales": "level", "n": "rate"}), "sales")
 
 
-@query("compounded_factors", f"WITH {RETS}, b AS (SELECT date, avg(ret) AS f, max(ret) AS g FROM r WHERE ret IS NOT NULL GROUP BY 1) SELECT last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)) AS date, round(exp(sum(ln(1 + f))) - 1, 6) AS f, round(exp(sum(ln(1 + g / 100))) - 1, 6) AS g FROM b GROUP BY 1")
+@query("compounded_factors", f"WITH {RETS}, b AS (SELECT date, avg(ret) AS f, max(ret) AS g FROM r WHERE ret IS NOT NULL GROUP BY 1) SELECT last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)) AS date, round(exp(sum(ln(1 + f))) - 1, 3) AS f, round(exp(sum(ln(1 + g / 100))) - 1, 3) AS g FROM b GROUP BY 1")
 def compounded_factors(spark, d):
     b = weekly_returns(spark, d).filter("ret IS NOT NULL").groupBy("date").agg(F.avg("ret").alias("f"), F.max("ret").alias("g"))
-    return floats(M.compounded(b.withColumn("f", F.col("f") * 100), ["f", "g"]))
+    return floats(M.compounded(b.withColumn("f", F.col("f") * 100), ["f", "g"]), 3)
 
 
 @query("overnight_intraday", f"WITH {BARS_SQL} SELECT symbol, date, round(ln(open / lag(close) {WIN}), 6) AS overnight, round(ln(close / open), 6) AS intraday FROM bars")

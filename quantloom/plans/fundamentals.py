@@ -8,7 +8,7 @@ from quantloom.operators import scores as S
 from quantloom.operators import text as X
 from quantloom.operators import valuation as V
 from quantloom.plans.performance import BENCH, RETS, benchmark, weekly_returns
-from quantloom.plans.technical import rounded
+from quantloom.plans.technical import R, rounded
 from quantloom.sources.tables import parquet
 
 Q: dict = {}
@@ -56,7 +56,7 @@ MODELS = "models AS (SELECT s_suppkey AS symbol, m AS model, CASE WHEN (s_suppke
 
 
 def models(spark, d):
-    s = parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("model"))
+    s = parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long"))).alias("model"))
     ret = F.when((F.col("symbol") * (F.col("model") + 3)) % 11 == 0, 0.0).otherwise(((F.col("symbol") * (F.col("model") * 7 + 5)) % 83) / 100.0 - 0.3)
     return s.select("symbol", "model", ret.alias("ret"), (((F.col("symbol") * (F.col("model") + 11)) % 37) / 100.0 + 0.01).alias("se"))
 
@@ -161,7 +161,7 @@ TRIPLES = lambda p: f"[{', '.join(f'[{p}_low * {k}, {p}_avg_y * {k}, {p}_high_y
 DCF_SQL = f"""WITH {INPUT_SQL}, p AS (SELECT *, unnest(range(0, 27)) AS path FROM inputs), x AS (SELECT *, {TRIPLES('rev')} AS rev, {TRIPLES('eps')} AS eps, 1.0 + symbol % 5 AS b0 FROM p),
 y AS (SELECT *, {' + '.join(f'(b0 + 0.1 * rev[{t + 1}][(path // {3**t}) % 3 + 1] + 2.0 * eps[{t + 1}][(path // {3**t}) % 3 + 1]) * pow(1 + coe, -{t + 1})' for t in range(3))} AS pv, greatest(eps[3][(path // 9) % 3 + 1], 0) * pow(1 + coe, -3) AS last FROM x),
 z AS (SELECT symbol, price, least(greatest(pv / shares + m * last, 0.2 * price), 5 * price) AS v FROM (SELECT *, unnest(list_filter([pe1, pe2], lambda q: q IS NOT NULL)) AS m FROM y))
-SELECT symbol, price, round(quantile_cont(v, 0.1), 5) AS p10, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.9), 5) AS p90, round(stddev_pop(v), 5) AS sd FROM z GROUP BY symbol, price"""
+SELECT symbol, price::DOUBLE AS price, round(quantile_cont(v, 0.1), 5) AS p10, round(quantile_cont(v, 0.5), 5) AS p50, round(quantile_cont(v, 0.9), 5) AS p90, round(stddev_pop(v), 5) AS sd FROM z GROUP BY symbol, price"""
 
 
 def scenario_inputs(spark, d):
@@ -220,7 +220,7 @@ def ticker_counts(spark, d):
 @query("conversation_sentiment", f"WITH w AS (SELECT conv_id, turn, list_sum(list_transform(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda t: coalesce({LEX}[t], 0))) AS x FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT conv_id, count(*) AS turns, round(avg(coalesce({SENT}, 0)), 6) AS sentiment FROM w GROUP BY 1")
 def conversation_sentiment(spark, d):
     c = parquet(spark, d, "conversations").filter(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.round(F.avg(X.sentiment(F.col("text"))), 6).alias("sentiment"))
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), R(F.avg(X.sentiment(F.col("text"))), 6).alias("sentiment"))
 
 
 @query("page_links", "SELECT page_id, len(regexp_extract_all(html, '<a\\s', 0)) AS links FROM pages")

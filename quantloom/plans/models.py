@@ -12,7 +12,7 @@ from quantloom.operators import valuation as V
 from quantloom.plans.fundamentals import inputs
 from quantloom.plans.panels import quarters
 from quantloom.plans.performance import BENCH, RETS, benchmark, weekly_returns
-from quantloom.plans.technical import rounded
+from quantloom.plans.technical import R, rounded
 from quantloom.sources.tables import UNIVERSE_SQL, bars, parquet, universe
 from quantloom.streaming import events as S
 
@@ -48,7 +48,7 @@ def betas_blended(spark, d):
 def beta_ols(spark, d):
     r = weekly_returns(spark, d)
     rows = r.filter("ret IS NOT NULL").join(benchmark(r), "date")
-    return rows.groupBy("symbol").agg(F.round(F.regr_slope("ret", "bench"), 6).alias("beta"), F.round(F.regr_intercept("ret", "bench"), 6).alias("alpha"), F.round(F.regr_r2("ret", "bench"), 6).alias("r2"))
+    return rows.groupBy("symbol").agg(R(F.regr_slope("ret", "bench"), 6).alias("beta"), R(F.regr_intercept("ret", "bench"), 6).alias("alpha"), R(F.regr_r2("ret", "bench"), 6).alias("r2"))
 
 
 @query("vasicek_betas")
@@ -123,17 +123,17 @@ def correlation_neighbours(spark, d):
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS top FROM events GROUP BY ALL")
 def event_windows(spark, d):
-    return S.tumbling(parquet(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"), "top")
+    return S.tumbling(parquet(spark, d, "events")).select("start", "event_type", "n", R("total", 4).alias("total"), "top")
 
 
 @query("event_sessions", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k")
 def event_sessions(spark, d):
-    return S.sessions(parquet(spark, d, "events")).select("user_id", "start", "n", F.round("total", 4).alias("total"))
+    return S.sessions(parquet(spark, d, "events")).select("user_id", "start", "n", R("total", 4).alias("total"))
 
 
 @query("event_sliding", "WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, value FROM events) SELECT start, count(*) AS n, round(avg(value), 6) AS mean FROM w GROUP BY start")
 def event_sliding(spark, d):
-    return S.sliding(parquet(spark, d, "events")).select("start", "n", F.round("mean", 6).alias("mean"))
+    return S.sliding(parquet(spark, d, "events")).select("start", "n", R("mean", 6).alias("mean"))
 
 
 @query("calibration")

