@@ -58,16 +58,20 @@ def ewm_mean(x: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def ewm_std(x: np.ndarray, alpha: float) -> np.ndarray:
-    """adjust=False, bias-corrected; NULL for the first value."""
+    """adjust=False, bias-corrected; NULL for the first value. Gaps keep the last value."""
     out = np.full(len(x), np.nan)
-    s1 = s2 = w = w2 = 0.0
+    mean, var, w2 = np.nan, 0.0, 1.0
     for i, v in enumerate(x):
         if not np.isnan(v):
-            keep, add = (0.0, 1.0) if w == 0 else (1 - alpha, alpha)
-            s1, s2 = keep * s1 + add * v, keep * s2 + add * v * v
-            w, w2 = keep * w + add, keep * keep * w2 + add * add
-        if w > 0 and 1 - w2 > 1e-12:
-            out[i] = np.sqrt(max(s2 - s1 * s1, 0.0) / (1 - w2))
+            if np.isnan(mean):
+                mean = v
+            else:
+                d = v - mean
+                mean += alpha * d
+                var = (1 - alpha) * (var + alpha * d * d)
+                w2 = (1 - alpha) ** 2 * w2 + alpha**2
+        if 1 - w2 > 1e-12:
+            out[i] = np.sqrt(var / (1 - w2))
     return out
 
 

@@ -86,30 +86,30 @@ def arma_ensemble(y: np.ndarray, horizon: int, orders=((0, 0), (1, 0), (0, 1), (
     return sum(wi * f for wi, (_, f) in zip(w, fits, strict=True)), w.tolist()
 
 
-def garch(r: np.ndarray, steps: int = 60) -> tuple[float, float, float, np.ndarray]:
-    """GARCH(1,1) by variance targeting and a shrinking grid over (alpha, beta): omega, alpha, beta, variances."""
+def garch(r: np.ndarray) -> tuple[float, float, float, np.ndarray]:
+    """GARCH(1,1) by variance targeting and a shrinking grid over (alpha, beta): omega, alpha, beta, variances. The grid's
+    candidates run through the recurrence together."""
     v = float(r.var()) + 1e-16
+    sq = (r * r).tolist()
 
-    def path(a, b):
-        s = np.empty(len(r))
+    def paths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s = np.empty((len(sq), len(a)))
         s[0] = v
         w = v * (1 - a - b)
-        for t in range(1, len(r)):
-            s[t] = w + a * r[t - 1] ** 2 + b * s[t - 1]
+        for t in range(1, len(sq)):
+            s[t] = w + a * sq[t - 1] + b * s[t - 1]
         return s
 
-    def loss(a, b):
-        if a < 0 or b < 0 or a + b >= 0.999:
-            return math.inf
-        s = path(a, b)
-        return float((np.log(s) + r * r / s).sum())
-
-    best, span = (loss(0.05, 0.9), 0.05, 0.9), 0.1
+    best, span = (0.05, 0.9), 0.1
+    step = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], float)
     for _ in range(8):
-        best = min([best, *[(loss(best[1] + i * span, best[2] + j * span), best[1] + i * span, best[2] + j * span) for i in (-1, 0, 1) for j in (-1, 0, 1)]])
+        ab = np.array(best) + span * step
+        ab = ab[(ab >= 0).all(1) & (ab.sum(1) < 0.999)]
+        s = paths(ab[:, 0], ab[:, 1])
+        best = tuple(ab[(np.log(s) + np.array(sq)[:, None] / s).sum(0).argmin()])
         span *= 0.6
-    _, a, b = best
-    return v * (1 - a - b), a, b, path(a, b)
+    a, b = map(float, best)
+    return v * (1 - a - b), a, b, paths(np.array([a]), np.array([b]))[:, 0]
 
 
 def garch_forecast(omega: float, a: float, b: float, last_var: float, last_r: float, horizon: int) -> np.ndarray:
@@ -133,33 +133,44 @@ def garch_or_ewma(r: np.ndarray, horizon: int) -> np.ndarray:
 
 def two_regimes(r: np.ndarray, steps: int = 60) -> dict:
     """Two-state Gaussian hidden Markov model of volatility by expectation-maximisation."""
-    s = np.array([0.5, 1.8]) * (r.std() + 1e-12)
-    a, pi = np.array([[0.95, 0.05], [0.1, 0.9]]), np.array([0.7, 0.3])
+    n, sd = len(r), float(r.std()) + 1e-12
+    s0, s1, p, q, pi = 0.5 * sd, 1.8 * sd, 0.95, 0.9, 0.7
     old = -math.inf
+    post = np.full((n, 2), 0.5)
     for _ in range(steps):
-        like = np.exp(-0.5 * (r[:, None] / s) ** 2) / s + 1e-300
-        f, c = np.empty((len(r), 2)), np.empty(len(r))
-        f[0] = pi * like[0]
-        c[0] = f[0].sum()
-        f[0] /= c[0]
-        for t in range(1, len(r)):
-            f[t] = (f[t - 1] @ a) * like[t]
-            c[t] = f[t].sum()
-            f[t] /= c[t]
-        g = np.ones((len(r), 2))
-        for t in range(len(r) - 2, -1, -1):
-            g[t] = a @ (like[t + 1] * g[t + 1]) / c[t + 1]
-        post = f * g
-        post /= post.sum(1, keepdims=True)
-        xi = sum(np.outer(f[t], like[t + 1] * g[t + 1]) * a / c[t + 1] for t in range(len(r) - 1))
-        a, pi = xi / xi.sum(1, keepdims=True), post[0]
-        s = np.sqrt((post * r[:, None] ** 2).sum(0) / post.sum(0)) + 1e-12
+        l0 = (np.exp(-0.5 * (r / s0) ** 2) / s0 + 1e-300).tolist()
+        l1 = (np.exp(-0.5 * (r / s1) ** 2) / s1 + 1e-300).tolist()
+        f0, c = [0.0] * n, [0.0] * n
+        x, y = pi * l0[0], (1 - pi) * l1[0]
+        c[0] = x + y
+        f0[0] = x / c[0]
+        for t in range(1, n):
+            a = f0[t - 1]
+            x, y = (a * p + (1 - a) * (1 - q)) * l0[t], (a * (1 - p) + (1 - a) * q) * l1[t]
+            c[t] = x + y
+            f0[t] = x / c[t]
+        g0 = g1 = 1.0
+        post0 = [0.0] * n
+        post0[-1] = f0[-1]
+        stay0 = go0 = stay1 = go1 = 0.0
+        for t in range(n - 2, -1, -1):
+            u, w = l0[t + 1] * g0 / c[t + 1], l1[t + 1] * g1 / c[t + 1]
+            a = f0[t]
+            stay0, go0 = stay0 + a * p * u, go0 + a * (1 - p) * w
+            stay1, go1 = stay1 + (1 - a) * q * w, go1 + (1 - a) * (1 - q) * u
+            g0, g1 = p * u + (1 - p) * w, (1 - q) * u + q * w
+            x, y = a * g0, (1 - a) * g1
+            post0[t] = x / (x + y)
+        p, q, pi = stay0 / max(stay0 + go0, 1e-300), stay1 / max(stay1 + go1, 1e-300), post0[0]
+        z = np.array(post0)
+        s0, s1 = math.sqrt(z @ (r * r) / max(z.sum(), 1e-300)) + 1e-12, math.sqrt((1 - z) @ (r * r) / max((1 - z).sum(), 1e-300)) + 1e-12
+        post = np.column_stack([z, 1 - z])
         now = float(np.log(c).sum())
         if now - old < 1e-6:
             break
         old = now
-    order = np.argsort(s)
-    return {"sigma": s[order], "stay": np.diag(a)[order], "last": post[-1][order], "loglik": old}
+    order = np.argsort([s0, s1])
+    return {"sigma": np.array([s0, s1])[order], "stay": np.array([p, q])[order], "last": post[-1][order], "loglik": old}
 
 
 def gpd_tail(r: np.ndarray, q: float = 0.95, least: int = 10) -> tuple[float, float, float] | None:
