@@ -85,9 +85,13 @@ def headers(df: DataFrame) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily OHLCV of each supplier: prices are l_extendedprice / l_quantity in line order."""
+    """Daily OHLCV of each supplier: prices are l_extendedprice / l_quantity in line order.
+
+    The order is one decimal (order key, line number, part key), which a hash aggregate can hold; a struct would sort the rows.
+    """
     line = parquet(spark, sf_dir, "lineitem")
-    at = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    key = F.col("l_orderkey").cast("decimal(20,0)") * F.lit(10**16).cast("decimal(17,0)")
+    at = (key + F.col("l_linenumber").cast("decimal(17,0)") * F.lit(10**13).cast("decimal(14,0)") + F.col("l_partkey")).cast("decimal(38,0)")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     rows = line.select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), price.alias("p"), at.alias("at"), F.col("l_quantity").alias("q"))
     return rows.groupBy("symbol", "date").agg(F.min_by("p", "at").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "at").alias("close"), F.sum("q").alias("volume"))
