@@ -93,7 +93,7 @@ def gather(df: DataFrame, n: int, kinds: tuple[str, ...], reduce, schema: str) -
         if blobs:
             yield from reduce(*from_blobs(blobs, kinds))
 
-    return df.repartition(n, "to").mapInArrow(run, schema)
+    return df.repartitionById(n, F.col("to").cast("int")).mapInArrow(run, schema)
 
 
 BLOBS = "to bigint, data binary"
@@ -291,7 +291,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     last = "kept_sha256" if digest else "kept_text"
     schema = T.StructType([T.StructField(id_col, long), T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField(last, text)])
     both = placed.select("block", "id", "text", F.lit(None).cast("binary").alias("data")).unionByName(found.select(F.col("to").alias("block"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "data"))
-    dealt_out = both.repartition(parts, "block").sortWithinPartitions("block")
+    dealt_out = both.repartitionById(parts, F.col("block").cast("int")).sortWithinPartitions("block")
 
     def finish(ids: list, texts: list, blobs: list[bytes]) -> pa.RecordBatch:
         docs = [C.ascii_words(t) for t in texts]
