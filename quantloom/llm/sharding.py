@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 VNODES = 4096
-SLACK = 0.002
+SLACK = 0.0005
 
 
 def ring(shards: int, vnodes: int = VNODES) -> tuple[np.ndarray, np.ndarray]:
