@@ -240,3 +240,48 @@ def jump_days(spark, d):
 @query("autocorrelation", f"WITH {BARS_SQL}, r AS (SELECT symbol, date, close / lag(close) {WIN} - 1 AS ret FROM bars), l AS (SELECT *, lag(ret) {WIN} AS l FROM r) SELECT symbol, round(corr(ret, l), 6) AS rho FROM l GROUP BY symbol")
 def autocorrelation(spark, d):
     return rounded(I.autocorrelation(bars(spark, d).select("symbol", "date", P.pct_change("close", I.W()).alias("ret"))), "rho")
+
+
+MFI = f"t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), f AS (SELECT *, CASE WHEN tp > lag(tp) {WIN} THEN tp * volume ELSE 0 END AS up, CASE WHEN tp < lag(tp) {WIN} THEN tp * volume ELSE 0 END AS dn FROM t), m AS (SELECT *, 100 - 100 / (1 + {MIN('sum', 'up', 14)} / nullif({MIN('sum', 'dn', 14)}, 0)) AS mfi FROM f), g AS (SELECT *, lag(mfi) {WIN} AS m1 FROM m)"
+
+
+@query("mfi_positions", f"WITH {BARS_SQL}, {MFI}, p AS (SELECT *, CASE WHEN mfi < 80 AND m1 >= 80 THEN -1 WHEN mfi > 20 AND m1 <= 20 THEN 1 END AS pulse FROM g) SELECT symbol, date, coalesce(last_value(pulse IGNORE NULLS) {WIN}, 0)::INTEGER AS position FROM p")
+def mfi_positions(spark, d):
+    pre = I.mfi(bars(spark, d))
+    up = P.crosses_over("mfi", "_low", I.W())
+    rows = pre.withColumn("_low", F.lit(20.0)).withColumn("_high", F.lit(80.0))
+    rows = rows.withColumn("_b", up).withColumn("_s", P.crosses_under("mfi", "_high", I.W()))
+    return rows.select("symbol", "date", I.held(F.col("_b"), F.col("_s")).alias("position"))
+
+
+STOCH = f"k AS (SELECT *, 100 * (close - {MIN('min', 'low', 14)}) / nullif({MIN('max', 'high', 14)} - {MIN('min', 'low', 14)}, 0) AS k FROM bars), d AS (SELECT *, {MIN('avg', 'k', 3)} AS d FROM k), e AS (SELECT symbol, date, round(k, 6) AS k, round(d, 6) AS d FROM d), c AS (SELECT *, k > d AND lag(k) {WIN} <= lag(d) {WIN} AS up, k < d AND lag(k) {WIN} >= lag(d) {WIN} AS down FROM e)"
+
+
+@query("stochastic_crosses", f"WITH {BARS_SQL}, {STOCH} SELECT symbol, count(*) FILTER (up AND k < 20) AS buys, count(*) FILTER (down AND k > 80) AS sells FROM c GROUP BY symbol")
+def stochastic_crosses(spark, d):
+    rows = rounded(I.stochastic(bars(spark, d)), "stoch_k", "stoch_d")
+    rows = rows.withColumn("up", P.crosses_over("stoch_k", "stoch_d", I.W())).withColumn("down", P.crosses_under("stoch_k", "stoch_d", I.W()))
+    return rows.groupBy("symbol").agg(F.count(F.when(F.col("up") & (F.col("stoch_k") < 20), 1)).alias("buys"), F.count(F.when(F.col("down") & (F.col("stoch_k") > 80), 1)).alias("sells"))
+
+
+@query("obv_divergence", f"WITH {BARS_SQL}, {OBV}, x AS (SELECT *, {MIN('max', 'close', 20, 1)} AS ch, {MIN('min', 'close', 20, 1)} AS cl, {MIN('max', 'obv', 20, 1)} AS oh, {MIN('min', 'obv', 20, 1)} AS ol FROM obv) SELECT symbol, count(*) FILTER (close < cl AND obv >= ol) AS buys, count(*) FILTER (close > ch AND obv <= oh) AS sells FROM x GROUP BY symbol")
+def obv_divergence(spark, d):
+    rows = I.breakouts(I.obv(bars(spark, d)), 20)
+    buy = (F.col("close") < F.col("close_lo_prev")) & (F.col("obv") >= F.col("obv_lo_prev"))
+    sell = (F.col("close") > F.col("close_hi_prev")) & (F.col("obv") <= F.col("obv_hi_prev"))
+    return rows.groupBy("symbol").agg(F.count(F.when(buy, 1)).alias("buys"), F.count(F.when(sell, 1)).alias("sells"))
+
+
+@query("atr_breakouts", f"WITH {BARS_SQL}, {TR}, a AS (SELECT *, {MIN('avg', 'tr', 14)} AS atr, {MIN('max', 'high', 20, 1)} AS hi, {MIN('min', 'low', 20, 1)} AS lo FROM tr), b AS (SELECT *, lag(atr) {WIN} AS a1 FROM a) SELECT symbol, count(*) FILTER (close > hi + 0.5 * a1) AS buys, count(*) FILTER (close < lo - 0.5 * a1) AS sells FROM b GROUP BY symbol")
+def atr_breakouts(spark, d):
+    rows = I.breakouts(I.atr(bars(spark, d)))
+    a1 = F.lag("atr").over(I.W())
+    rows = rows.withColumn("b", F.col("close") > F.col("hi_prev") + 0.5 * a1).withColumn("s", F.col("close") < F.col("lo_prev") - 0.5 * a1)
+    return rows.groupBy("symbol").agg(F.count(F.when(F.col("b"), 1)).alias("buys"), F.count(F.when(F.col("s"), 1)).alias("sells"))
+
+
+@query("ema_crosses", f"WITH {BARS_SQL}, {NUM}, f AS {EWM('r', 'close', '(2.0/13)')}, s AS {EWM('r', 'close', '(2.0/27)')}, j AS (SELECT f.symbol, f.date, f.v AS f, s.v AS s FROM f JOIN s USING (symbol, date)), c AS (SELECT *, lag(f) {WIN} AS f1, lag(s) {WIN} AS s1 FROM j) SELECT symbol, count(*) FILTER (f > s AND f1 <= s1) AS buys, count(*) FILTER (f < s AND f1 >= s1) AS sells FROM c WHERE abs(f - s) > 1e-6 GROUP BY symbol")
+def ema_crosses(spark, d):
+    rows = I.exponential(bars(spark, d))
+    rows = rows.withColumn("b", P.crosses_over("ema_fast", "ema_slow", I.W())).withColumn("s", P.crosses_under("ema_fast", "ema_slow", I.W())).filter("abs(ema_fast - ema_slow) > 1e-6")
+    return rows.groupBy("symbol").agg(F.count(F.when(F.col("b"), 1)).alias("buys"), F.count(F.when(F.col("s"), 1)).alias("sells"))
