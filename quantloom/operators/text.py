@@ -17,19 +17,23 @@ STOP = ("the", "of", "and", "to", "in", "is", "a", "for", "on", "with", "it", "t
 NOT_TICKERS = ("THE", "AND", "OF", "TO", "IN", "IS", "FOR", "IT", "ON", "CEO", "USA", "ETF", "IPO", "YOLO")
 
 
+#: A word in any script, as Python's re takes it (Java's own classes differ between releases).
+WORD = r"([\p{L}\p{N}_]+)"
+
+
 def tickers(text: Column, stop: tuple[str, ...] = NOT_TICKERS) -> Column:
-    """Runs of 2 to 5 capitals, duplicates kept."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,5})\b"), 1), lambda t: ~t.isin(*stop))
+    """Words of 2 to 5 capitals A to Z, duplicates kept."""
+    return F.filter(F.regexp_extract_all(text, F.lit(WORD), 1), lambda t: t.rlike(r"\A[A-Z]{2,5}\z") & ~t.isin(*stop))
 
 
 def words(text: Column, stop: tuple[str, ...] = STOP) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1), lambda w: ~w.isin(*stop))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), 1), lambda w: ~w.isin(*stop))
 
 
 def sentiment(text: Column, lexicon: dict[str, float] = LEXICON, alpha: float = 15.0) -> Column:
     """Sum of valences, squashed to -1 .. 1 as x / sqrt(x^2 + alpha)."""
     scores = F.create_map(*[F.lit(v) for kv in lexicon.items() for v in kv])
-    total = F.aggregate(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1), F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(scores, w), F.lit(0.0)))
+    total = F.aggregate(F.regexp_extract_all(F.lower(text), F.lit(WORD), 1), F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(scores, w), F.lit(0.0)))
     return total / F.sqrt(total * total + alpha)
 
 
