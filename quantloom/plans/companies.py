@@ -66,12 +66,12 @@ def ratio_kpis(spark, d):
 def style_exposures(spark, d):
     wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"})
     st = statements(spark, d)
-    return floats(S.style_exposures(wk.filter("symbol < 25"), st), 5)
+    return floats(S.style_exposures(wk, st), 5)
 
 
 @query("style_factor_returns")
 def style_factor_returns(spark, d):
-    wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"}).filter("symbol < 25")
+    wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"})
     x = S.style_exposures(wk, statements(spark, d))
     return floats(S.factor_returns(x, weekly_returns(spark, d), ["x_profit", "x_value", "x_lever"]))
 

@@ -75,9 +75,8 @@ def bvar_macro_paths(spark, d):
 @query("optimal_portfolios")
 def optimal_portfolios(spark, d):
     r = weekly_returns(spark, d)
-    some = r.filter("symbol <= 20")
     labels = universe(spark, d).select("symbol", F.col("region").alias("label"))
-    return floats(O.portfolios(spark, some, benchmark(r), blends=("comb0", "comb9"), labels=labels), 4)
+    return floats(O.portfolios(spark, r, benchmark(r), blends=tuple(O.BLENDS), labels=labels), 4)
 
 
 @query("price_paths")
@@ -140,12 +139,12 @@ def event_sliding(spark, d):
 def calibration(spark, d):
     from quantloom.operators import indicators as I
 
-    return floats(I.calibrate(spark, bars(spark, d).filter("symbol <= 40")))
+    return floats(I.calibrate(spark, bars(spark, d)))
 
 
 @query("shrinkage_covariance")
 def shrinkage_covariance(spark, d):
-    return floats(E.shrunk_covariances(weekly_returns(spark, d).filter("symbol <= 60 AND ret IS NOT NULL")), 8)
+    return floats(E.shrunk_covariances(weekly_returns(spark, d).filter("ret IS NOT NULL")), 8)
 
 
 @query("factor_monte_carlo")
@@ -176,7 +175,7 @@ def peer_features(spark, d):
 
 @query("joint_paths")
 def joint_paths(spark, d):
-    return floats(X.joint_paths(weekly_returns(spark, d).filter("symbol <= 15 AND ret IS NOT NULL"), sims=200), 4)
+    return floats(X.joint_paths(weekly_returns(spark, d).filter("ret IS NOT NULL"), sims=2000, most_assets=2000), 4)
 
 
 def _grid(name, fn, params):
