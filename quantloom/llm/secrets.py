@@ -33,8 +33,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 #: Runs of 16 and more: the same matches as runs of any length with shorter ones dropped.
 HEX = re.compile(rb"[0-9a-f]{16,}")
 
-#: Words after which a value counts as a credential.
-CONTEXT = re.compile(rb"""(?i:(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|credentials?|login))["']?\x20*[:=]\x20*["']?([^\x00-\x20"'<>,;\x7f]{6,})""")
+#: Words after which a value counts as a credential. A quoted value runs to its closing quote.
+CONTEXT = re.compile(rb"""(?i:(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|credentials?|login))["']?\x20*[:=]\x20*(?:"((?:\\[^\x00-\x1f]|[^"\\\x00-\x1f\x7f]){6,})"|'((?:\\[^\x00-\x1f]|[^'\\\x00-\x1f\x7f]){6,})'|["']?([^\x00-\x20"'<>,;\x7f]{6,}))""")
 CONTEXT_WORDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"login")
 #: log10 of the guesses from which a value is taken as a secret.
 DEAR = 8.0
@@ -137,8 +137,25 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
     return min(best[n]), parts[::-1]
 
 
+#: Consonants that may follow each consonant in English, German, French or Spanish words; vowels follow and precede all but q.
+FOLLOW = {c: set("aeiouy" + rest) for c, rest in zip("bcdfghjklmnpqrstvwxz", "blrstdj chklrtqs dghjlmnrstvw flrst ghlnrstdm lmnrtws - lnrstwkh bcdfghklmnpqstvwz bmnpsftl cdfghjklmnpqrstvwxz fhlprst - bcdfghklmnpqrstvwz bcdfghklmnpqrstvwz bcfghlmnrstwz rl hlnrskt cpth twzlhv".split(), strict=True)} | {"q": {"u"}}
+
+
+def wordlike(run: str) -> bool:
+    """A run of letters that spells like prose, hump by hump where capitals start words."""
+    return all((len(h) > 1 or len(run) == 1) and all(b in FOLLOW.get(a, (b,)) or not b.isascii() for a, b in zip(h, h[1:], strict=False)) for h in (x.lower() for x in re.findall(r"[^\W\d_][^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])|[^\W\d_]", run)))
+
+
+def prose(value: bytes) -> bool:
+    """Words and numbers of at most four digits, between punctuation; the letters of each word must spell like a word."""
+    text = value.decode("utf-8", "replace")
+    if b" " not in value:
+        return not mixed(value) and not re.search(r"\d", text) and all(map(wordlike, re.findall(r"[^\W\d_]+", text)))
+    return all(re.fullmatch(r"\d{1,4}", w) or (w.isalpha() and wordlike(w)) for x in text.split() for w in re.split(r"['\u2019/-]", x.strip(".,;:!?()[]")) if w)
+
+
 def mixed(value: bytes) -> bool:
-    """At least two of: letters, digits, other characters. Prose words after a colon are not."""
+    """At least two of: letters, digits, other characters."""
     return sum(bool(re.search(p, value)) for p in (rb"[A-Za-z\x80-\xff]", rb"[0-9]", rb"[^A-Za-z0-9\x80-\xff.,:!?)]")) >= 2
 
 
@@ -155,9 +172,9 @@ def scan(text: str | None, dear: float = DEAR) -> list[tuple[str, int, int]]:
     if any(w in low for w in CONTEXT_WORDS):
         base = [(s, e) for k, s, e in found if k == "assign"]
         for m in CONTEXT.finditer(b):
-            value = m[1].rstrip(b".!?):")
-            s, e = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and mixed(value) and not any(s < z and a < e for a, z in base) and guess_cost(value.decode("utf-8", "replace"))[0] >= dear:
+            value = m[m.lastindex].rstrip(b".!?):") if m.lastindex == 3 else m[m.lastindex]
+            s, e = m.start(m.lastindex), m.start(m.lastindex) + len(value)
+            if len(value) >= 6 and not any(a <= s and e <= z for a, z in base) and not prose(value) and guess_cost(value.decode("utf-8", "replace"))[0] >= dear:
                 found.append(("guess", s, e))
     if not found:
         return []
