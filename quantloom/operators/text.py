@@ -50,12 +50,16 @@ def mentions(posts: DataFrame, text: str = "text", id_col: str = "doc_id", top:
 COMMENT = "id string, parent_id string, kind string, body string"
 
 
-def comment_depths(comments: DataFrame, most: int = 12) -> DataFrame:
-    """Depth of each comment below its post (roots 0), one join a level, to the deepest level there is."""
-    level = comments.filter("parent_id IS NULL").select("id", F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, most + 1):
-        level = comments.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(d).alias("depth"))
+def comment_depths(comments: DataFrame, most: int | None = None) -> DataFrame:
+    """Depth of each comment below its post (roots 0), one join a level, until a level is empty. Rows deeper than ``most`` are
+    an error; without it, more levels than comments are, as ids that occur twice may form a loop."""
+    level = comments.filter("parent_id IS NULL").select("id", F.lit(0).alias("depth")).localCheckpoint()
+    out, d, most = level, 0, comments.count() if most is None else most
+    while not level.isEmpty():
+        d += 1
+        level = comments.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(d).alias("depth")).localCheckpoint()
+        if d > most and not level.isEmpty():
+            raise ValueError(f"comments deeper than {most} levels")
         out = out.unionByName(level)
     return out
 

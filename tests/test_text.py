@@ -67,3 +67,9 @@ def test_conversation_sentiment_of_every_turn(spark, sf):
 def test_words_of_other_scripts(spark):
     row = spark.createDataFrame([("ÜBER die AG f\u00fcr ABC_D und \u0421\u0428\u0410 XY. BUY",)], "text string").select(X.tickers(F.col("text")), X.words(F.col("text"))).first()
     assert row[0] == ["AG", "XY", "BUY"] and row[1][:4] == ["\u00fcber", "die", "ag", "f\u00fcr"]
+
+
+def test_comments_to_the_deepest_level(spark):
+    rows = [("c0", None, "post", "")] + [(f"c{i}", f"c{i - 1}", "comment", "") for i in range(1, 15)]
+    got = X.comment_depths(spark.createDataFrame(rows, X.COMMENT).coalesce(1).cache())
+    assert {r["id"]: r["depth"] for r in got.collect()} == {f"c{i}": i for i in range(15)}
