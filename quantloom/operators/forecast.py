@@ -534,7 +534,7 @@ def peer_features(returns: DataFrame, groups: DataFrame, k: int = 5) -> DataFram
 
 def joint_paths(returns: DataFrame, horizon: int = 13, sims: int = 500, seed: int = 11, most_assets: int = 500) -> DataFrame:
     """Joint simulation of a universe: GARCH variances per asset, dynamic correlations across, Student shocks; quantiles of each
-    asset's return and of the equal-weight portfolio (symbol -1). The universe's size is checked before it is gathered."""
+    asset's return and of the equal-weight holdings (symbol -1). The universe's size is checked before it is gathered."""
     spark = returns.sparkSession
     if (n := returns.select("symbol").distinct().count()) > most_assets:
         raise ValueError(f"{n} assets; joint simulation is for at most {most_assets}")

@@ -10,8 +10,22 @@ from pyspark.sql import functions as F
 from quantloom.functions import panel as P
 from quantloom.operators import joins as J
 
-#: Regions of countries.
-REGIONS = {"United States": ("united states",), "Canada/Australia": ("canada", "australia"), "Asia": ("china", "japan", "india", "indonesia", "vietnam", "korea", "taiwan", "hong kong", "singapore"), "Europe": ("france", "germany", "united kingdom", "romania", "spain", "italy", "netherlands", "switzerland", "sweden")}
+#: Regions and the names that a lower-cased country holds, tested in this order.
+REGIONS = {
+    "United States": ("united states", "usa"),
+    "Europe": ("germany", "france", "spain", "europe", "italy", "united kingdom", "ireland"),
+    "Canada/Australia": ("australia", "canada"),
+    "Asia": ("china", "hong kong", "india", "japan", "south korea", "taiwan", "singapore", "thailand", "vietnam"),
+}
+OTHER_REGION = "Emerging Mkts (ex-Asia)"
+#: The regions of the factor returns.
+FACTOR_REGIONS = {
+    "North_America": ("united states", "canada"),
+    "Europe": ("germany", "france", "spain", "europe", "italy", "united kingdom", "ireland"),
+    "Asia_Pacific": ("china", "hong kong", "india", "south korea", "taiwan", "singapore", "thailand", "vietnam", "australia"),
+    "Japan": ("japan",),
+}
+OTHER_FACTOR_REGION = "Emerging_Markets"
 FALLBACK = "UNITED STATES"
 
 
@@ -19,15 +33,13 @@ def canon(name: Column) -> Column:
     return F.lower(F.trim(name))
 
 
-def region(country: Column, default: str = "Emerging") -> Column:
-    """First region one of whose names the lower-cased country contains."""
-    out = F.lit(default)
-    for r, names in reversed(REGIONS.items()):
-        hit = F.lit(False)
-        for n in names:
-            hit = hit | canon(country).contains(n)
-        out = F.when(hit, F.lit(r)).otherwise(out)
-    return out
+def region(country: Column, regions: dict[str, tuple[str, ...]] = REGIONS, default: str = OTHER_REGION) -> Column:
+    """First region one of whose names the lower-cased country contains; ``default`` where none does or it is NULL."""
+    out = None
+    for r, names in regions.items():
+        hit = canon(country).rlike("|".join(names))
+        out = F.when(hit, F.lit(r)) if out is None else out.when(hit, F.lit(r))
+    return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
 def annualised(series: DataFrame, how: str, pct: bool, key: str = "country") -> DataFrame:

@@ -178,17 +178,17 @@ def predicted_shortfall(mu: Column, sigma: Column, s: Column, k: Column, level:
     return -(mu / periods) + sigma / math.sqrt(periods) * S.phi(z) / level
 
 
-def portfolio_returns(weights: DataFrame, returns: DataFrame, least: float = 0.0) -> DataFrame:
-    """(portfolio, date, ret): weights over the assets present, renormalised; NULL under the coverage."""
-    total = weights.groupBy("portfolio").agg(F.sum("weight").alias("_t"))
-    rows = weights.join(returns.filter("ret IS NOT NULL"), "symbol").groupBy("portfolio", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("_r"), F.sum("weight").alias("_w"))
-    rows = rows.join(total, "portfolio")
-    return rows.select("portfolio", "date", F.when(P.ratio(F.col("_w"), F.col("_t")) >= least, P.ratio(F.col("_r"), F.col("_w"))).alias("ret"), P.ratio(F.col("_w"), F.col("_t")).alias("coverage"))
+def holdings_returns(weights: DataFrame, returns: DataFrame, least: float = 0.0) -> DataFrame:
+    """(holdings, date, ret): weights over the assets present, renormalised; NULL under the coverage."""
+    total = weights.groupBy("holdings").agg(F.sum("weight").alias("_t"))
+    rows = weights.join(returns.filter("ret IS NOT NULL"), "symbol").groupBy("holdings", "date").agg(F.sum(F.col("weight") * F.col("ret")).alias("_r"), F.sum("weight").alias("_w"))
+    rows = rows.join(total, "holdings")
+    return rows.select("holdings", "date", F.when(P.ratio(F.col("_w"), F.col("_t")) >= least, P.ratio(F.col("_r"), F.col("_w"))).alias("ret"), P.ratio(F.col("_w"), F.col("_t")).alias("coverage"))
 
 
 def weighted(weights: DataFrame, values: DataFrame, cols: list[str]) -> DataFrame:
-    """Sum of weight x value per portfolio: beta, tax, leverage, score."""
-    return weights.join(values, "symbol").groupBy("portfolio").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
+    """Sum of weight x value per holdings: beta, tax, leverage, score."""
+    return weights.join(values, "symbol").groupBy("holdings").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
 
 
 #: Symbols in one block of pairs.
@@ -234,12 +234,12 @@ def covariances(returns: DataFrame, key: str = "symbol") -> DataFrame:
     return out.select("a", "b", P.clean("cov").alias("cov"), P.clean("corr").alias("corr"), "n")
 
 
-def portfolio_volatility(weights: DataFrame, cov: DataFrame) -> DataFrame:
+def holdings_volatility(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """sqrt(w' S w) from the upper triangle."""
-    a = weights.select("portfolio", F.col("symbol").alias("a"), F.col("weight").alias("wa"))
-    b = weights.select("portfolio", F.col("symbol").alias("b"), F.col("weight").alias("wb"))
-    rows = cov.join(a, "a").join(b, ["portfolio", "b"])
-    return rows.groupBy("portfolio").agg(F.sqrt(F.sum(F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0) * F.col("wa") * F.col("wb") * F.col("cov"))).alias("volatility"))
+    a = weights.select("holdings", F.col("symbol").alias("a"), F.col("weight").alias("wa"))
+    b = weights.select("holdings", F.col("symbol").alias("b"), F.col("weight").alias("wb"))
+    rows = cov.join(a, "a").join(b, ["holdings", "b"])
+    return rows.groupBy("holdings").agg(F.sqrt(F.sum(F.when(F.col("a") == F.col("b"), 1.0).otherwise(2.0) * F.col("wa") * F.col("wb") * F.col("cov"))).alias("volatility"))
 
 
 def ewm_sharpe(returns: DataFrame, periods: int = WEEKS, share: float = 0.1) -> DataFrame:
@@ -257,7 +257,7 @@ def ewm_sharpe(returns: DataFrame, periods: int = WEEKS, share: float = 0.1) ->
 
 
 def report(returns: DataFrame, bench: DataFrame) -> DataFrame:
-    """All metrics of each symbol or portfolio side by side."""
+    """All metrics of each symbol or holdings side by side."""
     out = summary(returns)
     for part in (expected_shortfall(returns), drawdown_metrics(returns), streaks(returns).drop("pct_positive"), relative(returns, bench).drop("n")):
         out = out.join(part, "symbol", "left")

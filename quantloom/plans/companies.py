@@ -123,9 +123,14 @@ def size_bounds(spark, d):
     return S.size_bounds(peer_universe(spark, d), "size", "pe")
 
 
-@query("regions_of_countries", "SELECT n_name, CASE WHEN lower(n_name) LIKE '%united states%' THEN 'United States' WHEN regexp_matches(lower(n_name), 'canada|australia') THEN 'Canada/Australia' WHEN regexp_matches(lower(n_name), 'china|japan|india|indonesia|vietnam|korea|taiwan|hong kong|singapore') THEN 'Asia' WHEN regexp_matches(lower(n_name), 'france|germany|united kingdom|romania|spain|italy|netherlands|switzerland|sweden') THEN 'Europe' ELSE 'Emerging' END AS region FROM nation")
+@query("regions_of_countries", """SELECT n_name, CASE WHEN lower(n_name) LIKE '%united states%' OR lower(n_name) LIKE '%usa%' THEN 'United States'
+  WHEN regexp_matches(lower(n_name), 'germany|france|spain|europe|italy|united kingdom|ireland') THEN 'Europe' WHEN regexp_matches(lower(n_name), 'australia|canada') THEN 'Canada/Australia'
+  WHEN regexp_matches(lower(n_name), 'china|hong kong|india|japan|south korea|taiwan|singapore|thailand|vietnam') THEN 'Asia' ELSE 'Emerging Mkts (ex-Asia)' END AS region,
+  CASE WHEN regexp_matches(lower(n_name), 'united states|canada') THEN 'North_America' WHEN regexp_matches(lower(n_name), 'germany|france|spain|europe|italy|united kingdom|ireland') THEN 'Europe'
+  WHEN regexp_matches(lower(n_name), 'china|hong kong|india|south korea|taiwan|singapore|thailand|vietnam|australia') THEN 'Asia_Pacific' WHEN lower(n_name) LIKE '%japan%' THEN 'Japan' ELSE 'Emerging_Markets' END AS factor_region FROM nation""")
 def regions_of_countries(spark, d):
-    return parquet(spark, d, "nation").select("n_name", M.region(F.col("n_name")).alias("region"))
+    name = F.col("n_name")
+    return parquet(spark, d, "nation").select("n_name", M.region(name).alias("region"), M.region(name, M.FACTOR_REGIONS, M.OTHER_FACTOR_REGION).alias("factor_region"))
 
 
 @query("annual_macro", f"WITH {QUARTERS}, y AS (SELECT country, year(date)::INTEGER AS year, avg(sales) AS v FROM qs GROUP BY ALL) SELECT country, year, round(v / lag(v) OVER (PARTITION BY country ORDER BY year) - 1, 6) AS value FROM y")

@@ -196,31 +196,28 @@ def cost_of_capital(spark, d):
 
 SENT = f"(x / sqrt(x * x + 15.0))"
 LEX = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in X.LEXICON.items()) + "}"
-TICKERS = f"list_filter(regexp_extract_all(text, '\\b([A-Z]{{2,5}})\\b', 1), lambda t: t NOT IN ({', '.join(repr(t) for t in X.NOT_TICKERS)}))"
+WORDS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+TICKERS = f"list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '[A-Z]{{2,5}}') AND t NOT IN ({', '.join(repr(t) for t in X.NOT_TICKERS)}))"
 
 
-WORDS_SQL = "regexp_extract_all(lower(text), '([a-z0-9_]+)', 1)"
-
-
-@query("ticker_mentions", f"""WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')), s AS (SELECT doc_id, list_sum(list_transform({WORDS_SQL}, lambda t: coalesce({LEX}[t], 0))) AS x, list_filter({WORDS_SQL}, lambda w: w NOT IN ({', '.join(repr(w) for w in X.STOP)})) AS w, unnest({TICKERS}) AS ticker FROM d),
+@query("ticker_mentions", f"""WITH s AS (SELECT doc_id, list_sum(list_transform({WORDS_SQL}, lambda t: coalesce({LEX}[t], 0))) AS x, list_filter({WORDS_SQL}, lambda w: w NOT IN ({', '.join(repr(w) for w in X.STOP)})) AS w, unnest({TICKERS}) AS ticker FROM documents),
 m AS (SELECT ticker, count(*) AS mentions, avg(coalesce({SENT}, 0)) AS a, stddev_pop(coalesce({SENT}, 0)) AS sd FROM s GROUP BY 1), c AS (SELECT ticker, word, count(*) AS n FROM (SELECT ticker, unnest(w) AS word FROM s) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY n DESC, word) AS r FROM c), l AS (SELECT ticker, string_agg(word, ', ' ORDER BY r) AS top_words FROM t WHERE r <= 3 GROUP BY 1)
 SELECT ticker, mentions, round(a, 6) AS avg_sentiment, round(sd, 6) AS sentiment_std, top_words FROM m LEFT JOIN l USING (ticker)""")
 def ticker_mentions(spark, d):
-    docs = parquet(spark, d, "documents")
-    return rounded(X.mentions(docs), "avg_sentiment", "sentiment_std")
+    return rounded(X.mentions(parquet(spark, d, "documents")), "avg_sentiment", "sentiment_std")
 
 
-@query("ticker_counts", f"WITH p AS (SELECT doc_id, text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')), t AS (SELECT doc_id, unnest({TICKERS}) AS ticker FROM p) SELECT ticker, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1")
+@query("ticker_counts", f"WITH t AS (SELECT doc_id, unnest({TICKERS}) AS ticker FROM documents) SELECT ticker, count(*) AS mentions, count(DISTINCT doc_id) AS docs FROM t GROUP BY 1")
 def ticker_counts(spark, d):
     docs = parquet(spark, d, "documents")
     rows = docs.select("doc_id", F.explode(X.tickers(F.col("text"))).alias("ticker"))
     return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("conversation_sentiment", f"WITH w AS (SELECT conv_id, turn, list_sum(list_transform(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda t: coalesce({LEX}[t], 0))) AS x FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')) SELECT conv_id, count(*) AS turns, round(avg(coalesce({SENT}, 0)), 6) AS sentiment FROM w GROUP BY 1")
+@query("conversation_sentiment", f"WITH w AS (SELECT conv_id, turn, list_sum(list_transform({WORDS_SQL}, lambda t: coalesce({LEX}[t], 0))) AS x FROM conversations) SELECT conv_id, count(*) AS turns, round(avg(coalesce({SENT}, 0)), 6) AS sentiment FROM w GROUP BY 1")
 def conversation_sentiment(spark, d):
     c = parquet(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), R(F.avg(X.sentiment(F.col("text"))), 6).alias("sentiment"))
+    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), R(F.avg(F.coalesce(X.sentiment(F.col("text")), F.lit(0.0))), 6).alias("sentiment"))
 
 
 @query("page_links", "SELECT page_id, len(regexp_extract_all(html, '<a\\s', 0)) AS links FROM pages")

@@ -1,4 +1,4 @@
-"""Queries over estimators, covariance, portfolios, forecasts, simulations and stream twins."""
+"""Queries over estimators, covariance, allocations, forecasts, simulations and stream twins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.functions import panel as P
 from quantloom.operators import estimators as E
 from quantloom.operators import forecast as X
-from quantloom.operators import portfolio as O
+from quantloom.operators import holdings as O
 from quantloom.operators import valuation as V
 from quantloom.plans.fundamentals import inputs
 from quantloom.plans.panels import quarters
@@ -72,11 +72,11 @@ def bvar_macro_paths(spark, d):
     return floats(X.macro_paths(q, ["growth", "orders"], sims=400))
 
 
-@query("optimal_portfolios")
-def optimal_portfolios(spark, d):
+@query("optimal_allocations")
+def optimal_allocations(spark, d):
     r = weekly_returns(spark, d)
     labels = universe(spark, d).select("symbol", F.col("region").alias("label"))
-    return floats(O.portfolios(spark, r, benchmark(r), blends=tuple(O.BLENDS), labels=labels), 4)
+    return floats(O.allocations(spark, r, benchmark(r), blends=tuple(O.BLENDS), labels=labels), 4)
 
 
 @query("price_paths")

@@ -1,4 +1,4 @@
-"""Queries over weekly returns: performance, risk, benchmark-relative and portfolio metrics, with DuckDB oracles."""
+"""Queries over weekly returns: performance, risk, benchmark-relative and holdings metrics, with DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -108,23 +108,23 @@ def probabilistic_sharpe(spark, d):
     return rounded(out, "sr", "psr", "dsr", n=5)
 
 
-WTS = f"{UNIVERSE_SQL}, weights AS (SELECT region AS portfolio, symbol, mcap / sum(mcap) OVER (PARTITION BY region) AS weight FROM universe WHERE mcap > 0)"
+WTS = f"{UNIVERSE_SQL}, weights AS (SELECT region AS holdings, symbol, mcap / sum(mcap) OVER (PARTITION BY region) AS weight FROM universe WHERE mcap > 0)"
 
 
 def weights(spark, d):
     from pyspark.sql import Window
 
-    return universe(spark, d).filter("mcap > 0").select(F.col("region").alias("portfolio"), "symbol", (F.col("mcap") / F.sum("mcap").over(Window.partitionBy("region"))).alias("weight"))
+    return universe(spark, d).filter("mcap > 0").select(F.col("region").alias("holdings"), "symbol", (F.col("mcap") / F.sum("mcap").over(Window.partitionBy("region"))).alias("weight"))
 
 
-@query("portfolio_returns", f"{WTS} SELECT portfolio, date, round(sum(weight * ret) / sum(weight), 6) AS ret, round(sum(weight), 6) AS coverage FROM weights JOIN r USING (symbol) WHERE ret IS NOT NULL GROUP BY ALL")
-def portfolio_returns(spark, d):
-    return rounded(M.portfolio_returns(weights(spark, d), weekly_returns(spark, d)), "ret", "coverage")
+@query("holdings_returns", f"{WTS} SELECT holdings, date, round(sum(weight * ret) / sum(weight), 6) AS ret, round(sum(weight), 6) AS coverage FROM weights JOIN r USING (symbol) WHERE ret IS NOT NULL GROUP BY ALL")
+def holdings_returns(spark, d):
+    return rounded(M.holdings_returns(weights(spark, d), weekly_returns(spark, d)), "ret", "coverage")
 
 
-@query("portfolio_volatility", f"{WTS}, c AS (SELECT x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y ON x.date = y.date WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY ALL) SELECT wa.portfolio, round(sqrt(sum(wa.weight * wb.weight * cov)), 6) AS volatility FROM c JOIN weights wa ON wa.symbol = a JOIN weights wb ON wb.symbol = b AND wb.portfolio = wa.portfolio GROUP BY 1")
-def portfolio_volatility(spark, d):
-    return rounded(M.portfolio_volatility(weights(spark, d), M.covariances(weekly_returns(spark, d))), "volatility")
+@query("holdings_volatility", f"{WTS}, c AS (SELECT x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS cov FROM r x JOIN r y ON x.date = y.date WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY ALL) SELECT wa.holdings, round(sqrt(sum(wa.weight * wb.weight * cov)), 6) AS volatility FROM c JOIN weights wa ON wa.symbol = a JOIN weights wb ON wb.symbol = b AND wb.holdings = wa.holdings GROUP BY 1")
+def holdings_volatility(spark, d):
+    return rounded(M.holdings_volatility(weights(spark, d), M.covariances(weekly_returns(spark, d))), "volatility")
 
 
 @query("covariance_pairs", "SELECT x.symbol AS a, y.symbol AS b, round(covar_samp(x.ret, y.ret), 6) AS cov, round(corr(x.ret, y.ret), 6) AS corr, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.symbol <= y.symbol WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY ALL")
@@ -132,8 +132,8 @@ def covariance_pairs(spark, d):
     return rounded(M.covariances(weekly_returns(spark, d)), "cov", "corr")
 
 
-@query("portfolio_exposures", f"{WTS}, {BENCH}, j AS (SELECT symbol, regr_slope(ret, bench) AS beta FROM r JOIN bench USING (date) GROUP BY symbol) SELECT portfolio, round(sum(weight * beta), 6) AS beta, round(sum(weight * mcap), 4) AS mcap FROM weights JOIN j USING (symbol) JOIN universe USING (symbol) GROUP BY 1")
-def portfolio_exposures(spark, d):
+@query("holdings_exposures", f"{WTS}, {BENCH}, j AS (SELECT symbol, regr_slope(ret, bench) AS beta FROM r JOIN bench USING (date) GROUP BY symbol) SELECT holdings, round(sum(weight * beta), 6) AS beta, round(sum(weight * mcap), 4) AS mcap FROM weights JOIN j USING (symbol) JOIN universe USING (symbol) GROUP BY 1")
+def holdings_exposures(spark, d):
     r = weekly_returns(spark, d)
     beta = r.join(benchmark(r), "date").groupBy("symbol").agg(F.regr_slope("ret", "bench").alias("beta"))
     out = M.weighted(weights(spark, d), beta.join(universe(spark, d).select("symbol", "mcap"), "symbol"), ["beta", "mcap"])

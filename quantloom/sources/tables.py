@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +65,34 @@ def newest(spark: SparkSession, folder: str, pattern: str = r"(\d{4}-\d{2}-\d{2}
     return exact[0] if exact else max(dated, default=(None, None))[1]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; one is made only where none is set and Spark runs locally."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to storage that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def stored(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Write df as a working table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(spark)}/quantloom/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def without(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``current`` whose keys ``rows`` hasn't; NULL keys are equal to each other."""
+    new = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return current.join(new, same, "left_anti")
+
+
 def upsert(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``current`` whose keys don't recur, and the new rows."""
-    return current.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows, allowMissingColumns=True)
+    return without(current, rows, keys).unionByName(rows, allowMissingColumns=True)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantloom.sources.tables import upsert
+
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -45,7 +47,8 @@ EWMA_OUT = "user_id long, event_id long, ts timestamp, value double, ewma double
 
 
 def ewma(events: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Exponential mean per user, carried across micro-batches as state (events of a batch in order of ts)."""
+    """Exponential mean per user, carried across micro-batches as state (events of a batch in order of ts). State grows with
+    the users: one double each."""
     state = T.StructType([T.StructField("mean", T.DoubleType())])
 
     def run(key, pdfs: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
@@ -80,15 +83,32 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def versions(spark, path: str) -> list[tuple[int, str]]:
+    """Whole versions of a table that ``upsert_table`` keeps, the newest last."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    whole = [n for n in names if n.startswith("v-") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted((int(n[2:]), f"{path}/{n}") for n in whole)
+
+
+def current(spark, path: str):
+    """The newest whole version, None before the first."""
+    found = versions(spark, path)
+    return spark.read.parquet(found[-1][1]) if found else None
+
+
 def upsert_table(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """foreachBatch sink: replace the rows with the batch's keys (written beside, then swapped in)."""
+    """foreachBatch sink: replace the rows with the batch's keys (NULL keys are equal).
+
+    Each batch writes the next version beside the last one; it counts from its ``_SUCCESS`` on, so a crash at any point
+    leaves the table of the batch before. Older versions than the last two go.
+    """
     spark = batch.sparkSession
-    jvm = spark.sparkContext._jvm
-    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = batch
-    if fs.exists(at):
-        rows = spark.read.parquet(path).join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
-    rows.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(at, True)
-    fs.rename(new, at)
+    found = versions(spark, path)
+    rows = upsert(spark.read.parquet(found[-1][1]), batch, keys) if found else batch
+    rows.write.mode("overwrite").parquet(f"{path}/v-{(found[-1][0] if found else 0) + 1:09d}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for _, old in found[:-1]:
+        p = jvm.org.apache.hadoop.fs.Path(old)
+        p.getFileSystem(conf).delete(p, True)

@@ -17,7 +17,7 @@ from quantloom.operators import estimators as E
 from quantloom.operators import forecast as X
 from quantloom.operators import indicators as I
 from quantloom.operators import joins as J
-from quantloom.operators import portfolio as O
+from quantloom.operators import holdings as O
 from quantloom.operators import scores as C
 from quantloom.operators import text as TX
 

@@ -7,7 +7,7 @@ from tests.verify_oracles import compare, connect
 
 ORACLE = catalog.oracle_sql()
 QUERIES = catalog.queries()
-SLOW = {"optimal_portfolios", "return_regressions"}
+SLOW = {"optimal_allocations", "return_regressions"}
 
 
 @pytest.fixture(scope="module")

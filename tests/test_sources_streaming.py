@@ -60,6 +60,16 @@ def test_streams_equal_batches(spark, sf, tmp_path):
 
 def test_upsert_sink(spark, tmp_path):
     at = f"{tmp_path}/t"
-    S.upsert_table(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), at, ["k"])
-    S.upsert_table(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), at, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(at).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert S.current(spark, at) is None
+    S.upsert_table(spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string"), at, ["k"])
+    S.upsert_table(spark.createDataFrame([(2, "c"), (3, "d"), (None, "m")], "k int, v string"), at, ["k"])
+    want = [(1, "a"), (2, "c"), (3, "d"), (None, "m")]
+    assert sorted(map(tuple, S.current(spark, at).collect()), key=str) == want
+    # A batch that crashed before its commit leaves the table as it was, and the next one takes its place.
+    os.mkdir(f"{at}/v-000000003")
+    with open(f"{at}/v-000000003/part-0.parquet", "w") as f:
+        f.write("half")
+    assert sorted(map(tuple, S.current(spark, at).collect()), key=str) == want
+    S.upsert_table(spark.createDataFrame([(3, "e")], "k int, v string"), at, ["k"])
+    assert (3, "e") in map(tuple, S.current(spark, at).collect()) and S.current(spark, at).count() == 4
+    assert sorted(x for x in os.listdir(at) if x.startswith("v-")) == ["v-000000002", "v-000000003"]

@@ -6,11 +6,11 @@ from quantloom import catalog
 from quantloom.operators import estimators as E
 from quantloom.operators import forecast as X
 from quantloom.operators import indicators as I
-from quantloom.operators import portfolio as O
+from quantloom.operators import holdings as O
 from quantloom.operators import statements as S
 
 SF = "/root/testdata/sf0.01"
-CASES = {"calibration": (I, "calibrate", 1), "shrinkage_covariance": (E, "shrunk_covariances", 0), "optimal_portfolios": (O, "portfolios", 1), "joint_paths": (X, "joint_paths", 0), "style_exposures": (S, "style_exposures", 0), "style_factor_returns": (S, "style_exposures", 0)}
+CASES = {"calibration": (I, "calibrate", 1), "shrinkage_covariance": (E, "shrunk_covariances", 0), "optimal_allocations": (O, "allocations", 1), "joint_paths": (X, "joint_paths", 0), "style_exposures": (S, "style_exposures", 0), "style_factor_returns": (S, "style_exposures", 0)}
 
 
 class Stop(Exception):
@@ -31,7 +31,7 @@ def test_takes_every_symbol(spark, monkeypatch, name):
         catalog.queries()[name](spark, SF)
     symbols = {r[0] for r in spark.read.parquet(f"{SF}/supplier.parquet").select("s_suppkey").collect()}
     assert len(symbols) == 100 and {r[0] for r in given["panel"].select("symbol").distinct().collect()} == symbols
-    if name == "optimal_portfolios":
+    if name == "optimal_allocations":
         assert set(given["blends"]) == set(O.BLENDS) and len(O.BLENDS) == 14
     if name == "joint_paths":
         assert given["sims"] == 2000
