@@ -7,14 +7,13 @@ Keys stand on a 64-bit ring; each shard owns the arcs before its virtual nodes.
 Scale: per-arc totals (arcs = shards x virtual nodes, a parameter) decide where arcs are cut; rows are dealt by ring
 position, so an arc that holds a third of all rows is cut like any other. Nothing per row reaches the driver.
 
-Defined results: a null text has size 1 and crc 0; null ids share one ring position; repeated rows are placed each on
+Defined results: columns of other names, clashing ones too, are not read; a very long text is one row and goes to one shard whole
+(so shards differ by such rows); a null text has size 1 and crc 0; null ids share one ring position; repeated rows are placed each on
 their own, in text-hash order; an empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -97,42 +96,50 @@ def assign(spark: SparkSession, docs: DataFrame, shards: int = 16, id_col: str =
     for _, arc, _, _, s in pieces:
         sizes[arc] = sizes.get(arc, 0) + s
     cuts = fill(sorted(sizes.items()), owner, total * (1 + slack) / shards)
-    before: dict[int, int] = {}
-    starts: dict[tuple[int, int], int] = {}  # bytes of the arc before this part's run
+    # Bytes are counted on through all arcs, so that one sorted array holds the ends of all their segments.
+    before, at_byte, ends, to, last = {}, 0, [], [], {}
+    for arc, size in sorted(sizes.items()):
+        before[arc] = at_byte
+        ends += [at_byte + end for end, _ in cuts[arc]]
+        to += [s for _, s in cuts[arc]]
+        last[arc] = len(ends) - 1
+        at_byte += size
+    n = C.partitions(spark) + 1
+    runs_at: dict[int, tuple[int, int]] = {}  # (arc, high, part) -> first byte of the run, last segment of its arc
     for high, arc, part, _, s in sorted(pieces, key=lambda r: (r[1], r[0], r[2])):
-        starts[(arc * 2 + high, part)] = before.get(arc, 0)
-        before[arc] = before.get(arc, 0) + s
-    plan = spark.sparkContext.broadcast((cuts, starts))  # bounded: arcs + parts + cuts
+        runs_at[(arc * 2 + high) * n + part] = (before[arc], last[arc])
+        before[arc] += s
+    codes = np.array(sorted(runs_at), np.int64)
+    firsts = np.array([runs_at[c] for c in codes.tolist()], np.int64)
+    plan = spark.sparkContext.broadcast((codes, firsts, np.array(ends, np.int64), np.array(to, np.int32)))  # bounded: arcs + parts + cuts
 
     def place(batches):
-        cuts, starts = plan.value
-        ends = {a: [c[0] for c in x] for a, x in cuts.items()}
+        codes, firsts, ends, to = plan.value
         for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            shard = np.empty(b.num_rows, np.int32)
-            seg = np.empty(b.num_rows, np.int64)
-            for i, (arc, high, part, cum, size) in enumerate(zip(*(col[n].to_pylist() for n in ("arc", "high", "part", "cum_size", "size")), strict=True)):
-                at = starts[(arc * 2 + high, part)] + cum + size // 2  # a row goes where its middle lies
-                k = min(bisect_right(ends[arc], at), len(ends[arc]) - 1)
-                shard[i], seg[i] = cuts[arc][k][1], k
-            yield pa.RecordBatch.from_arrays([col["id"], col["size"], col["crc"], pa.array(shard), col["high"], col["arc"], col["part"], pa.array(seg), col["idx"]], names=["id", "size", "crc", "shard", "high", "arc", "part", "seg", "idx"])
+            col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            arc, part, cum, size = (col[c].to_numpy() for c in ("arc", "part", "cum_size", "size"))
+            high = col["high"].to_numpy(zero_copy_only=False).astype(np.int64)
+            run = firsts[np.searchsorted(codes, (arc * 2 + high) * n + part)]
+            seg = np.minimum(np.searchsorted(ends, run[:, 0] + cum + size // 2, side="right"), run[:, 1])  # a row goes where its middle lies
+            yield pa.RecordBatch.from_arrays([col["id"], col["size"], col["crc"], pa.array(to[seg]), col["high"], col["arc"], col["part"], pa.array(seg), col["idx"]], names=["id", "size", "crc", "shard", "high", "arc", "part", "seg", "idx"])
 
     schema = f"id {id_type}, size bigint, crc bigint, shard int, high boolean, arc bigint, part bigint, seg bigint, idx bigint"
     placed, placed_path = C.stored(spark, rows.mapInArrow(place, schema), "shard-placed")
-    key = ["high", "arc", "part", "seg"]
-    groups = placed.groupBy("shard", *key).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")).collect()  # at most arcs + parts + cuts
+    groups = placed.groupBy("shard", "high", "arc", "part", "seg").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")).collect()  # at most arcs + parts + cuts
     offsets, seen = {}, {}
     for g in sorted(groups, key=lambda g: (g["shard"], g["high"], g["arc"], g["part"], g["seg"])):
-        offsets[(g["high"], g["arc"], g["part"], g["seg"])] = seen.get(g["shard"], 0) - g["first"]
+        offsets[(g["seg"] * 2 + g["high"]) * n + g["part"]] = seen.get(g["shard"], 0) - g["first"]
         seen[g["shard"]] = seen.get(g["shard"], 0) + g["n"]
-    known = spark.sparkContext.broadcast(offsets)
+    keys = np.array(sorted(offsets), np.int64)
+    known = spark.sparkContext.broadcast((keys, np.array([offsets[k] for k in keys.tolist()], np.int64)))
 
     def slots(batches):
-        off = known.value
+        keys, add = known.value
         for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            add = np.fromiter((off[k] for k in zip(*(col[n].to_pylist() for n in key), strict=True)), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([col["id"], col["size"], col["crc"], col["shard"], pa.array(col["idx"].to_numpy() + add)], names=[id_col, "size", "text_crc32", "shard", "slot"])
+            col = {c: b.column(i) for i, c in enumerate(b.schema.names)}
+            high = col["high"].to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.searchsorted(keys, (col["seg"].to_numpy() * 2 + high) * n + col["part"].to_numpy())
+            yield pa.RecordBatch.from_arrays([col["id"], col["size"], col["crc"], col["shard"], pa.array(col["idx"].to_numpy() + add[at])], names=[id_col, "size", "text_crc32", "shard", "slot"])
 
     C.drop_paths(spark, path)
     return placed.mapInArrow(slots, f"`{id_col}` {id_type}, size bigint, text_crc32 bigint, shard int, slot bigint")
