@@ -3,17 +3,22 @@
 The base patterns find assigned values, access ids and hex runs. The method adds values that a credential word
 introduces and the base leaves out (other words, shorter values, other characters), if guessing them is dear: the least
 cost over all segmentations into known words, dates, repeats, keyboard walks or sequences, and brute-force spans,
-found by dynamic programming over the whole value.
+found by dynamic programming over the whole value. Words are those guessers try first, and then the words of a tokenizer's
+vocabulary (a parameter) in its order, which is by frequency; the list is read from the file by each worker.
 
 Defined results: a null or empty text has no spans; the same text always has the same spans, also in repeated rows; texts
-of any length are scanned whole, positions count code points. Only the id and text columns are read.
+of any length are scanned whole, positions count code points; an empty table gives no rows. Only the id and text columns are
+read (``redact`` keeps all others as they are), so columns of other names may clash with nothing.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
+from . import token_files
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
@@ -48,8 +54,36 @@ tiger lion eagle falcon phoenix thunder hunter ranger soccer hockey killer peppe
 apple cherry silver golden purple yellow green blue black white red love money lucky happy family mother father
 michael jennifer jordan thomas robert daniel andrew joshua matthew anthony william jessica ashley nicole hannah
 google microsoft windows linux oracle mysql system manager support office home work school""".split()
-RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, RANK))
+
+
+class Words:
+    """Ranks of words, the likeliest first: ``first``, then the words of a byte-level tokenizer's vocabulary in order of id."""
+
+    def __init__(self, vocab: str | None = None, first: list[str] = WORDS):
+        self.rank: dict[str, int] = {}
+        for w in [*first, *(vocabulary_words(vocab) if vocab else ())]:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+
+def vocabulary_words(vocab: str) -> Iterator[str]:
+    """Entries that start a word (a space before letters), in lower case, of three letters and more."""
+    with open(vocab, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    spelled = {ord(c): b for b, c in token_files.byte_letters().items()}
+    for token, _ in sorted(ids.items(), key=lambda x: x[1]):
+        if token[:1] == "\u0120" and all(ord(c) in spelled for c in token):  # the space's letter
+            word = bytes(spelled[ord(c)] for c in token[1:]).decode("utf-8", "replace").lower()
+            if len(word) >= 3 and word.isalpha():
+                yield word
+
+
+@functools.cache
+def known_words(vocab: str | None) -> Words:
+    """One list for each worker process and file."""
+    return Words(vocab)
+
+
 LEET = str.maketrans("@4831!05$7", "aabeiiosst")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d|\d\d))")
@@ -77,12 +111,12 @@ class Value:
             self.again[unit] = row
 
 
-def segments(v: Value, i: int) -> Iterator[tuple[int, str, float]]:
+def segments(v: Value, i: int, words: Words) -> Iterator[tuple[int, str, float]]:
     """Structured segments from position i: (end, kind, log10 of guesses)."""
     value, low = v.value, v.low
-    for n in range(3, min(LONGEST, len(value) - i) + 1):
+    for n in range(3, min(words.longest, len(value) - i) + 1):
         for form, more in ((low, 0.0), (v.plain, NEXT)):
-            if (rank := RANK.get(form[i : i + n])) is not None:
+            if (rank := words.rank.get(form[i : i + n])) is not None:
                 case = 0.0 if value[i : i + n] in (low[i : i + n], value[i : i + n].upper()) else NEXT
                 yield i + n, "word", math.log10(rank) + case + more
                 break
@@ -106,7 +140,7 @@ def segments(v: Value, i: int) -> Iterator[tuple[int, str, float]]:
                 yield end, "walk", math.log10(2 * len(ROWS) * 13) + math.log10(end - i)
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
+def guess_cost(value: str, words: Words) -> tuple[float, list[tuple[str, str]]]:
     """log10 of the guesses for a value, with the cheapest segmentation. Adjoining brute-force characters are one span."""
     n, prepared = len(value), Value(value)
     best = [[math.inf, math.inf] for _ in range(n + 1)]  # by whether the last segment is brute force
@@ -118,7 +152,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
             continue
         last = best[i].index(start)
         opened = NEXT if i else 0.0
-        for end, kind, cost in segments(prepared, i):
+        for end, kind, cost in segments(prepared, i, words):
             if start + opened + cost < best[end][0]:
                 best[end][0], back[end][0] = start + opened + cost, (i, last, kind)
         cost = char_cost(value[i])
@@ -159,7 +193,7 @@ def mixed(value: bytes) -> bool:
     return sum(bool(re.search(p, value)) for p in (rb"[A-Za-z\x80-\xff]", rb"[0-9]", rb"[^A-Za-z0-9\x80-\xff.,:!?)]")) >= 2
 
 
-def scan(text: str | None, dear: float = DEAR) -> list[tuple[str, int, int]]:
+def scan(text: str | None, words: Words, dear: float = DEAR) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, by start, then in the order of KINDS."""
     b = C.text_of(text)
     found: list[tuple[str, int, int]] = []
@@ -170,11 +204,12 @@ def scan(text: str | None, dear: float = DEAR) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(b) if m.end() - m.start() >= 18]
     found += [("hex", *m.span()) for m in HEX.finditer(b)]
     if any(w in low for w in CONTEXT_WORDS):
-        base = [(s, e) for k, s, e in found if k == "assign"]
+        starts, ends = [s for k, s, _ in found if k == "assign"], [e for k, _, e in found if k == "assign"]
         for m in CONTEXT.finditer(b):
             value = m[m.lastindex].rstrip(b".!?):") if m.lastindex == 3 else m[m.lastindex]
             s, e = m.start(m.lastindex), m.start(m.lastindex) + len(value)
-            if len(value) >= 6 and not any(a <= s and e <= z for a, z in base) and not prose(value) and guess_cost(value.decode("utf-8", "replace"))[0] >= dear:
+            at = bisect_right(starts, s) - 1  # assign spans don't overlap: only the last one before can hold the value
+            if len(value) >= 6 and not (at >= 0 and e <= ends[at]) and not prose(value) and guess_cost(value.decode("utf-8", "replace"), words)[0] >= dear:
                 found.append(("guess", s, e))
     if not found:
         return []
@@ -191,9 +226,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dear: float = DEAR) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dear: float = DEAR, vocab: str | None = None) -> DataFrame:
     """One row per document: id and ``spans array<struct<kind, start, end>>``."""
-    src = docs.select(id_col, text_col)
+    src, vocab = docs.select(id_col, text_col), vocab or token_files.vocabulary_path()
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([src.schema[0], T.StructField("spans", T.ArrayType(span))])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -201,21 +236,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dear:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in C.chunks(batch):
-                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, dear)] for t in b.column(1).to_pylist()]
+                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, known_words(vocab), dear)] for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, kind)], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", dear: float = DEAR) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", dear: float = DEAR, vocab: str | None = None) -> DataFrame:
     """The same rows and columns with every span of the text replaced; overlapping spans become one mark."""
-    schema = docs.schema
+    schema, vocab = docs.schema, vocab or token_files.vocabulary_path()
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in C.chunks(batch, at):
-                texts = [hide(t, scan(t, dear), mark) for t in b.column(at).to_pylist()]
+                texts = [hide(t, scan(t, known_words(vocab), dear), mark) for t in b.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
