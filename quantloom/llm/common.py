@@ -7,7 +7,6 @@ boundary are masked out.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quantloom.sources.tables import shared_dir
+
 #: Characters of text handled at once in Python; one longer document is a chunk of its own.
 CHUNK_CHARS = 2 << 20
 
@@ -27,20 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset (tests) is one made here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        ctx = spark.sparkContext
-        base = ctx.getCheckpointDir()
-        if not base:
-            ctx.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
-            base = ctx.getCheckpointDir()
-    return base.rstrip("/")
+#: Paths of the working tables that this process wrote and has not deleted, oldest first.
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quantloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quantloom/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -56,6 +51,13 @@ def drop_paths(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
+        if p in _made:
+            _made.remove(p)
+
+
+def working_tables() -> list[str]:
+    """Working tables still there. Results read theirs when they run, so a caller deletes them (``drop_paths``) afterwards."""
+    return list(_made)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -242,28 +244,27 @@ def ranked(spark: SparkSession, df: DataFrame, keys: list[str], order: list[str]
     return rows, runs, path
 
 
-#: Bits of a bitmap: 16 MB however many values go in. A fuller one passes more rows on to the exact join behind it.
-BITMAP_LOG2 = 27
+#: A bitmap has 16 bits for each value that goes in, between 2^20 and 2^30 bits (128 MB). Past 10^9 values it fills up and passes
+#: more rows on to the exact join behind it.
+BITMAP_LOG2 = (20, 30)
 SLICE_LOG2 = 16
 
 
 class Bitmap:
-    """A fixed-size set of 64-bit hashes with false positives only, sent to the executors as a prefilter."""
+    """A set of 64-bit hashes of bounded size with false positives only, sent to the executors as a prefilter."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    def __contains__(self, _):  # pragma: no cover - use has()
-        raise TypeError("use has()")
+        self.bits, self.log2 = bits, (len(bits) * 8).bit_length() - 1
 
     def has(self, x: np.ndarray) -> np.ndarray:
-        slot = x.astype(np.uint64) >> np.uint64(64 - BITMAP_LOG2)
+        slot = x.astype(np.uint64) >> np.uint64(64 - self.log2)
         return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 def bitmap(spark: SparkSession, df: DataFrame, col: str):
     """A broadcast Bitmap of a long column, built in slices by the executors; the driver only joins the slices."""
-    slot = F.shiftrightunsigned(F.col(col), 64 - BITMAP_LOG2)
+    log2 = min(max((16 * df.count()).bit_length(), BITMAP_LOG2[0]), BITMAP_LOG2[1])
+    slot = F.shiftrightunsigned(F.col(col), 64 - log2)
     slices = df.select(F.shiftrightunsigned(slot, SLICE_LOG2).alias("s"), slot.bitwiseAND((1 << SLICE_LOG2) - 1).alias("b")).repartition(partitions(spark), "s")
 
     def build(batches):
@@ -276,19 +277,61 @@ def bitmap(spark: SparkSession, df: DataFrame, col: str):
         for s, on in have.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["s", "bytes"])
 
-    bits = np.zeros(1 << (BITMAP_LOG2 - 3), np.uint8)
+    bits = np.zeros(1 << (log2 - 3), np.uint8)
     width = 1 << (SLICE_LOG2 - 3)
     for r in slices.mapInArrow(build, "s bigint, bytes binary").collect():  # at most the bitmap's size
         bits[r["s"] * width : (r["s"] + 1) * width] |= np.frombuffer(r["bytes"], np.uint8)
     return spark.sparkContext.broadcast(Bitmap(bits))
 
 
-def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
-    """One star operation on edges (u, v), in one shuffle: rows of u come together in order of v, so the first v is the least
-    and rows stream on; nothing but the last pair is held however many neighbours u has.
+#: Rows of one key that always go to one task.
+SPREAD_ROWS = 256
+
+
+def spread_from(spark: SparkSession, total: int) -> int:
+    """Rows from which a key is hot: a quarter of a task's share. At most 4 x partitions keys have more."""
+    return max(SPREAD_ROWS, total // (4 * partitions(spark)))
+
+
+def join_spread(spark: SparkSession, big: DataFrame, small: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join where ``small`` has one row for each key, and in column ``rows`` how many rows of ``big`` have it.
+
+    The hot keys' rows of small are broadcast (at most 4 x partitions, whatever the data), so no task gets all rows of a hot
+    key; the other keys meet by a shuffle. Both tables are read twice and should be stored ones.
+    """
+    limit = spread_from(spark, small.agg(F.sum(rows)).first()[0] or 0)
+    hot = small.filter(F.col(rows) > limit)
+    if hot.isEmpty():
+        return big.join(small, key)
+    cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(rows) <= limit), key)
+    return big.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def _star(spark: SparkSession, edges: DataFrame, n: int, large: bool, total: int) -> DataFrame:
+    """One star operation on edges (u, v).
 
     Large: each neighbour over u gets an edge to the least around u. Small (v < u): u and its neighbours get one to the least.
+    Rows of u come together in order of v, so the first v is the least and rows stream on. Vertices with very many neighbours
+    (at most 4 x partitions) learn their least from combined aggregates instead, and their edges stay where they are.
     """
+    limit = spread_from(spark, total)
+    hot = {r["u"]: r["m"] for r in edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m")).filter(F.col("n") > limit).collect()}
+    if hot:
+        known = np.array(sorted(hot), np.int64)
+        least = np.array([min(hot[u], u) if large else hot[u] for u in known.tolist()], np.int64)
+
+        def near_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, v = (b.column(i).to_numpy() for i in range(2))
+                m = least[np.searchsorted(known, u)]
+                keep = (v > u) if large else (v != m)
+                yield pa.RecordBatch.from_arrays([pa.array(v[keep], pa.int64()), pa.array(m[keep], pa.int64())], names=["u", "v"])
+
+        is_hot = F.col("u").isin(known.tolist())
+        around = edges.filter(is_hot).distinct().mapInArrow(near_hot, "u bigint, v bigint")
+        if not large:
+            around = around.unionByName(spark.createDataFrame(list(zip(known.tolist(), least.tolist(), strict=True)), "u bigint, v bigint"))
+        edges = edges.filter(~is_hot)
     dealt = edges.repartition(n, "u").sortWithinPartitions("u", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +356,14 @@ def _star(edges: DataFrame, n: int, large: bool) -> DataFrame:
             last_u, last_v, last_m = u[-1], v[-1], m[-1]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    out = dealt.mapInArrow(run, "u bigint, v bigint")
+    return out.unionByName(around) if hot else out
 
 
 def components(spark: SparkSession, edges: DataFrame, label: str = "components") -> DataFrame:
     """(v, root): the least vertex reachable, for each vertex of edges (a, b), by alternating large and small stars.
 
-    The driver sees two numbers a round. Each round is written to the shared folder, so its lineage ends there.
+    The driver sees two numbers a round and the hot vertices. Each star is written to the shared folder, so its lineage ends there.
     """
     n = partitions(spark)
     now, path = stored(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
@@ -330,8 +374,9 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
     state = checksum(now)
     while state["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        then, then_path = stored(spark, _star(_star(both, n, True), n, False), label)
-        drop_paths(spark, path)
+        wide, wide_path = stored(spark, _star(spark, both, n, True, 2 * state["n"]), label)
+        then, then_path = stored(spark, _star(spark, wide, n, False, state["n"]), label)
+        drop_paths(spark, path, wide_path)
         now, path = then, then_path
         if state == (state := checksum(now)):
             break

@@ -11,8 +11,14 @@ Then buckets that still hold several components are compared in blocks: a vertex
 confirms its nearest members of other components, a few, then eight times as many each round, until no colliding pair that
 the sketches admit and that could join two components is untested.
 
-Losses: a pair at similarity s misses all bands with probability (1 - s^rows)^bands (3e-7 at 0.85), and the estimates
-lie five standard deviations under the threshold. Vertices are 64-bit hashes of sets.
+Losses: a pair at similarity s misses all bands with probability (1 - s^rows)^bands (3e-7 at 0.85); the sketch of the samples
+rejects a pair at the threshold with 1e-9, its own collisions counted (``most_differing``), and the sketch of the sets lies six
+standard deviations off. Vertices are 64-bit hashes of sets.
+
+Hot groups: a bucket's rows are salted by its size wherever they meet one row of their bucket, and hot centres, components and
+groups of equal texts meet their one row by ``common.join_spread``. A split bucket of m members is dealt into blocks of at least
+BLOCK members, CELLS at most until a block has MOST_BLOCK, so each member is sent to at most CELLS cells up to half a million
+members and to m / MOST_BLOCK beyond. The comparisons of sketches within a split bucket grow with its square.
 
 Defined results: null and empty texts and those without words have empty sets and link with nothing; texts shorter than a
 shingle are one shingle; equal sets are linked; rows that share an id are each judged on their text; null ids never name
@@ -21,6 +27,7 @@ a component that has another id. An empty table gives no rows. Only the id and t
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -37,9 +44,12 @@ SAMPLES = 256
 #: Bits of the sketch of the samples and of the sketch of the set.
 SKETCH_BITS, SET_BITS = 512, 1024
 SAMPLE_WORDS, SKETCH_WORDS = SKETCH_BITS // 64, (SKETCH_BITS + SET_BITS) // 64
-#: Standard deviations that a pair's estimate may lie under the threshold.
-DEVIATIONS = 5
-BLOCK = 1024
+#: Probability that the sketch of the samples rejects a pair at the threshold, and standard deviations allowed to that of the sets.
+MISS, DEVIATIONS = 1e-9, 6
+#: Members of a block of a split bucket: at least, and at most before there are more than CELLS blocks.
+BLOCK, MOST_BLOCK, CELLS = 1024, 1 << 16, 8
+#: Members of a bucket that share a salt.
+SALTED = 512
 #: Nearest members that a vertex confirms in the first round over split buckets; each further round takes eight times as many.
 FIRST_BEST = 8
 #: Members from which a bucket gets a medoid.
@@ -57,11 +67,24 @@ def bands_for(percent: int) -> tuple[int, int]:
     return (32, 6) if percent >= 85 else (40, 5) if percent >= 80 else (64, 4)
 
 
-def most_differing(percent: int, bits: int = SKETCH_BITS, samples: int = SAMPLES) -> int:
-    """Differing sketch bits at the least estimate, from J = 1 + bits/(4 samples) ln(1 - 2z/bits)."""
-    at = percent / 100
-    least = at - DEVIATIONS * math.sqrt(at * (1 - at) / samples)
-    return math.ceil(bits / 2 * (1 - math.exp(-4 * samples * (1 - least) / bits)))
+@functools.cache
+def most_differing(percent: int, bits: int = SKETCH_BITS, samples: int = SAMPLES, miss: float = MISS) -> int:
+    """Least number of differing bits that a pair at the threshold exceeds with a probability of at most ``miss``.
+
+    Exact: the differing samples are binomial, each flips two random bits, and ``odd`` follows how many bits are then odd.
+    """
+    apart = 1 - percent / 100
+    odd = np.zeros(bits + 1)
+    odd[0] = 1.0
+    total = np.zeros(bits + 1)
+    k = np.arange(bits + 1)
+    for d in range(samples + 1):
+        total += math.exp(math.lgamma(samples + 1) - math.lgamma(d + 1) - math.lgamma(samples - d + 1) + d * math.log(apart) + (samples - d) * math.log1p(-apart)) * odd
+        for _ in range(2):
+            up, down = odd * (bits - k) / bits, odd * k / bits
+            odd = np.concatenate([[0.0], up[:-1]]) + np.concatenate([down[1:], [0.0]])
+    tail = np.cumsum(total[::-1])[::-1]  # tail[z]: probability of z or more
+    return int(np.flatnonzero(np.append(tail[1:], 0.0) <= miss)[0])
 
 
 def most_in_sets(total: np.ndarray, percent: int) -> np.ndarray:
@@ -184,8 +207,8 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, words: int
                 yield pa.RecordBatch.from_arrays([pa.array([vertex(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "set"])
 
     sets, sets_path = C.stored(spark, src.mapInArrow(load, "v bigint, set binary"), "near-sets")
-    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("long").alias("g"))
-    salted = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).alias("salt"))
+    fans, fans_path = C.stored(spark, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumn("g", F.ceil(F.col("k") / FAN).cast("long")), "near-fans")
+    salted = C.join_spread(spark, pairs.select("a", "b"), fans, "a", "k").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).alias("salt"))
     one = sets.withColumnRenamed("v", "a").join(fans, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "set")
     other = salted.join(sets.withColumnRenamed("v", "b"), "b").select("a", "salt", "b", "set")
     dealt = one.unionByName(other).repartition(C.partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -207,7 +230,7 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, words: int
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     out, _ = C.stored(spark, dealt.mapInArrow(compare, "a bigint, b bigint"), "near-links")
-    C.drop_paths(spark, sets_path)
+    C.drop_paths(spark, sets_path, fans_path)
     return out
 
 
@@ -241,14 +264,25 @@ def differing(x: str, y: str, first: int, last: int):
     return sum((word(i) for i in range(first + 1, last)), word(first))
 
 
+def with_salt(rows: DataFrame) -> DataFrame:
+    """Rows (key, v, m, ...) of buckets with m members: about SALTED members of a bucket share a salt."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / SALTED).cast("long")))
+
+
+def with_every_salt(buckets: DataFrame) -> DataFrame:
+    """One row (key, m, ...) of a bucket for each of its salts: m / SALTED."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / SALTED).cast("long") - 1)))
+
+
 def medoids(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(key, a): of each bucket the member nearest to the bitwise majority of its sketches.
+    """(key, m, a): of each bucket the member nearest to the bitwise majority of its sketches.
 
     Where all copies come from one text, that text is the hub that most of them link with. Bits are counted in groups of
-    about BLOCK members and summed, so no task sees a whole bucket. rows: (key, v, m, sketch).
+    about SALTED members and summed, so no task sees a whole bucket. rows: (key, v, m, sketch).
     """
     n = C.partitions(spark)
-    salted = rows.select("key", F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("salt"), "sketch")
+    rows = with_salt(rows)
+    salted = rows.select("key", "salt", "sketch")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, bytes]] = []
@@ -267,22 +301,30 @@ def medoids(spark: SparkSession, rows: DataFrame) -> DataFrame:
                 had = sums.get(key, (0, 0))
                 sums[key] = (had[0] + k, had[1] + np.frombuffer(bits, np.int64))
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([np.packbits(2 * x > k).view(np.int64) for k, x in sums.values()], pa.list_(pa.int64()))], names=["key", "middle"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([k for k, _ in sums.values()], pa.int64()), pa.array([np.packbits(2 * x > k).view(np.int64) for k, x in sums.values()], pa.list_(pa.int64()))], names=["key", "m", "middle"])
 
     parts = salted.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(count, "key bigint, n bigint, bits binary")
-    middle = parts.repartition(n, "key").mapInArrow(majority, "key bigint, middle array<bigint>")
-    return rows.join(middle, "key").groupBy("key").agg(F.min(F.struct(differing("sketch", "middle", 0, SKETCH_WORDS).alias("z"), "v")).alias("p")).select("key", F.col("p.v").alias("a"))
+    middle = parts.repartition(n, "key").mapInArrow(majority, "key bigint, m bigint, middle array<bigint>")
+    far = F.struct(differing("sketch", "middle", 0, SKETCH_WORDS).alias("z"), "v")
+    best = rows.drop("m").join(with_every_salt(middle), ["key", "salt"]).groupBy("key", "m", "salt").agg(F.min(far).alias("p"))
+    return best.groupBy("key", "m").agg(F.min("p").alias("p")).select("key", "m", F.col("p.v").alias("a"))
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """Each member of a bucket once for each block that its own is compared with."""
+    blocks = F.least(F.ceil(F.col("m") / BLOCK), F.greatest(F.lit(CELLS).cast("long"), F.ceil(F.col("m") / MOST_BLOCK)))
+    cells = rows.withColumn("g", blocks.cast("long")).withColumn("c", F.pmod(F.xxhash64("v"), F.col("g")))
+    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    return cells.select("key", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "c", "v", "n", "root", "sketch")
 
 
 def nearest(spark: SparkSession, rows: DataFrame, percent: int, best: int) -> DataFrame:
     """For vertices outside their bucket's largest component: the ``best`` nearest members of other components.
 
     rows: (key, m, v, n, sketch, root), m the members of the bucket. Returns (x, y, z); x = y marks that x has more. Buckets
-    are compared in blocks of BLOCK x BLOCK members, and what a block returns is linear in its members.
+    are compared in blocks x blocks, and what such a cell returns is linear in its members.
     """
-    cells = rows.withColumn("g", F.ceil(F.col("m") / BLOCK).cast("long")).withColumn("c", F.pmod(F.xxhash64("v"), F.col("g")))
-    cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    cells = cells.select("key", F.least("c", "o").alias("p"), F.greatest("c", "o").alias("q"), "c", "v", "n", "root", "sketch")
+    cells = cells_of(rows)
     dealt = cells.repartition(C.partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
     most = most_differing(percent)
 
@@ -292,13 +334,15 @@ def nearest(spark: SparkSession, rows: DataFrame, percent: int, best: int) -> Da
         if len(roots) < 2:
             return
         sk = sketch_words(t.column(7))
+        of_samples, of_sets = np.ascontiguousarray(sk[:, :SAMPLE_WORDS]), np.ascontiguousarray(sk[:, SAMPLE_WORDS:])
         for i in np.flatnonzero(back != times.argmax()).tolist():
             ok = (root != root[i]) & (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
             r = np.flatnonzero(ok & (c != c[i]) if p[0] != q[0] else ok)
             if len(r):
-                bits = np.bitwise_count(sk[r] ^ sk[i])
-                z = bits[:, SAMPLE_WORDS:].sum(axis=1, dtype=np.int64)
-                ok = (bits[:, :SAMPLE_WORDS].sum(axis=1, dtype=np.int64) <= most) & (z <= most_in_sets(n[r] + n[i], percent))
+                z = np.bitwise_count(of_sets[r] ^ of_sets[i]).sum(axis=1, dtype=np.int64)
+                ok = z <= most_in_sets(n[r] + n[i], percent)
+                r, z = r[ok], z[ok]
+                ok = np.bitwise_count(of_samples[r] ^ of_samples[i]).sum(axis=1, dtype=np.int64) <= most
                 r, z = r[ok], z[ok]
                 order = np.lexsort((v[r], z))
                 for k in order[:best].tolist():
@@ -329,24 +373,30 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     described, _ = C.stored(spark, describe(docs, words, percent), "near-described")
-    reps, reps_path = C.stored(spark, described.filter("v IS NOT NULL").groupBy("v").agg(F.first("idh").alias("idh"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-vertices")
+    first = [F.first(c).alias(c) for c in ("idh", "n", "bands", "sketch")]
+    reps, reps_path = C.stored(spark, described.filter("v IS NOT NULL").groupBy("v").agg(*first, F.count(F.lit(1)).alias("copies"), F.min("id").alias("low")), "near-vertices")
     used = [reps_path]
 
     # Buckets of two and more vertices, each with a centre: large ones their medoid, others their first vertex.
     members = reps.select("v", F.explode("bands").alias("key"))
-    firsts = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("a")).filter("m > 1")
-    members, path = C.stored(spark, members.join(firsts, "key"), "near-buckets")
+    firsts, path = C.stored(spark, members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("a")).filter("m > 1"), "near-firsts")
+    used.append(path)
+    members, path = C.stored(spark, C.join_spread(spark, members, firsts, "key", "m"), "near-buckets")
     used.append(path)
     sketches = reps.select("v", "n", "sketch")
-    large = medoids(spark, members.filter(F.col("m") >= LARGE).join(sketches, "v").select("key", "v", "m", "sketch"))
-    stars = members.filter(F.col("m") >= LARGE).select("key", "v").join(large, "key").select("a", F.col("v").alias("b"))
+    large = medoids(spark, members.filter(F.col("m") >= LARGE).select("key", "v", "m").join(sketches, "v").select("key", "v", "m", "sketch"))
+    stars = with_salt(members.filter(F.col("m") >= LARGE).select("key", "v", "m")).drop("m").join(with_every_salt(large), ["key", "salt"]).select("a", F.col("v").alias("b"))
     stars = stars.unionByName(members.filter(F.col("m") < LARGE).select("a", F.col("v").alias("b"))).filter("a <> b").distinct()
+    stars, path = C.stored(spark, stars, "near-stars")
+    used.append(path)
 
     hashed = lambda c: reps.select(F.col("v").alias(c), F.col("idh").alias(f"h{c}"))
 
     # First round: each vertex confirms its best-estimated link with a centre.
     side = lambda c: reps.select(F.col("v").alias(c), F.col("idh").alias(f"h{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    centres, path = C.stored(spark, side("a").join(stars.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a"), "near-centres")
+    used.append(path)
+    stars = C.join_spread(spark, stars, centres, "a", "k").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     stars = stars.withColumn("z", differing("s_a", "s_b", SAMPLE_WORDS, SKETCH_WORDS)).filter(F.col("z") <= most_in_sets_column(F.col("n_a") + F.col("n_b"), percent))
     stars = stars.filter(differing("s_a", "s_b", 0, SAMPLE_WORDS) <= most_differing(percent))
     tried, path = C.stored(spark, stars.groupBy("b").agg(F.min(F.struct("z", "a", "ha", "hb")).alias("p")).select(F.col("p.a").alias("a"), "b", "p.ha", "p.hb"), "near-tried")
@@ -357,9 +407,9 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     # Further rounds: buckets that still hold several components, nearest members first, until no candidate is untried.
     best, rest = FIRST_BEST, True
     while rest:
-        rooted = members.select("key", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", "m")
-        rows = rooted.join(split, "key").join(sketches, "v").select("key", "m", "v", "n", "root", "sketch")
+        rooted = members.select("key", "v", "m").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+        split = rooted.groupBy("key", "m").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "m")
+        rows = with_salt(rooted).join(with_every_salt(split).drop("m"), ["key", "salt"]).join(sketches, "v").select("key", "m", "v", "n", "root", "sketch")
         order = Window.partitionBy("x").orderBy("z", "y")
         ranked = nearest(spark, rows, percent, best).withColumn("r", F.dense_rank().over(order))
         near, near_path = C.stored(spark, ranked, "near-nearest")
@@ -381,11 +431,16 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
         used.append(path)
         tried = tried.unionByName(pairs)
 
-    final, _ = C.stored(spark, reps.select("v").join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root")), "near-final")
+    # Names: the least id of each component, back to its vertices, and on to their documents.
+    final, path = C.stored(spark, reps.select("v", "copies", "low").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "near-final")
+    used.append(path)
+    names, path = C.stored(spark, final.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k")), "near-names")
+    used.append(path)
+    named, _ = C.stored(spark, C.join_spread(spark, final, names, "root", "k").select("v", "copies", "component_id"), "near-named")
     C.drop_paths(spark, *used)
-    rows = described.select("id", "n", "v", "th").join(final, "v", "left")
-    names = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("c"))
-    out = rows.join(names, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("c")))
+    rows = described.select("id", "n", "v", "th")
+    out = C.join_spread(spark, rows.filter("v IS NOT NULL"), named, "v", "copies").select("id", "n", "th", "component_id")
+    out = out.unionByName(rows.filter("v IS NULL").select("id", "n", "th", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("th").alias("text_hash"))
 
 
@@ -393,7 +448,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark, C.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
-
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + least(len(ws), 3) - 1], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(len(ws), 3) + 2)) AS i FROM d WHERE len(ws) > 0)),
