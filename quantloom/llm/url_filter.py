@@ -1,13 +1,16 @@
 """URL filter: rules first, then words in host and path names scored by naive Bayes.
 
-Names such as ``cheappills`` are split by a unigram Viterbi search: word counts come from the pages' own html, joined to the
-substrings of each distinct name, so the model is never sent to the executors whole. A multinomial naive Bayes is trained
-on the distinct hosts: those with a seed word are the blocked class, and seeds count as seen in it. Every page without a rule gets the sum of its
-host's and path's log odds.
-
-Hot hosts and paths are judged once and joined back. Defined results: a null url or one without ``://`` has empty host and
-path, no tokens, and the verdict of the class prior (allow); very long names are searched whole; repeated pages get equal
-verdicts; an empty table gives no rows. Only the id, url and html columns are read.
+Names such as ``cheappills`` are split by a unigram Viterbi search: word counts come from the pages' own html (each page parsed
+once), joined to the substrings of each distinct name, so the model is never sent to the executors whole. Very long names go in
+pieces of PIECE letters, and the search streams on from piece to piece. A multinomial naive Bayes is trained on distinct hosts
+and the paths seen with them, every token as often as it stands there. The blocked class is given by ``labels`` (host, blocked)
+where there are any; else hosts with a strong seed word are its examples, and seeds count as seen in it. Every page without a
+rule gets the sum of its host's and path's log odds.
+
+Hot hosts and paths are judged once and joined back without a task for any of them. Defined results: a null url or one without
+``://`` has empty host and path, no tokens, and the verdict of the class prior (allow); null html has no words; very long names
+and pages are read whole; ties between splits go to the longest last word; repeated pages get equal verdicts; an empty table
+gives no rows. Only the id, url and html columns are read, so others may have any name. Names meet by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,11 +40,15 @@ STRONG = frozenset("adult ads bet bets betting bingo camgirls casino cialis esco
 #: Times that each strong seed counts as seen in the blocked class besides the hosts (in its own estimate only).
 SEED_COUNT = 20
 
-LONGEST = 20
+#: Letters of the longest word that a split may use, and of a piece of a name.
+LONGEST, PIECE = 24, 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NAME = r"[a-z\x{80}-\x{10FFFF}]+"
-TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z0-9#]+;", re.S | re.I)
-WORD = re.compile(r"[a-z]{1,20}")
+#: The same letters over UTF-8.
+WORD = re.compile(rb"[a-z\x80-\xff]+")
+HIDDEN = re.compile(rb"(script|style)\b", re.I)
+CLOSED = {name: re.compile(rb"</" + name + rb"\s*>", re.I) for name in (b"script", b"style")}
+ENTITY = re.compile(rb"&[a-z0-9#]+;", re.I)
 
 
 def parsed(pages: DataFrame, url_col: str) -> DataFrame:
@@ -61,11 +68,30 @@ def by_rules(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
 
 
 def names(col: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.translate(col, UPPER, LOWER), F.lit(f"({NAME})"), 1))
+    return F.regexp_extract_all(F.translate(col, UPPER, LOWER), F.lit(f"({NAME})"), 1)
+
+
+def visible(html: str | None) -> bytes:
+    """Text outside tags, scripts and styles, in one pass: an unclosed script or style hides the rest, a lone < is text."""
+    raw, at, out = C.text_of(html), 0, []
+    while (i := raw.find(b"<", at)) >= 0:
+        out.append(raw[at:i])
+        if m := HIDDEN.match(raw, i + 1):
+            end = CLOSED[m[1].lower()].search(raw, m.end())
+            if end is None:
+                return ENTITY.sub(b" ", b" ".join(out))
+            at = end.end()
+            continue
+        end = raw.find(b">", i)
+        if end < 0:
+            at = i
+            break
+        at = end + 1
+    return ENTITY.sub(b" ", b" ".join([*out, raw[at:]]))
 
 
 def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
-    """(word, n) over the visible text of all pages, summed per batch before the shuffle."""
+    """(word, n) over the visible text of all pages, A-Z in lower case, summed per batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,88 +99,146 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
             for b in C.chunks(batch, 0):
                 for t in b.column(0).to_pylist():
                     if t:
-                        n.update(WORD.findall(TAGS.sub(" ", t).lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+                        n.update(WORD.findall(visible(t).lower()))
+            words = [w.decode("utf-8", "replace") for w in n]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
     return pages.select(html_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Splitter:
+    """The likeliest split of a name, fed in pieces. An unknown word of k letters has probability 10 / (total 10^k)."""
+
+    def __init__(self, total: int):
+        self.total, self.floor = total, math.log(10) - math.log(total)
+        self.best, self.back, self.letters = [0.0], [0], []
+
+    def feed(self, piece: str, n: int, counts: dict[str, int]) -> None:
+        """The first n letters of piece are new starts; what follows only completes words. counts: words at these starts."""
+        at = len(self.letters)
+        self.letters += piece[:n]
+        more = at + len(piece) + 1 - len(self.best)
+        self.best += [-math.inf] * more
+        self.back += [0] * more
+        for i in range(n):
+            here = self.best[at + i]
+            for k in range(1, min(LONGEST, len(piece) - i) + 1):
+                found = counts.get(piece[i : i + k])
+                p = here + (math.log(found / self.total) if found else self.floor - k * math.log(10))
+                if p > self.best[at + i + k]:
+                    self.best[at + i + k], self.back[at + i + k] = p, at + i
+
+    def words(self) -> list[str]:
+        name, out, j = "".join(self.letters), [], len(self.letters)
+        while j:
+            out.append(name[self.back[j] : j])
+            j = self.back[j]
+        return out[::-1]
+
+
 def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
-    """The likeliest split of a name. An unknown word of k letters has probability 10 / (total 10^k), a letter at least."""
-    floor = math.log(10) - math.log(total)
-    best = [0.0] + [-math.inf] * len(name)
-    back = [0] * (len(name) + 1)
-    for j in range(1, len(name) + 1):
-        for i in range(max(0, j - LONGEST), j):
-            n = counts.get(name[i:j])
-            p = best[i] + (math.log(n / total) if n else floor - (j - i) * math.log(10))
-            if p > best[j]:
-                best[j], back[j] = p, i
-    out, j = [], len(name)
-    while j:
-        out.append(name[back[j] : j])
-        j = back[j]
-    return out[::-1]
+    s = Splitter(total)
+    s.feed(name, len(name), counts)
+    return s.words()
+
+
+def pieces_of(name: str) -> Iterator[tuple[int, str, int]]:
+    """(number, letters, how many of them are its own starts)."""
+    for k, at in enumerate(range(0, len(name), PIECE)):
+        yield k, name[at : at + PIECE + LONGEST - 1], min(PIECE, len(name) - at)
 
 
 def segmented(spark: SparkSession, distinct_names: DataFrame, counts: DataFrame, seeds: list[str]) -> DataFrame:
-    """(name, words) for each name; counts reach a name by a join on its substrings."""
+    """(name_id, words) for each name; counts reach a name by a join on its substrings. counts: a stored table."""
     total = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) + 1
     weight = max(1, total // 10_000)
     known = counts.unionByName(spark.createDataFrame([(w, weight) for w in seeds], "word string, n bigint")).groupBy("word").agg(F.sum("n").alias("n"))
+    src = distinct_names.select("name_id", "name")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name in b.column(0).to_pylist():
-                for at in range(0, len(name), 2000):
-                    starts = range(at, min(at + 2000, len(name)))
-                    subs = list({name[i:j] for i in starts for j in range(i + 1, min(len(name), i + LONGEST) + 1)})
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(subs), pa.string()), pa.array(subs, pa.string())], names=["name", "word"])
-
-    found = distinct_names.select("name").mapInArrow(cut, "name string, word string").join(known, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("c"))
-    joined = distinct_names.select("name").join(found, "name", "left").select("name", F.col("c.word").alias("w"), F.col("c.n").alias("n"))
+            for i, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for k, piece, n in pieces_of(name):
+                    subs = list({piece[s:e] for s in range(n) for e in range(s + 1, min(len(piece), s + LONGEST) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(subs), pa.int64()), pa.array([k] * len(subs), pa.int64()), pa.array(subs, pa.string())], names=["name_id", "piece", "word"])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
-            words = [viterbi(name, dict(zip(w or [], n or [], strict=True)), total) for name, w, n in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["name", "words"])
-
-    return joined.mapInArrow(split, "name string, words array<string>")
+            for i, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = list(pieces_of(name))
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in ((0, pa.int64()), (1, pa.string()), (2, pa.int64())))], names=["name_id", "piece", "letters", "own"])
 
+    # A piece has at most PIECE x LONGEST known words, however long its name is.
+    found = src.mapInArrow(cut, "name_id bigint, piece bigint, word string").join(known, "word").groupBy("name_id", "piece").agg(F.collect_list(F.struct("word", "n")).alias("c"))
+    rows = src.mapInArrow(spell, "name_id bigint, piece bigint, letters string, own bigint").join(found, ["name_id", "piece"], "left")
+    rows = rows.select("name_id", "piece", "letters", "own", F.col("c.word").alias("w"), F.col("c.n").alias("n"))
+    dealt = rows.repartition(C.partitions(spark), "name_id").sortWithinPartitions("name_id", "piece")
 
-def judge(spark: SparkSession, pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds: list[str] = SEEDS, strong: frozenset[str] = STRONG, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every page with host, path, rule and verdict, and the log odds of being blocked."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, s = None, None
+        for b in batches:
+            ids, words = [], []
+            for i, _, letters, own, w, n in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                if i != now:
+                    if s is not None:
+                        ids.append(now)
+                        words.append(s.words())
+                    now, s = i, Splitter(total)
+                s.feed(letters, own, dict(zip(w or [], n or [], strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["name_id", "words"])
+        if s is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([s.words()], pa.list_(pa.string()))], names=["name_id", "words"])
+
+    return dealt.mapInArrow(split, "name_id bigint, words array<string>")
+
+
+def judge(spark: SparkSession, pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds: list[str] = SEEDS, strong: frozenset[str] = STRONG, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Every page with host, path, rule and verdict, and the log odds of being blocked.
+
+    labels: (host, blocked), hosts in lower case; a host named more than once is blocked if any row says so. With labels only
+    the hosts they name train the model, and no word counts as a seed.
+    """
     rule, by_rule = by_rules(rules)
     narrow = parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), "url").select("id", "host", "path", rule.alias("rule"), by_rule.alias("said"))
-    narrow = narrow.withColumn("hn", F.array_sort(names(F.col("host")))).withColumn("pn", F.array_sort(names(F.col("path"))))
-    narrow, _ = C.stored(spark, narrow, "url-pages")
-    hosts = narrow.select("hn").distinct().withColumn("kind", F.lit("hn")).withColumnRenamed("hn", "key")
-    paths = narrow.select("pn").distinct().withColumn("kind", F.lit("pn")).withColumnRenamed("pn", "key")
-    keys, _ = C.stored(spark, hosts.unionByName(paths), "url-names")
-    each = keys.select("kind", "key", F.explode("key").alias("name"))
-    words = segmented(spark, each.select("name").distinct(), word_counts(pages, html_col), seeds)
-    words, _ = C.stored(spark, words, "url-words")
-    tokens = each.join(words, "name").select("kind", "key", F.explode("words").alias("token"))
-    tokens, _ = C.stored(spark, tokens, "url-tokens")
-
-    # Training: one example for each distinct host; the words of the paths seen with it belong to it.
-    hot = tokens.filter("kind = 'hn'").groupBy("key").agg(F.max(F.col("token").isin(*strong)).alias("bad"))
-    examples = keys.filter("kind = 'hn'").select("key").join(hot, "key", "left").select("key", F.coalesce("bad", F.lit(False)).alias("bad"))
-    host_words = tokens.filter("kind = 'hn'").select("key", "token").join(examples, "key")
-    path_words = narrow.select(F.col("hn").alias("h"), "pn").distinct().join(examples.select(F.col("key").alias("h"), "bad"), "h").select("h", "bad", F.col("pn").alias("key")).join(tokens.filter("kind = 'pn'").select("key", "token"), "key").select("h", "token", "bad").distinct()
-    seen = host_words.select("token", "bad").unionByName(path_words.select("token", "bad")).groupBy("token").agg(F.sum(F.col("bad").cast("long")).alias("b"), F.sum((~F.col("bad")).cast("long")).alias("a"))
-    seen, _ = C.stored(spark, seen, "url-model")
+    # Names of a host or path in order, repeats kept; a key is their hash.
+    narrow = narrow.withColumn("hn", names(F.col("host"))).withColumn("pn", names(F.col("path")))
+    narrow, pages_path = C.stored(spark, narrow.withColumn("hk", F.xxhash64("hn")).withColumn("pk", F.xxhash64("pn")), "url-pages")
+    hosts = narrow.groupBy(F.col("hk").alias("key")).agg(F.first("hn").alias("names"), F.count(F.lit(1)).alias("pages")).withColumn("kind", F.lit("h"))
+    paths = narrow.groupBy(F.col("pk").alias("key")).agg(F.first("pn").alias("names"), F.count(F.lit(1)).alias("pages")).withColumn("kind", F.lit("p"))
+    keys, keys_path = C.stored(spark, hosts.unionByName(paths), "url-names")
+    each = keys.select("kind", "key", F.explode("names").alias("name")).withColumn("name_id", F.xxhash64("name"))
+    counts, counts_path = C.stored(spark, word_counts(pages, html_col), "url-counts")
+    words, words_path = C.stored(spark, segmented(spark, each.groupBy("name_id").agg(F.first("name").alias("name")), counts, seeds), "url-words")
+    tokens = each.join(words, "name_id").select("kind", "key", F.explode("words").alias("token")).groupBy("kind", "key", "token").agg(F.count(F.lit(1)).alias("n"))
+    tokens, tokens_path = C.stored(spark, tokens, "url-tokens")
+
+    # Training: one example for each distinct host; the words of the distinct paths seen with it belong to it.
+    if labels is None:
+        hot = tokens.filter("kind = 'h'").groupBy("key").agg(F.max(F.col("token").isin(*strong)).alias("bad"))
+        examples = keys.filter("kind = 'h'").select("key").join(hot, "key", "left").select("key", F.coalesce("bad", F.lit(False)).alias("bad"))
+    else:
+        named = labels.select(names(F.col("host")).alias("hn"), F.col("blocked").cast("boolean").alias("bad")).filter("bad IS NOT NULL")
+        examples = named.groupBy(F.xxhash64("hn").alias("key")).agg(F.max("bad").alias("bad")).join(keys.filter("kind = 'h'").select("key"), "key", "left_semi")
+    examples, examples_path = C.stored(spark, examples, "url-examples")
+    host_words = tokens.filter("kind = 'h'").join(examples, "key").select("token", "bad", "n")
+    # The distinct paths of a host: counted for each class first, so a path on very many hosts meets its tokens once.
+    path_of = narrow.select(F.col("hk").alias("key"), "pk").distinct().join(examples, "key").groupBy(F.col("pk").alias("key"), "bad").agg(F.count(F.lit(1)).alias("hosts"))
+    path_words = tokens.filter("kind = 'p'").join(path_of, "key").select("token", "bad", (F.col("n") * F.col("hosts")).alias("n"))
+    seen = host_words.unionByName(path_words).groupBy("token").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a"))
+    seen, seen_path = C.stored(spark, seen, "url-model")
     sums = seen.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("v")).first()
     classes = examples.agg(F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     prior = math.log((classes["b"] + 1) / (classes["n"] - classes["b"] + 2))
-    seeded = F.when(F.col("token").isin(*strong), F.lit(float(SEED_COUNT))).otherwise(0.0)
+    seeded = F.when(F.col("token").isin(*strong), F.lit(float(SEED_COUNT))).otherwise(0.0) if labels is None else F.lit(0.0)
     odds = F.log((F.col("b") + seeded + 1.0) / (sums["b"] + sums["v"] + 1.0)) - F.log((F.col("a") + 1.0) / (sums["a"] + sums["v"] + 1.0))
-    scores = tokens.join(seen.select("token", odds.alias("o")), "token").groupBy("kind", "key").agg(F.sum("o").alias("o"))
-    scores, _ = C.stored(spark, scores, "url-scores")
-    part = lambda kind, to: scores.filter(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("o").alias(to))
-    out = narrow.join(part("hn", "oh"), "hn", "left").join(part("pn", "op"), "pn", "left")
-    score = F.lit(prior) + F.coalesce("oh", F.lit(0.0)) + F.coalesce("op", F.lit(0.0))
+    scored = tokens.join(seen.select("token", odds.alias("o")), "token").groupBy("kind", "key").agg(F.sum(F.col("n") * F.col("o")).alias("o"))
+    scores, _ = C.stored(spark, keys.select("kind", "key", "pages").join(scored, ["kind", "key"], "left").withColumn("o", F.coalesce("o", F.lit(0.0))), "url-scores")
+    part = lambda kind, key, to: scores.filter(F.col("kind") == kind).select(F.col("key").alias(key), F.col("o").alias(to), "pages")
+    out = C.join_spread(spark, narrow.drop("hn", "pn"), part("h", "hk", "oh"), "hk", "pages").drop("pages")
+    out, _ = C.stored(spark, out, "url-hosts-scored")
+    out = C.join_spread(spark, out, part("p", "pk", "op"), "pk", "pages")
+    C.drop_paths(spark, pages_path, keys_path, counts_path, words_path, tokens_path, examples_path, seen_path)
+    score = F.lit(prior) + F.col("oh") + F.col("op")
     verdict = F.coalesce("said", F.when(score > 0, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), score.alias("log_odds"))
 
