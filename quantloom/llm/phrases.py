@@ -13,9 +13,14 @@ A window is ``WINDOW`` consecutive words; a word goes if a window over it also s
    ones, and each that is not the first marks its words. Phrases are taken from the block's own text, so a block holds
    each once however many of its documents repeat it.
 
+Rows that repeat whole (id and text) are folded to one with a count before each shuffle, batch by batch, and unfolded at the end,
+so a row repeated very often doesn't fill its block.
+
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; null ids come before all
-others; rows that share an id count as one document (only the start decides), rows that repeat whole are judged alike. An
-empty table gives no rows. Ids are integers. Only the id and text columns are read. Windows meet by 64-bit hashes.
+others; rows that share an id count as one document (only the start decides), rows that repeat whole are judged alike; of windows
+that tie in id and start (rows of one id) none is later than the other. A very long text is a block's only text and held whole by
+one task. An empty table gives no rows. Ids are integers. Only the id and text columns are read, so others may have any name.
+Windows and repeated rows meet by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -81,6 +86,12 @@ def grouped(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(0, np.int64)
 
 
+def folded(b: pa.RecordBatch, hash_col: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows of a batch that differ in the hash of id and text, and how often each stands in it."""
+    _, one, times = np.unique(b.column(hash_col).to_numpy(), return_index=True, return_counts=True)
+    return (b, np.ones(b.num_rows, np.int64)) if len(one) == b.num_rows else (b.take(pa.array(one)), times)
+
+
 def member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
 
@@ -195,7 +206,7 @@ def locate(ids: np.ndarray, docs: list[list[bytes]], records: list[np.ndarray],
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: id, n_words, n_removed and the kept words joined by spaces (with ``digest``: their sha256)."""
     parts = C.partitions(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("rh", F.xxhash64("id", "text"))
     total = src.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     hot_at = max(HOT, n_blocks, min(HOT_BLOCKS * n_blocks, HOT_MOST))
@@ -206,8 +217,8 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     # 1. Recurring fingerprints.
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in C.chunks(batch, 0):
-                grams, chosen, _, _ = C.winnow(C.Flat(map(C.ascii_words, b.column(0).to_pylist())), gram, window)
+            for b in C.chunks(folded(batch, 2)[0]):
+                grams, chosen, _, _ = C.winnow(C.Flat(map(C.ascii_words, b.column(1).to_pylist())), gram, window)
                 fp, n = np.unique(grams[chosen], return_counts=True)
                 yield rows_of(list(dealt(part_of(fp), fp, n.astype(np.int32))))
 
@@ -216,7 +227,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         times = np.bincount(back, n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(C.to_signed(one[times > 1])), pa.array(times[times > 1])], names=["fp", "n"])
 
-    seeds, seeds_path = C.stored(spark, gather(src.select("text").mapInArrow(fingerprints, BLOBS), parts, ("u8", "i4"), count, "fp bigint, n bigint"), "phrase-seeds")
+    seeds, seeds_path = C.stored(spark, gather(src.mapInArrow(fingerprints, BLOBS), parts, ("u8", "i4"), count, "fp bigint, n bigint"), "phrase-seeds")
     near = C.bitmap(spark, seeds, "fp")
 
     # 2a. Windows with so many occurrences that they are sent to all blocks: at most (all windows) / n_blocks.
@@ -227,7 +238,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
         def hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in C.chunks(batch):
+                for b in C.chunks(folded(batch, 2)[0]):
                     flat = C.Flat(map(C.ascii_words, b.column(1).to_pylist()))
                     _, _, least, full = C.winnow(flat, gram, window)
                     at = np.flatnonzero(full)
@@ -254,11 +265,11 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     hot_known = spark.sparkContext.broadcast(hot)
 
     # 2b. All other windows over a recurring fingerprint meet by hash; later ones become patterns of their blocks.
-    placed = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)))
+    placed = src.withColumn("block", F.pmod("rh", F.lit(n_blocks)))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in C.chunks(batch):
+            for b in C.chunks(folded(batch, 2)[0]):
                 flat = C.Flat(map(C.ascii_words, b.column(1).to_pylist()))
                 _, _, least, full = C.winnow(flat, gram, window)
                 at = np.flatnonzero(full)
@@ -267,7 +278,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 cold = ~member(wh, hot_known.value[0])
                 at, wh = at[cold], wh[cold]
                 doc = flat.doc[at]
-                yield rows_of(list(dealt(part_of(wh), wh, ids_of(b.column(0))[doc], flat.pos[at].astype(np.int32), b.column(2).to_numpy()[doc].astype(np.int32))))
+                yield rows_of(list(dealt(part_of(wh), wh, ids_of(b.column(0))[doc], flat.pos[at].astype(np.int32), b.column(3).to_numpy()[doc].astype(np.int32))))
 
     def patterns(wh, ids, pos, block) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((pos, ids, wh))
@@ -290,32 +301,49 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     long, text = T.LongType(), T.StringType()
     last = "kept_sha256" if digest else "kept_text"
     schema = T.StructType([T.StructField(id_col, long), T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField(last, text)])
-    both = placed.select("block", "id", "text", F.lit(None).cast("binary").alias("data")).unionByName(found.select(F.col("to").alias("block"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "data"))
-    dealt_out = both.repartitionById(parts, F.col("block").cast("int")).sortWithinPartitions("block")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, times = folded(batch, 2)
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), b.column(2), pa.array(times), pa.nulls(b.num_rows, pa.binary())], names=["block", "id", "text", "rh", "times", "data"])
+
+    rows = placed.mapInArrow(fold, "block bigint, id bigint, text string, rh bigint, times bigint, data binary")
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    both = rows.unionByName(found.select(F.col("to").alias("block"), none("long", "id"), none("string", "text"), none("long", "rh"), none("long", "times"), "data"))
+    dealt_out = both.repartitionById(parts, F.col("block").cast("int")).sortWithinPartitions("block", "rh")
 
-    def finish(ids: list, texts: list, blobs: list[bytes]) -> pa.RecordBatch:
+    def finish(ids: list, texts: list, times: list[int], blobs: list[bytes]) -> pa.RecordBatch:
         docs = [C.ascii_words(t) for t in texts]
         keys = np.array([FIRST if i is None else i for i in ids], np.int64)
         gone = locate(keys, docs, from_blobs(blobs, ("i8", "i4", "u4", "i8", "i4")), hot_known.value, window, gram)
         kept = [b" ".join(w for w, x in zip(d, g.tolist(), strict=True) if not x) if g.any() else b" ".join(d) for d, g in zip(docs, gone, strict=True)]
         out = [hashlib.sha256(k).hexdigest() for k in kept] if digest else [k.decode("utf-8", "surrogatepass") for k in kept]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(out, pa.string())], names=schema.names)
+        one = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(d) for d in docs], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array(out, pa.string())], names=schema.names)
+        yield one
+        more = np.array(times, np.int64) - 1  # repeated rows, a batch's worth at a time
+        while (left := np.flatnonzero(more > 0)).size:
+            again = np.repeat(left, np.minimum(more[left], max(1, 10_000 // len(left))))
+            yield one.take(pa.array(again))
+            more -= np.bincount(again, minlength=len(more))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, texts, blobs = None, [], [], []
+        now, ids, texts, times, blobs, last = None, [], [], [], [], None
         for batch in batches:
-            for block, i, t, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for block, i, t, rh, n, data in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if block != now:
                     if ids:
-                        yield finish(ids, texts, blobs)
-                    now, ids, texts, blobs = block, [], [], []
-                if data is None:
+                        yield from finish(ids, texts, times, blobs)
+                    now, ids, texts, times, blobs, last = block, [], [], [], [], None
+                if data is not None:
+                    blobs.append(data)
+                elif rh == last:  # the same row from another batch
+                    times[-1] += n
+                else:
                     ids.append(i)
                     texts.append(t)
-                else:
-                    blobs.append(data)
+                    times.append(n)
+                    last = rh
         if ids:
-            yield finish(ids, texts, blobs)
+            yield from finish(ids, texts, times, blobs)
 
     out = dealt_out.mapInArrow(stream, schema)
     C.drop_paths(spark, seeds_path)
