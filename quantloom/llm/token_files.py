@@ -14,7 +14,8 @@ worker and looked up afterwards. Texts with characters past U+024F, rare control
 whole. Both give the tokenizer's own ids (tested).
 
 Defined results: a null text is empty and yields the end id alone; null ids sort first; rows of one id are ordered by text
-hash; an empty table gives no blocks. Only the id and text columns are read.
+hash; an empty table gives no blocks. A very long text is a block of its own; Spark holds a value of at most 2 GB, so about 10^9
+ids, and a longer document fails the job rather than lose ids. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -50,6 +50,15 @@ def test_encoder_matches_the_library():
         assert ids.tolist() == enc.tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_matches_the_library_everywhere():
+    """Every character up to U+024F between characters of every class, and some beyond."""
+    enc = token_files.encoder(token_files.vocabulary_path())
+    around = ["", "a", "Z", "1", " ", "!", "'", "\n", "\xa0", "\xe9", "\xb2", "  "]
+    texts = [x + chr(c) + y for c in [*range(0x250), 0x300, 0x3B1, 0x410, 0x2019, 0x2028, 0x3000, 0x4E00, 0x1F600] for x in around for y in around]
+    for t, ids, want in zip(texts, enc.encode(texts), enc.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == want.ids, repr(t)
+
+
 def test_token_files(spark, docs, rows, empty):
     path = C.new_path(spark, "t")
     token_files.write(spark, docs, path, token_files.vocabulary_path(), block_ids=500)
@@ -262,6 +271,17 @@ def test_phrases(spark, docs, rows, empty, monkeypatch, hot):
     assert phrases.dedup(spark, empty).count() == 0
 
 
+def test_phrases_of_repeated_rows(spark, monkeypatch):
+    """One row stands for a third of the table, in many partitions; one text under many ids."""
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)
+    text, other = " ".join(f"r{i}" for i in range(40)), " ".join(f"q{i}" for i in range(30))
+    rows = [(7, text, "x")] * 300 + [(100 + i, other + f" own{i}", "y") for i in range(300)] + [(1000 + i, " ".join(f"u{i}_{j}" for j in range(25)), None) for i in range(300)]
+    want = plain_removed(rows)
+    got = phrases.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(8)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert all((r["n_words"], r["n_removed"], r["kept_text"]) == want[r["doc_id"]] for r in got)
+
+
 def test_phrase_shards(monkeypatch):
     monkeypatch.setattr(phrases, "PATTERNS", 3)
     docs = [[b"%d" % (i % 9) for i in range(40)], [b"%d" % (i % 9) for i in range(3, 30)]] + [[b"x%d" % i for i in range(1000)]]
@@ -520,3 +540,95 @@ def test_viterbi_is_best():
         at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(name)]
         splits.append([name[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
     assert url_filter.viterbi(name, counts, total) == max(splits, key=score) == ["cheap", "pills"]
+
+
+def plain_verdicts(pages, labels=None):
+    """Every verdict in plain Python: counts of the html's words, the best split, and a multinomial naive Bayes."""
+    import math
+
+    def plain_text(html):
+        html = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", html)
+        return re.sub(r"(?i)&[a-z0-9#]+;", " ", re.sub(r"<[^>]*>", " ", html))
+
+    letters = re.compile("[a-z\x80-\U0010ffff]+")
+    counts = Counter(w for _, _, h in pages for w in letters.findall(low(plain_text(h or ""))))
+    total = sum(counts.values()) + 1
+    for w in url_filter.SEEDS:
+        counts[w] += max(1, total // 10_000)
+
+    def split(name):
+        best = [(0.0, [])]
+        for j in range(1, len(name) + 1):
+            options = []
+            for i in range(max(0, j - url_filter.LONGEST), j):
+                w = name[i:j]
+                p = math.log(counts[w] / total) if counts[w] else math.log(10) - math.log(total) - len(w) * math.log(10)
+                options.append((best[i][0] + p, i, w))
+            p, i, w = max(options, key=lambda o: o[0])
+            best.append((p, [*best[i][1], w]))
+        return best[-1][1]
+
+    def parts(url):
+        m = re.match(r"(?s)(.*?)://([^/?#]*)([^?#]*)", url or "")
+        return (low(m[2]), m[3]) if m else ("", "")
+
+    tokens = lambda t: tuple(w for name in letters.findall(low(t)) for w in split(name))
+    key = lambda t: tuple(letters.findall(low(t)))
+    strong = url_filter.STRONG
+    hosts = {key(parts(u)[0]): tokens(parts(u)[0]) for _, u, _ in pages}
+    if labels is None:
+        bad = {k: any(w in strong for w in t) for k, t in hosts.items()}
+    else:
+        bad = {}
+        for h, b in labels:
+            if key(h) in hosts and b is not None:
+                bad[key(h)] = bad.get(key(h), False) or b
+    seen = {True: Counter(), False: Counter()}
+    for k, b in bad.items():
+        seen[b].update(hosts[k])
+    for h, p in {(key(parts(u)[0]), key(parts(u)[1])) for _, u, _ in pages}:
+        if h in bad:
+            seen[bad[h]].update(w for name in p for w in split(name))
+    words = set(seen[True]) | set(seen[False])
+    n_bad = sum(bad.values())
+    prior = math.log((n_bad + 1) / (len(bad) - n_bad + 2))
+    sum_b, sum_a = sum(seen[True].values()), sum(seen[False].values())
+
+    def odds(w):
+        extra = url_filter.SEED_COUNT if labels is None and w in strong else 0
+        return math.log((seen[True][w] + extra + 1) / (sum_b + len(words) + 1)) - math.log((seen[False][w] + 1) / (sum_a + len(words) + 1)) if w in words else 0.0
+
+    out = {}
+    for i, u, _ in pages:
+        host, path = parts(u)
+        fits = [(len(r), r, v) for v, r in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        score = prior + sum(map(odds, tokens(host))) + sum(map(odds, tokens(path)))
+        out[i] = (host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if score > 0 else "allow", score)
+    return out
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_url_verdicts_against_plain_python(spark, sf, monkeypatch, labelled):
+    monkeypatch.setattr(url_filter, "PIECE", 5)
+    monkeypatch.setattr(C, "SPREAD_ROWS", 2)
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    pages += [(10_001, "http://www.casinowinbig.io/win/win/jackpot", "<b>casino</b> big WIN <script>win win</script> a < b &amp; grün"), (10_002, None, None), (10_003, "x://grünegärten.de/über/win", "<p>grüne gärten über"), (10_004, "http://" + "abcdefgh" * 40 + ".org/q", ""), (10_001, "http://www.casinowinbig.io/win/win/jackpot", None), (10_005, "http://plainhome.io/home", "plain home")]
+    labels = [("www.casinowinbig.io", True), ("plainhome.io", False), ("nowhere.io", True), ("grünegärten.de", None)] if labelled else None
+    want = plain_verdicts(pages, labels)
+    named = spark.createDataFrame(labels, "host string, blocked boolean") if labelled else None
+    got = url_filter.judge(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), labels=named).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        w = want[r["page_id"]]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == w[:4] and abs(r["log_odds"] - w[4]) < 1e-9, r
+
+
+def test_visible_text_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for bad in ("<" * 2_000_000, "<script>" * 200_000, "<a " * 500_000, "&a" * 500_000, "</script  " * 100_000):
+        url_filter.visible(bad)
+    assert time.perf_counter() - began < 5
+    assert url_filter.visible("a<b>c</b> <style>x</style>e&nbsp;<SCRIPT>1</Script >f").split() == [b"a", b"c", b"e", b"f"]
+    assert url_filter.visible("1 < 2").split() == [b"1", b"<", b"2"] and url_filter.visible(None) == b""
