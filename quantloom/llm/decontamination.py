@@ -2,15 +2,18 @@
 
 Of every window of ``WINDOW`` words the k-gram with the least hash is kept as its fingerprint, in documents and in
 benchmark items alike, so every shared span of a whole window shares a fingerprint. Training fingerprints are joined
-with the test fingerprints, and each hit is extended: the windows around it are compared word by word with the item's.
-Items shorter than a window are one window each, looked up by their whole word sequence, one pass for each length.
-
-Scale: documents are read once, map-only. The index of benchmark windows is sent to the executors only within
-``INDEX_BYTES``; a larger benchmark is taken in blocks of that size, each held against all documents, and the partial
-hits are joined per document.
-
-Defined results: null and empty texts have no words; an item without words hits nothing; repeated items and documents
-count each; null item ids read as the empty string in the digest. Empty tables give no rows, or no hits.
+with the test fingerprints, and each hit is extended: the windows around it are compared with the item's. Items shorter
+than a window are one window each, looked up by their whole word sequence, one pass for each length.
+
+Scale: a benchmark of at most ``INDEX_BYTES`` of text goes to the executors as an index (about 40 times its text in each
+worker), so the join is map-only and windows are compared word by word. A larger one stays in tables: a bitmap of its
+fingerprints (bounded size, false positives only) picks the documents' fingerprints that can meet, the windows around them and
+the short windows go on as 128-bit hashes and meet the items' windows in a join that spreads hot windows, and each document's
+hits are merged as they stream by in order of place. Documents are read twice, whatever the benchmark's size.
+
+Defined results: null and empty texts have no words; very long texts are read whole; an item without words hits nothing;
+repeated documents are judged each, repeated items and equal item ids count once; null item ids read as the empty string in the
+digest. Columns beside the id, the text and ``carry`` are not read, so they may have any name. Empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ from . import common as C
 
 WINDOW = 10
 GRAM = 5
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 2 << 20
 
 #: Words are runs of 0-9, A-Z (lower-cased), a-z and any character past ASCII; all other bytes separate.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -102,17 +106,95 @@ def member(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items, streamed to the driver in blocks of about ``limit`` bytes."""
-    block, size = [], 0
-    for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        block.append((r["i"] or "", r["t"]))
-        size += len(r["t"] or "") + 64
-        if size > limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def two_hashes(words: list[bytes], starts: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the n words from each start."""
+    keys = [xxhash.xxh3_128_intdigest(b" ".join(words[i : i + n])) for i in starts]
+    low = np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64)
+    return low.view(np.int64), np.array([k >> 64 for k in keys], np.uint64).view(np.int64)
+
+
+def joined(spark: SparkSession, keyed: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(_row, n_hit, items) of the rows (_row, text) with hits, for a benchmark of any size."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each item, and in ``seed`` a fingerprint: of a short item its only window's hash."""
+        for batch in batches:
+            for b in C.chunks(batch):
+                for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    w = words_of(text)
+                    n = min(len(w), WINDOW)
+                    if not n:
+                        continue
+                    a, z = two_hashes(w, list(range(len(w) - n + 1)), n)
+                    flat = C.Flat([w])
+                    if n == WINDOW:
+                        _, _, least, full = C.winnow(flat, GRAM, WINDOW)
+                        seeds = C.to_signed(least[full])
+                    else:
+                        seeds = C.to_signed(C.rolling(flat.h, n)[:1])
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(a), pa.string()), pa.array([n] * len(a), pa.int64()), pa.array(a), pa.array(z), pa.array(seeds)], names=["item", "n", "a", "z", "seed"])
+
+    wins, wins_path = C.stored(spark, items.mapInArrow(of_items, "item string, n bigint, a bigint, z bigint, seed bigint"), "decon-windows")
+    near = C.bitmap(spark, wins.select("seed"), "seed")
+    lengths = [r["n"] for r in wins.select("n").distinct().collect()]  # at most WINDOW
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in C.chunks(batch):
+                docs = [words_of(t) for t in b.column(1).to_pylist()]
+                flat = C.Flat(docs)
+                for n in lengths if len(flat.h) else ():
+                    if n == WINDOW:
+                        _, _, least, full = C.winnow(flat, GRAM, WINDOW)
+                        at = np.flatnonzero(full)
+                        at = at[near.value.has(least[at])]
+                    else:
+                        grams, full = flat.windows(n)
+                        at = np.flatnonzero(full)
+                        at = at[near.value.has(grams[at])]
+                    if len(at):
+                        doc, pos = flat.doc[at], flat.pos[at]
+                        edge = np.append(np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1]), len(at))
+                        hashed = [two_hashes(docs[int(doc[s])], pos[s:e].tolist(), n) for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                        cols = [np.concatenate([h[i] for h in hashed]) for i in range(2)]
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int64)), pa.array(np.full(len(at), n, np.int64)), *map(pa.array, cols)], names=["_row", "pos", "n", "a", "z"])
+
+    # Copies of a text have the same candidates: one of each goes on.
+    seen, seen_path = C.stored(spark, keyed.mapInArrow(of_docs, "_row string, pos bigint, n bigint, a bigint, z bigint").distinct(), "decon-candidates")
+    by = ["n", "a", "z"]
+    # Windows that both sides have; then hits by place, and items by document, each window's items once a document.
+    known, known_path = C.stored(spark, seen.groupBy(*by).agg(F.count(F.lit(1)).alias("k")).join(wins.select(*by).distinct(), by).withColumn("w", F.monotonically_increasing_id()), "decon-known")
+    of = F.xxhash64(*by).alias("key")
+    hits = C.join_spread(spark, seen.select("_row", "pos", F.col("n").alias("n0"), F.col("a").alias("a0"), F.col("z").alias("z0"), of), known.select("*", of), "key", "k").filter("n0 = n AND a0 = a AND z0 = z").select("_row", "pos", "n", "w")
+    hits, hits_path = C.stored(spark, hits, "decon-hits")
+    found = wins.select("item", *by).distinct().join(known, by).select("w", "item")
+    asked = hits.select("_row", "w").distinct()
+    with_items, pairs_path = C.stored(spark, found.groupBy("w").agg(F.collect_set("item").alias("its")).join(asked.groupBy("w").agg(F.count(F.lit(1)).alias("k")), "w"), "decon-items")
+    asked, asked_path = C.stored(spark, asked, "decon-asked")
+    per_row = C.join_spread(spark, asked, with_items, "w", "k").select("_row", F.explode("its").alias("item")).distinct().groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Length of the union of each row's hit places, which come in order."""
+        now, until, total = None, 0, 0
+        for b in batches:
+            rows, sums = [], []
+            for row, pos, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if row != now:
+                    if now is not None:
+                        rows.append(now)
+                        sums.append(total)
+                    now, until, total = row, 0, 0
+                total += max(0, pos + n - max(until, pos))
+                until = max(until, pos + n)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(sums, pa.int64())], names=["_row", "n_hit"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([total], pa.int64())], names=["_row", "n_hit"])
+
+    places = hits.select("_row", "pos", "n").repartition(C.partitions(spark), "_row").sortWithinPartitions("_row", "pos")
+    out, _ = C.stored(spark, places.mapInArrow(merge, "_row string, n_hit bigint").join(per_row, "_row"), "decon-found")
+    C.drop_paths(spark, wins_path, seen_path, known_path, hits_path, pairs_path, asked_path)
+    return out
 
 
 def detect(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -121,58 +203,33 @@ def detect(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: s
     src = docs.select(*kept)
     out = [c for c in kept if c != text_col or text_col in carry]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in out)
+    size = benchmark.agg(F.sum(F.octet_length(item_text) + 64).alias("n")).first()["n"] or 0
+    if size <= index_bytes:
+        rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).collect()  # at most index_bytes
+        index = spark.sparkContext.broadcast(Index([(r["i"] or "", r["t"]) for r in rows]))
 
-    def scan_with(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idx: Index = index.value
             for batch in batches:
                 for b in C.chunks(batch):
-                    texts = [words_of(t) for t in b.column(1).to_pylist()]
-                    n_words, n_hit, found, _, _ = idx.scan(texts)
+                    n_words, n_hit, found, _, _ = idx.scan([words_of(t) for t in b.column(1).to_pylist()])
                     items = [sorted({idx.items[k] for k in f}) for f in found]
                     yield pa.RecordBatch.from_arrays([b.column(kept.index(c)) for c in out] + [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=[*out, "n_words", "n_hit", "items"])
 
-        return run
-
-    def spans_with(index):
-        """Only documents with hits: the row's key, its items and its hit words as positions."""
+        return src.mapInArrow(scan, fields + ", n_words bigint, n_hit bigint, items array<string>")
+    # Rows with one text are hit alike: hits go by the text's hash.
+    row = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_row")
+    found = joined(spark, src.select(row, F.col(text_col).alias("text")), benchmark, item_col, item_text)
 
-        def run(batches):
-            idx: Index = index.value
-            for batch in batches:
-                for b in C.chunks(batch):
-                    texts = [words_of(t) for t in b.column(1).to_pylist()]
-                    _, n_hit, found, hit, flat = idx.scan(texts)
-                    rows = np.flatnonzero(n_hit)
-                    at = [flat.pos[flat.starts[d] : flat.starts[d + 1]][hit[flat.starts[d] : flat.starts[d + 1]]] for d in rows]
-                    yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(rows)), pa.array(at, pa.list_(pa.int64())), pa.array([sorted({idx.items[k] for k in found[d]}) for d in rows], pa.list_(pa.string()))], names=["_row", "at", "items"])
-
-        return run
-
-    parts = [spark.sparkContext.broadcast(Index(block)) for block in blocks(benchmark, item_col, item_text, index_bytes)]
-    if len(parts) <= 1:
-        index = parts[0] if parts else spark.sparkContext.broadcast(Index([]))
-        return src.mapInArrow(scan_with(index), fields + ", n_words bigint, n_hit bigint, items array<string>")
-    # A benchmark past the bound: each block against all documents, partial hits joined by the row's content.
-    keyed = src.select(*kept, F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))), 256).alias("_row"))
-    narrow = keyed.select(id_col, text_col, "_row")
-    hits = None
-    for p in parts:
-        one = narrow.mapInArrow(spans_with(p), "_row string, at array<bigint>, items array<string>")
-        hits = one if hits is None else hits.unionByName(one)
-    merged = hits.groupBy("_row").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    counted = keyed.mapInArrow(_counter(kept, out), fields + ", _row string, n_words bigint")
-    joined = counted.join(merged, "_row", "left")
-    return joined.select(*out, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-
-
-def _counter(kept, out):
-    def run(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [len(words_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(kept.index(c)) for c in out] + [batch.column(len(kept)), pa.array(n, pa.int64())], names=[*out, "_row", "n_words"])
+            for b in C.chunks(batch):
+                n = [len(words_of(t)) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(kept.index(c)) for c in out] + [b.column(len(kept)), pa.array(n, pa.int64())], names=[*out, "_row", "n_words"])
 
-    return run
+    counted = src.select(*kept, row).mapInArrow(count, fields + ", _row string, n_words bigint")
+    merged = counted.join(found, "_row", "left")
+    return merged.select(*out, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(F.lit(base)) != 0).alias("base_failed"), "fail_bits", "kept")
 
 
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy decides over all documents."""
+    return ablate(ledger(C.table(spark, sf_dir, "documents"))).orderBy("rule")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -165,3 +170,8 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
         + CASE WHEN 100 * n_digits > 60 * word_chars THEN 256 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits, fail_bits = 0 AS kept FROM f
 """
+
+ABLATION_SQL = f"""
+WITH e AS ({ORACLE_SQL}), r AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {1 << i})" for i, (name, _) in enumerate(RULES))}) AS v(rule, bit))
+SELECT rule, (count(*) FILTER (fail_bits & bit <> 0))::BIGINT AS n_fail, (count(*) FILTER (fail_bits = bit))::BIGINT AS n_alone, (count(*) FILTER (fail_bits <> 0 AND fail_bits & ~bit = 0))::BIGINT AS n_rescued FROM e, r GROUP BY rule
+"""

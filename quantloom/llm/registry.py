@@ -17,6 +17,7 @@ def queries():
         "op8_odd_sketch_near_dedup": near_dedup.query,
         "op9_rule_ledger": quality_rules.query,
         "op10_url_words": url_filter.query,
+        "rule_ablation": quality_rules.ablation_query,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql():
         "op7_winnowing_decontamination": decontamination.ORACLE_SQL,
         "op8_odd_sketch_near_dedup": near_dedup.ORACLE_SQL,
         "op9_rule_ledger": quality_rules.ORACLE_SQL,
+        "rule_ablation": quality_rules.ABLATION_SQL,
     }
