@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import common, decontamination, near_dedup, packing, quality_rules, secrets
+from quantloom.llm import common, decontamination, near_dedup, packing, quality_rules, secrets, token_files
 
 
 def plainly(docs: DataFrame) -> tuple[DataFrame, str, str, list[str]]:
@@ -16,31 +16,40 @@ def plainly(docs: DataFrame) -> tuple[DataFrame, str, str, list[str]]:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the default policy of the rule ledger rejects go."""
+    """Documents that the default policy of the rule ledger rejects go. Null and empty texts have too few words and go; repeated
+    rows are judged alike and all stay or all go; texts of any length are measured whole; an empty table stays empty."""
     rows, id_col, text_col, names = plainly(docs)
     entries = quality_rules.ledger(rows, id_col, text_col, carry=tuple(names))
     return quality_rules.apply_policy(entries).filter("kept").select(*names).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at 0.8 over five-word shingles the one with the smallest id stays."""
+    """Of each group of documents linked at 0.8 over five-word shingles the one with the smallest id stays.
+
+    Null ids come last (they stay only in a group without another id); texts without words link with nothing, so each stays; of
+    rows that share id and text, the one whose other columns are least as JSON stays; texts that differ under one id are
+    judged each; an empty table stays empty."""
     rows, id_col, text_col, names = plainly(docs)
     found = near_dedup.cluster(spark, rows, 5, 80, id_col, text_col)
     kept = found.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    rows = rows.withColumn("_h", F.xxhash64(text_col))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return rows.dropDuplicates([id_col, "_h"]).select(*names).toDF(*docs.columns)
+    # Repeated rows are folded before the shuffle, which the join then shares.
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[c for c in names if c not in (id_col, text_col)]))
+    one = rows.withColumn("_h", F.xxhash64(text_col)).groupBy(id_col, "_h").agg(F.min_by(F.struct(*names), rest).alias("_row"))
+    one = one.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
+    return one.select("_row.*").select(*names).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none and stay, repeated rows go or stay
+    together, an empty benchmark takes nothing away, an empty table stays empty."""
     rows, id_col, text_col, names = plainly(docs)
     found = decontamination.detect(spark, rows, common.table(spark, sf_dir, "benchmark"), id_col, text_col, carry=tuple(names))
     return found.filter("n_hit = 0").select(*names).toDF(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; every document stays."""
+    """Secrets are cut out of the texts; every document stays, repeated rows too, and ``n_chars`` is counted anew. Null texts stay
+    null, an empty table stays empty."""
     out = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return out
@@ -48,8 +57,9 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its bin."""
-    return packing.pack(spark, docs)
+    """Every piece of every document, as token ids, with its sequence. Null and empty texts are an end id; repeated rows are
+    packed each; an empty table gives no rows."""
+    return packing.pack(spark, docs, token_files.vocabulary_path())
 
 
 STAGES = [
@@ -65,8 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each one's rows are written to the shared folder and read again."""
+    """The stages in order; each one's rows are written to the shared folder and read again. What a stage needed besides is
+    deleted once its rows are written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs, _ = common.stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = common.working_tables()
+        docs, path = common.stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_paths(spark, *[p for p in common.working_tables() if p not in before and p != path])
     return docs
