@@ -411,7 +411,8 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
         split = rooted.groupBy("key", "m").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", "m")
         rows = with_salt(rooted).join(with_every_salt(split).drop("m"), ["key", "salt"]).join(sketches, "v").select("key", "m", "v", "n", "root", "sketch")
         order = Window.partitionBy("x").orderBy("z", "y")
-        ranked = nearest(spark, rows, percent, best).withColumn("r", F.dense_rank().over(order))
+        # Buckets that share members name the same pairs: each goes on once, and of a vertex no more ranks than are looked at.
+        ranked = nearest(spark, rows, percent, best).distinct().withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= best + 2)
         near, near_path = C.stored(spark, ranked, "near-nearest")
         rest = not near.filter((F.col("x") == F.col("y")) | (F.col("r") > best + 1)).isEmpty()
         pairs = near.filter((F.col("x") != F.col("y")) & (F.col("r") <= best + 1)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
