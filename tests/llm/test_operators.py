@@ -317,23 +317,25 @@ def test_packed_token_ids(spark, docs, rows):
     """Sequences of a tokenizer's ids: every piece reads back, and each sequence holds its pieces and no more."""
     vocab = token_files.vocabulary_path()
     path = C.new_path(spark, "packed-test")
-    packing.write(spark, docs, path, vocab, capacities=(16, 64, 256))
+    packing.write(spark, docs, path, vocab, capacities=(16, 64, 256), held_ids=700)
     enc = token_files.encoder(vocab)
     want = Counter()
     for r in rows:
         ids = np.array(enc.tok.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")
         want.update((r[0], k, zlib.crc32(ids[256 * k : 256 * k + 256].tobytes())) for k in range(-(-len(ids) // 256)))
-    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.read(spark, path, vocab).collect()) == want
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.read(spark, path, vocab, (16, 64, 256)).collect()) == want
     seen = 0
     for r in spark.read.parquet(path).collect():
         ids = token_files.unpack(bytes(r["ids"]), r["n_ids"], 16)
         assert sum(r["lengths"]) == r["n_ids"] == len(ids) <= r["capacity"]
         at = 0
-        for d, s, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
+        for d, k, n in zip(r["doc_ids"], r["pieces"], r["lengths"], strict=True):
             texts = [x[1] for x in rows if x[0] == d]
-            assert any(ids[at : at + n].tolist() == (enc.tok.encode(t or "", add_special_tokens=False).ids + [2])[s : s + n] for t in texts)
+            assert any(ids[at : at + n].tolist() == (enc.tok.encode(t or "", add_special_tokens=False).ids + [2])[256 * k : 256 * k + n] for t in texts)
             at, seen = at + n, seen + 1
     assert seen == sum(want.values())
+    bins = {r["bin_id"] for r in packing.read(spark, path, vocab, (16, 64, 256)).collect()}
+    assert bins == set(range(len(bins)))
 
 
 def test_plan_is_tight():
