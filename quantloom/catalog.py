@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import companies, fundamentals, models, panels, performance, technical
+from quantloom.plans import calibrations, companies, fundamentals, models, panels, performance, technical
 
-PLANS = (technical, panels, performance, fundamentals, models, companies)
+PLANS = (technical, calibrations, panels, performance, fundamentals, models, companies)
 
 
 def queries():

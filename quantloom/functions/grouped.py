@@ -5,6 +5,7 @@ A group is one symbol's history, so its size is bounded by the calendar, not by
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -25,8 +26,13 @@ def per_group(df: DataFrame, key: str, order: str, columns: dict[str, str], fn:
 
 
 def per_symbol(df: DataFrame, key: str, order: str, schema: str, fn: Callable[[object, pd.DataFrame], list[tuple]]) -> DataFrame:
-    """Rows that fn(key, ordered rows) returns for each group."""
+    """Rows that fn(key, ordered rows) returns for each group. ``{key}`` in the schema stands for the key's type.
+
+    The kernels' work isn't in proportion to their rows, so small groups stay dealt over all shuffle partitions.
+    """
+    schema = schema.replace("{key}", df.schema[key].dataType.simpleString())
     names = [f.split()[0] for f in schema.split(", ")]
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
     def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(fn(k[0], rows.sort_values(order, kind="stable")), columns=names)
@@ -34,6 +40,11 @@ def per_symbol(df: DataFrame, key: str, order: str, schema: str, fn: Callable[[o
     return df.groupBy(key).applyInPandas(run, schema)
 
 
+def seeded(seed: int, *keys) -> np.random.Generator:
+    """Random numbers of a seed and keys (integers, or anything as text), alike on every run."""
+    return np.random.default_rng([seed, *(abs(int(k)) if isinstance(k, (int, np.integer)) else zlib.crc32(str(k).encode()) for k in keys)])
+
+
 def alpha_of(span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> float:
     if alpha is not None:
         return alpha

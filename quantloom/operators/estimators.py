@@ -79,7 +79,7 @@ def betas(returns: DataFrame, bench: DataFrame, p: float = 0.01, least: int = 30
         b, s = inverse_variance([b1, b2, b3], [s1, s2, s3])
         return [(symbol, b1, s1, b2, s2, b3, s3, b, s)]
 
-    schema = "symbol long, beta_ols double, se_ols double, beta_dimson double, se_dimson double, beta_kalman double, se_kalman double, beta double, se double"
+    schema = "symbol {key}, beta_ols double, se_ols double, beta_dimson double, se_dimson double, beta_kalman double, se_kalman double, beta double, se double"
     return G.per_symbol(returns.join(bench, "date").select("symbol", "date", "ret", "bench"), "symbol", "date", schema, run)
 
 
@@ -113,7 +113,7 @@ def factor_regression(panel: DataFrame, factors: list[str], expected: dict[str,
         r2 = 1 - (e @ e) / max(((y - y.mean()) ** 2).sum(), 1e-300)
         return [(symbol, len(x), float(RF_WEEK * 52 + b[1:] @ f), float(math.sqrt((se[1:] ** 2) @ f**2 + e.var(ddof=z.shape[1]) * 52)), float(r2), [float(v) for v in b[1:]])]
 
-    return G.per_symbol(panel.select("symbol", "date", "ret", *factors), "symbol", "date", "symbol long, n long, exp_return double, se double, r2 double, loadings array<double>", run)
+    return G.per_symbol(panel.select("symbol", "date", "ret", *factors), "symbol", "date", "symbol {key}, n long, exp_return double, se double, r2 double, loadings array<double>", run)
 
 
 def huber_enet(x: np.ndarray, y: np.ndarray, lam: float, alpha: float, m: float, nonneg: bool = False, steps: int = 500) -> np.ndarray:
@@ -478,14 +478,14 @@ def factor_monte_carlo(panel: DataFrame, factors: list[str], horizon: int = 4, s
         z = np.column_stack([np.ones(len(f)), f])
         b = np.linalg.lstsq(z, y, rcond=None)[0]
         e = y - z @ b
-        rng = np.random.default_rng([seed, int(symbol)])
+        rng = G.seeded(seed, symbol)
         const, coef, cov = fit_bvar(f, 1, own=0.0)
         paths = simulate_var(const, coef, f, shocks(cov, horizon, sims, rng, "student"))
         r = b[0] + paths @ b[1:] + rng.choice(e, (sims, horizon))
         total = np.prod(1 + np.clip(r, -0.99, None), axis=1) - 1
         return [(symbol, float(total.mean()), float(total.std(ddof=1)), *map(float, np.quantile(total, [0.05, 0.5, 0.95])))]
 
-    return G.per_symbol(panel.select("symbol", "date", "ret", *factors), "symbol", "date", "symbol long, mean double, sd double, p05 double, p50 double, p95 double", run)
+    return G.per_symbol(panel.select("symbol", "date", "ret", *factors), "symbol", "date", "symbol {key}, mean double, sd double, p05 double, p50 double, p95 double", run)
 
 
 def shrunk_covariances(panel: DataFrame, most_assets: int = 2000) -> DataFrame:
@@ -499,4 +499,5 @@ def shrunk_covariances(panel: DataFrame, most_assets: int = 2000) -> DataFrame:
     s, _ = shrinkage_cov(wide.to_numpy())
     names = wide.columns.to_numpy()
     i, j = np.triu_indices(len(names))
-    return spark.createDataFrame(pd.DataFrame({"a": names[i].astype("int64"), "b": names[j].astype("int64"), "cov": s[i, j]}))
+    kind = panel.schema["symbol"].dataType.simpleString()
+    return spark.createDataFrame(pd.DataFrame({"a": names[i], "b": names[j], "cov": s[i, j]}), f"a {kind}, b {kind}, cov double")

@@ -17,7 +17,7 @@ from quantloom.operators import estimators as E
 
 
 def rng_for(seed: int, key) -> np.random.Generator:
-    return np.random.default_rng([seed, abs(int(key)) if isinstance(key, (int, np.integer)) else int.from_bytes(str(key).encode()[:8], "little")])
+    return G.seeded(seed, key)
 
 
 def fourier_design(t: np.ndarray, period: float, k: int) -> np.ndarray:
@@ -353,7 +353,7 @@ def return_paths(prices: DataFrame, horizon: int = 52, sims: int = 500, seed: in
         ret = end / c[-1] - 1
         return [(symbol, float(c[-1]), *map(float, q), float(ret.mean()), float(ret.std(ddof=1)))]
 
-    return G.per_symbol(prices.select("symbol", "date", "close"), "symbol", "date", "symbol long, price double, p05 double, p25 double, p50 double, p75 double, p95 double, ret double, se double", run)
+    return G.per_symbol(prices.select("symbol", "date", "close"), "symbol", "date", "symbol {key}, price double, p05 double, p25 double, p50 double, p75 double, p95 double, ret double, se double", run)
 
 
 def volatility_models(returns: DataFrame, least: int = 60) -> DataFrame:
@@ -368,7 +368,7 @@ def volatility_models(returns: DataFrame, least: int = 60) -> DataFrame:
         h, sv, tail = two_regimes(r), stochastic_volatility(r), gpd_tail(r, 0.9)
         return [(symbol, float(a), float(b), float(math.sqrt(s[-1])), float(h["sigma"][0]), float(h["sigma"][1]), float(h["stay"][1]), sv[1], tail[1] if tail else None, tail[2] if tail else None)]
 
-    return G.per_symbol(returns.select("symbol", "date", "ret"), "symbol", "date", "symbol long, alpha double, beta double, sigma double, calm double, stress double, stay double, sv_phi double, tail_shape double, tail_scale double", run)
+    return G.per_symbol(returns.select("symbol", "date", "ret"), "symbol", "date", "symbol {key}, alpha double, beta double, sigma double, calm double, stress double, stay double, sv_phi double, tail_shape double, tail_scale double", run)
 
 
 def trend_forecasts(prices: DataFrame, horizon: int = 26, least: int = 80) -> DataFrame:
@@ -386,7 +386,7 @@ def trend_forecasts(prices: DataFrame, horizon: int = 26, least: int = 80) -> Da
             errs.append(float(((f - y[cut : cut + horizon]) ** 2).mean()))
         return [(symbol, float(np.exp(fc[-1] + res[-1])), float(np.exp(y[-1])), sd, math.sqrt(np.mean(errs)) if errs else None, adf_order(y))]
 
-    return G.per_symbol(prices.select("symbol", "date", "close"), "symbol", "date", "symbol long, forecast double, last double, sd double, cv_rmse double, d int", run)
+    return G.per_symbol(prices.select("symbol", "date", "close"), "symbol", "date", "symbol {key}, forecast double, last double, sd double, cv_rmse double, d int", run)
 
 
 def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.1, rng: np.random.Generator | None = None) -> list:
@@ -434,7 +434,7 @@ def return_regressions(panel: DataFrame, features: list[str], boots: int = 20, s
         q = np.quantile(preds, [0.1, 0.5, 0.9])
         return [(symbol, len(d), *map(float, q), float(np.std(preds, ddof=1)))]
 
-    return G.per_symbol(panel.select("symbol", "date", "target", *features), "symbol", "date", "symbol long, n long, p10 double, p50 double, p90 double, se double", run)
+    return G.per_symbol(panel.select("symbol", "date", "target", *features), "symbol", "date", "symbol {key}, n long, p10 double, p50 double, p90 double, se double", run)
 
 
 def macro_paths(levels: DataFrame, cols: list[str], horizon: int = 4, sims: int = 1000, seed: int = 5, p: int = 1) -> DataFrame:
@@ -462,7 +462,7 @@ def gbm_terminal(spark: SparkSession, params: DataFrame, scenarios: int, steps:
             out = []
             for r in pdf.itertuples():
                 n = min(block, scenarios - r.block * block)
-                rng = np.random.default_rng([seed, int(r.symbol), int(r.block)])
+                rng = G.seeded(seed, r.symbol, int(r.block))
                 z = np.zeros(n)
                 for _ in range(steps):
                     z += edgeworth(rng.standard_normal(n), r.skew, r.kurt)
@@ -470,7 +470,7 @@ def gbm_terminal(spark: SparkSession, params: DataFrame, scenarios: int, steps:
                 out.append((r.symbol, r.block, n, float(end.mean()), float(end.std()), *map(float, np.quantile(end, [0.05, 0.5, 0.95])), float((end < r.price).mean())))
             yield pd.DataFrame(out, columns=["symbol", "block", "n", "mean", "sd", "p05", "p50", "p95", "loss"])
 
-    return rows.mapInPandas(run, "symbol long, block int, n int, mean double, sd double, p05 double, p50 double, p95 double, loss double")
+    return rows.mapInPandas(run, f"symbol {params.schema['symbol'].dataType.simpleString()}, block int, n int, mean double, sd double, p05 double, p50 double, p95 double, loss double")
 
 
 def dividend_yields(params: DataFrame, sims: int = 2000, seed: int = 9) -> DataFrame:
@@ -486,7 +486,7 @@ def dividend_yields(params: DataFrame, sims: int = 2000, seed: int = 9) -> DataF
                 out.append((r.symbol, float(y.mean()), float(y.std(ddof=1)), *map(float, np.quantile(y, [0.1, 0.5, 0.9]))))
             yield pd.DataFrame(out, columns=["symbol", "mean", "sd", "p10", "p50", "p90"])
 
-    return params.mapInPandas(run, "symbol long, mean double, sd double, p10 double, p50 double, p90 double")
+    return params.mapInPandas(run, f"symbol {params.schema['symbol'].dataType.simpleString()}, mean double, sd double, p10 double, p50 double, p90 double")
 
 
 def neighbours(returns: DataFrame, k: int = 5, least: int = 30) -> DataFrame:
@@ -515,7 +515,7 @@ def direct_quantiles(panel: DataFrame, features: list[str], quantiles=(0.1, 0.5,
         return [(symbol, len(d), *map(float, q))]
 
     cols = ", ".join(f"q{int(100 * q):02d} double" for q in quantiles)
-    return G.per_symbol(panel.select("symbol", "date", "target", *features), "symbol", "date", f"symbol long, n long, {cols}", run)
+    return G.per_symbol(panel.select("symbol", "date", "target", *features), "symbol", "date", f"symbol {{key}}, n long, {cols}", run)
 
 
 def peer_features(returns: DataFrame, groups: DataFrame, k: int = 5) -> DataFrame:
@@ -534,7 +534,7 @@ def peer_features(returns: DataFrame, groups: DataFrame, k: int = 5) -> DataFram
 
 def joint_paths(returns: DataFrame, horizon: int = 13, sims: int = 500, seed: int = 11, most_assets: int = 500) -> DataFrame:
     """Joint simulation of a universe: GARCH variances per asset, dynamic correlations across, Student shocks; quantiles of each
-    asset's return and of the equal-weight holdings (symbol -1). The universe's size is checked before it is gathered."""
+    asset's return and of the equal-weight holdings (symbol -1, or * among strings). The universe's size is checked before it is gathered."""
     spark = returns.sparkSession
     if (n := returns.select("symbol").distinct().count()) > most_assets:
         raise ValueError(f"{n} assets; joint simulation is for at most {most_assets}")
@@ -548,5 +548,6 @@ def joint_paths(returns: DataFrame, horizon: int = 13, sims: int = 500, seed: in
     var = np.column_stack([garch_forecast(f[0], f[1], f[2], f[3][-1], d[-1, j], horizon) for j, f in enumerate(fits)])
     total = np.prod(1 + np.clip(r.mean(0) + e * np.sqrt(var), -0.99, None), axis=1) - 1
     cols = np.column_stack([total, total.mean(1)])
-    names = [*map(int, wide.columns), -1]
-    return spark.createDataFrame([(s, *map(float, np.quantile(cols[:, j], [0.05, 0.5, 0.95])), float(cols[:, j].mean())) for j, s in enumerate(names)], "symbol long, p05 double, p50 double, p95 double, mean double")
+    kind = returns.schema["symbol"].dataType.simpleString()
+    names = [*wide.columns.tolist(), "*" if kind == "string" else -1]
+    return spark.createDataFrame([(s, *map(float, np.quantile(cols[:, j], [0.05, 0.5, 0.95])), float(cols[:, j].mean())) for j, s in enumerate(names)], f"symbol {kind}, p05 double, p50 double, p95 double, mean double")

@@ -1,4 +1,4 @@
-"""Technical indicators, trading rules, positions, scores, and the calibration of rules over parameter grids.
+"""Technical indicators, trading rules, positions and scores (``calibration`` searches the rules' parameters).
 
 All frames of one symbol share one sort (partition symbol, order date), so a wide select stays one Window stage. Only
 exponential recurrences and cooldowns run as grouped kernels.
@@ -217,72 +217,6 @@ def weight(alpha: float = 0.05, least: float = 0.0) -> Column:
     return F.when(bad, 0).when(gain >= 1.0, 4).when(gain >= 0.5, 3).when(gain >= 0.25, 2).otherwise(1)
 
 
-def best(results: DataFrame, keys: list[str], params: list[str], alpha: float = 0.05, least: float = 0.0) -> DataFrame:
-    """The parameters with the best Sharpe among the significant ones, else among all."""
-    significant = ((F.col("p_value") < alpha) & (F.col("sharpe") >= least)).cast("int")
-    return P.top_k(results.withColumn("significant", significant == 1), keys, [F.col("significant").desc(), F.col("sharpe").desc_nulls_last(), *params], 1)
-
-
-def threshold_grid(pre: DataFrame, value: str, grid: DataFrame) -> DataFrame:
-    """Backtest of crossing rules (up through ``low`` buys, down through ``high`` sells) for every row of grid(low, high).
-
-    The grid is a parameter table, so it is broadcast; the panel is never copied to the driver.
-    """
-    prev = F.lag(value).over(W())
-    rows = pre.select("symbol", "date", "ret", F.col(value).alias("v"), prev.alias("v1")).crossJoin(F.broadcast(grid))
-    w = Window.partitionBy("symbol", "low", "high").orderBy("date")
-    pulse = F.when((F.col("v") < F.col("high")) & (F.col("v1") >= F.col("high")), -1).when((F.col("v") > F.col("low")) & (F.col("v1") <= F.col("low")), 1)
-    rows = rows.withColumn("position", F.coalesce(F.last(pulse, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    return stats(rows, "position", ["symbol", "low", "high"])
-
-
-def band_grid(bars: DataFrame, windows: list[int], widths: list[float]) -> DataFrame:
-    """Bollinger backtest over windows x widths; calibration compares with yesterday's band."""
-    out = None
-    for n in windows:
-        rows = bollinger(bars.withColumn("ret", P.pct_change("close", W())), n, 1.0)
-        rows = rows.select("symbol", "date", "ret", "close", F.lag("close").over(W()).alias("c1"), *[F.lag(c).over(W()).alias(f"{c}1") for c in ("bb_mid", "bb_std")], "bb_mid", "bb_std", F.lit(n).alias("window"))
-        rows = rows.withColumn("width", F.explode(F.array(*[F.lit(float(k)) for k in widths])))
-        w = Window.partitionBy("symbol", "width").orderBy("date")
-        low, low1 = F.col("bb_mid") - F.col("width") * F.col("bb_std"), F.col("bb_mid1") - F.col("width") * F.col("bb_std1")
-        high, high1 = F.col("bb_mid") + F.col("width") * F.col("bb_std"), F.col("bb_mid1") + F.col("width") * F.col("bb_std1")
-        pulse = F.when((F.col("close") < high) & (F.col("c1") >= high1), -1).when((F.col("close") > low) & (F.col("c1") <= low1), 1)
-        rows = rows.withColumn("position", F.coalesce(F.last(pulse, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-        one = stats(rows, "position", ["symbol", "window", "width"])
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def spans_grid(bars: DataFrame, fasts: list[int], slows: list[int], signals: list[int] = ()) -> DataFrame:
-    """EMA (or, with signals, MACD) crossover backtest for each symbol and parameter set, in one grouped kernel."""
-    grid = [(f, s, g) for f in fasts for s in slows if f < s for g in (signals or [0])]
-
-    def run(symbol, x: pd.DataFrame) -> list[tuple]:
-        c = x["close"].to_numpy(float)
-        ema = {n: G.ewm_mean(c, G.alpha_of(span=n)) for n in {*fasts, *slows}}
-        ret = np.append(np.nan, c[1:] / c[:-1] - 1)
-        out = []
-        for f, s, g in grid:
-            a, b = (ema[f], ema[s]) if not g else (ema[f] - ema[s], G.ewm_mean(ema[f] - ema[s], G.alpha_of(span=g)))
-            buy, sell = np.zeros(len(c), bool), np.zeros(len(c), bool)
-            buy[1:], sell[1:] = (a > b)[1:] & (a <= b)[:-1], (a < b)[1:] & (a >= b)[:-1]
-            r = G.positions(buy, sell)[:-1] * ret[1:]
-            n, mean, sd = len(r), r.mean() if len(r) else 0.0, r.std(ddof=1) if len(r) > 1 else 0.0
-            t = mean / (sd / np.sqrt(n)) if sd > 0 else 0.0
-            lr = np.log1p(ret[1:])
-            out.append((symbol, f, s, g, n, float(np.sqrt(252) * mean / sd) if sd > 0 else None, float(t), S.t_sf(max(t, 0.0), max(n - 1, 1)), float(np.sqrt(252) * lr.mean() / lr.std(ddof=1)) if n > 1 and lr.std(ddof=1) > 0 else None))
-        return out
-
-    return G.per_symbol(bars.select("symbol", "date", "close"), "symbol", "date", "symbol long, fast int, slow int, signal int, n long, sharpe double, t_stat double, p_value double, sharpe_bh double", run)
-
-
-def coarse_to_fine(evaluate, coarse: list[tuple], refine, keys: list[str], params: list[str]) -> DataFrame:
-    """Evaluate a coarse grid, then the neighbourhood of each key's best, and keep the better of both."""
-    first = evaluate(coarse)
-    near = refine(best(first, keys, params))
-    return best(first.unionByName(near, allowMissingColumns=True), keys, params)
-
-
 def liquidity(bars: DataFrame, window: int = 20, least: float = 0.6) -> DataFrame:
     """Average dollar volume over the last ``window`` bars, on each symbol's last bar."""
     rows = bars.withColumn("_v", F.col("close") * F.col("volume")).withColumn("adv", P.rolling(F.avg, "_v", W(), window, int(least * window)))
@@ -319,76 +253,6 @@ def calibration_map(rows: DataFrame) -> DataFrame:
     return rows.withColumn("params", F.from_json("param_json", "map<string,double>"))
 
 
-def backtest_grid(rows: DataFrame, params: list[str], buy: Column, sell: Column) -> DataFrame:
-    """Backtest of pulses over rows that already hold one copy of the panel per parameter set (columns ``params``)."""
-    w = Window.partitionBy("symbol", *params).orderBy("date")
-    pulse = F.when(sell, -1).when(buy, 1)
-    rows = rows.withColumn("position", F.coalesce(F.last(pulse, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    return stats(rows, "position", ["symbol", *params])
-
-
-def with_params(rows: DataFrame, name: str, values: list[float]) -> DataFrame:
-    return rows.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
-
-
-def breakout_grid(bars: DataFrame, mults: list[float]) -> DataFrame:
-    """Breakouts beyond multiples of yesterday's range."""
-    rows = breakouts(atr(bars.withColumn("ret", P.pct_change("close", W()))))
-    rows = with_params(rows.select("symbol", "date", "ret", "close", "hi_prev", "lo_prev", F.lag("atr").over(W()).alias("atr1")), "mult", mults)
-    step = F.col("mult") * F.col("atr1")
-    return backtest_grid(rows, ["mult"], F.col("close") > F.col("hi_prev") + step, F.col("close") < F.col("lo_prev") - step)
-
-
-def stochastic_grid(bars: DataFrame, lows: list[float], highs: list[float]) -> DataFrame:
-    rows = stochastic(bars.withColumn("ret", P.pct_change("close", W())))
-    up, down = P.crosses_over("stoch_k", "stoch_d", W()), P.crosses_under("stoch_k", "stoch_d", W())
-    rows = rows.select("symbol", "date", "ret", "stoch_k", up.alias("up"), down.alias("down"))
-    rows = with_params(with_params(rows, "low", lows), "high", highs)
-    return backtest_grid(rows, ["low", "high"], F.col("up") & (F.col("stoch_k") < F.col("low")), F.col("down") & (F.col("stoch_k") > F.col("high")))
-
-
-def vwap_grid(bars: DataFrame, windows: list[int]) -> DataFrame:
-    """Crossings of the volume-weighted price, calibrated against yesterday's."""
-    out = None
-    for n in windows:
-        rows = vwap(bars.withColumn("ret", P.pct_change("close", W())), n)
-        rows = rows.select("symbol", "date", "ret", "close", "vwap", F.lag("close").over(W()).alias("c1"), F.lag("vwap").over(W()).alias("v1"), F.lit(float(n)).alias("window"))
-        one = backtest_grid(rows, ["window"], (F.col("close") > F.col("vwap")) & (F.col("c1") <= F.col("v1")), (F.col("close") < F.col("vwap")) & (F.col("c1") >= F.col("v1")))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def obv_grid(bars: DataFrame, lookbacks: list[int]) -> DataFrame:
-    """Divergences of price and volume balance over lookbacks."""
-    out = None
-    for n in lookbacks:
-        rows = breakouts(obv(bars.withColumn("ret", P.pct_change("close", W()))), n).withColumn("lookback", F.lit(float(n)))
-        c, o = F.col("close"), F.col("obv")
-        one = backtest_grid(rows, ["lookback"], (c < F.col("close_lo_prev")) & (o >= F.col("obv_lo_prev")), (c > F.col("close_hi_prev")) & (o <= F.col("obv_hi_prev")))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-#: Coarse grids of the calibration.
-GRIDS = {"bb": ([10, 20, 30], [1.5, 2.0, 2.5]), "atr": ([0.5, 1.0, 1.5, 2.0],), "stoch": ([15.0, 20.0, 25.0], [75.0, 80.0, 85.0]), "vwap": ([10, 20, 40],), "obv": ([10, 20, 40],), "ema": ([8, 12, 16], [20, 26, 32]), "macd": ([8, 12], [20, 26], [7, 9]), "levels": ([20.0, 30.0, 40.0], [60.0, 70.0, 80.0])}
-
-
-def calibrate(spark, bars: DataFrame, grids: dict = GRIDS, alpha: float = 0.05) -> DataFrame:
-    """One row per symbol and indicator: best parameters as JSON, weight and statistics."""
-    levels = spark.createDataFrame([(a, b) for a in grids["levels"][0] for b in grids["levels"][1]], "low double, high double")
-    ret = lambda df: df.withColumn("ret", P.pct_change("close", W()))
-    parts = {
-        "bb": (band_grid(bars, *grids["bb"]), ["window", "width"]), "atr": (breakout_grid(bars, *grids["atr"]), ["mult"]), "stoch": (stochastic_grid(bars, *grids["stoch"]), ["low", "high"]), "vwap": (vwap_grid(bars, *grids["vwap"]), ["window"]), "obv": (obv_grid(bars, *grids["obv"]), ["lookback"]),
-        "ema": (spans_grid(bars, *grids["ema"]), ["fast", "slow"]), "macd": (spans_grid(bars, *grids["macd"]), ["fast", "slow", "signal"]), "rsi": (threshold_grid(ret(exponential(bars)), "rsi", levels), ["low", "high"]), "mfi": (threshold_grid(ret(mfi(bars)), "mfi", levels), ["low", "high"]),
-    }
-    out = None
-    for name, (results, params) in parts.items():
-        row = best(results, ["symbol"], params, alpha).withColumn("weight", weight(alpha))
-        row = row.select("symbol", F.lit(name).alias("indicator"), F.to_json(F.struct(*[F.col(p).cast("double").alias(p) for p in params])).alias("param_json"), "weight", "sharpe", "sharpe_bh", "t_stat", "p_value", "n")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def calibrated_score(pos: DataFrame, calibration: DataFrame) -> DataFrame:
     """Scores with each symbol's own weights: sum of weight x position, clipped."""
     w = calibration.groupBy("symbol").pivot("indicator", list(NAMES)).agg(F.first("weight"))

@@ -160,7 +160,7 @@ def alpha_hac(returns: DataFrame, bench: DataFrame, periods: int = WEEKS, least:
         r2 = 1 - (e @ e) / ((y - y.mean()) @ (y - y.mean()))
         return [(symbol, len(x), float((1 + b[0]) ** periods - 1), float(b[1]), float(r2), float(b[0] / se[0]), float(se[1]))]
 
-    return G.per_symbol(returns.join(bench, "date").select("symbol", "date", "ret", "bench"), "symbol", "date", "symbol long, n long, alpha double, beta double, r2 double, alpha_t double, beta_se double", run)
+    return G.per_symbol(returns.join(bench, "date").select("symbol", "date", "ret", "bench"), "symbol", "date", "symbol {key}, n long, alpha double, beta double, r2 double, alpha_t double, beta_se double", run)
 
 
 def probabilistic_sharpe(sr: Column, target: Column, n: Column, s: Column, k: Column) -> Column:
@@ -253,7 +253,7 @@ def ewm_sharpe(returns: DataFrame, periods: int = WEEKS, share: float = 0.1) ->
         m, s = G.ewm_mean(r, a)[-1], G.ewm_std(r, a)[-1]
         return [(symbol, float(m * periods), float(s * np.sqrt(periods)), float((m * periods - RF) / (s * np.sqrt(periods))) if s > 0 else None)]
 
-    return G.per_symbol(returns.select("symbol", "date", "ret"), "symbol", "date", "symbol long, ewm_return double, ewm_vol double, ewm_sharpe double", run)
+    return G.per_symbol(returns.select("symbol", "date", "ret"), "symbol", "date", "symbol {key}, ewm_return double, ewm_vol double, ewm_sharpe double", run)
 
 
 def report(returns: DataFrame, bench: DataFrame) -> DataFrame:

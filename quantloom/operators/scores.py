@@ -167,7 +167,7 @@ def capped_blend(models: DataFrame, groups: dict[str, tuple[list[str], float]],
         var = min(max(float(w**2 @ s**2 + w @ (r - mean) ** 2) + extra, SE_CLIP[0] ** 2), SE_CLIP[1] ** 2)
         return [(symbol, len(x), mean, var**0.5, float(w.max()))]
 
-    return G.per_symbol(models.filter(valid()).select(*cols), "symbol", "model", "symbol long, n long, ret double, se double, max_weight double", run)
+    return G.per_symbol(models.filter(valid()).select(*cols), "symbol", "model", "symbol {key}, n long, ret double, se double, max_weight double", run)
 
 
 def bull_bear(blended: DataFrame, k: float = 1.96) -> DataFrame:

@@ -65,7 +65,7 @@ def revision_breadth(revisions: DataFrame) -> DataFrame:
 def ratio_kpis(ratios: DataFrame, cols: list[str], span: int = 20, tail: int = 20) -> DataFrame:
     """Exponential last value and trailing mean of each ratio; of 'roe' the geometric mean of the last five, of 'payout' the
     mean absolute of the last five. ratios: symbol, date, cols."""
-    schema = "symbol long, " + ", ".join(f"{c}_ewm double, {c}_mean double" for c in cols) + ", roe_geo double, payout_5 double"
+    schema = "symbol {key}, " + ", ".join(f"{c}_ewm double, {c}_mean double" for c in cols) + ", roe_geo double, payout_5 double"
 
     def run(symbol, x: pd.DataFrame) -> list[tuple]:
         out: list = [symbol]

@@ -135,13 +135,6 @@ def event_sliding(spark, d):
     return S.sliding(parquet(spark, d, "events")).select("start", "n", R("mean", 6).alias("mean"))
 
 
-@query("calibration")
-def calibration(spark, d):
-    from quantloom.operators import indicators as I
-
-    return floats(I.calibrate(spark, bars(spark, d)))
-
-
 @query("shrinkage_covariance")
 def shrinkage_covariance(spark, d):
     return floats(E.shrunk_covariances(weekly_returns(spark, d).filter("ret IS NOT NULL")), 8)
@@ -176,18 +169,3 @@ def peer_features(spark, d):
 @query("joint_paths")
 def joint_paths(spark, d):
     return floats(X.joint_paths(weekly_returns(spark, d).filter("ret IS NOT NULL"), sims=2000, most_assets=2000), 4)
-
-
-def _grid(name, fn, params):
-    from quantloom.operators import indicators as I
-
-    @query(name)
-    def run(spark, d):
-        out = I.best(fn(I, bars(spark, d)), ["symbol"], params)
-        return floats(out.select("symbol", *params, "n", "sharpe", "t_stat", "p_value"))
-
-
-_grid("atr_grid", lambda I, b: I.breakout_grid(b, [0.5, 1.0, 1.5]), ["mult"])
-_grid("stochastic_grid", lambda I, b: I.stochastic_grid(b, [15, 20, 25], [75, 80, 85]), ["low", "high"])
-_grid("vwap_grid", lambda I, b: I.vwap_grid(b, [10, 20, 40]), ["window"])
-_grid("obv_grid", lambda I, b: I.obv_grid(b, [10, 20, 40]), ["lookback"])

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quantloom.functions import panel as P
 from quantloom.operators import metrics as M
 from quantloom.plans.panels import WEEKLY
-from quantloom.plans.technical import WIN, rounded
-from quantloom.sources.tables import UNIVERSE_SQL, bars, universe
+from quantloom.plans.technical import ROLL, WIN, rounded
+from quantloom.sources.tables import UNIVERSE_SQL, bars, stored, universe
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -23,7 +23,7 @@ def query(name, sql=None):
     def add(fn):
         Q[name] = fn
         if sql:
-            SQL[name] = f"WITH {RETS}, {sql}" if not sql.startswith("SELECT") else f"WITH {RETS} {sql}"
+            SQL[name] = sql if sql.startswith("WITH") else f"WITH {RETS}, {sql}" if not sql.startswith("SELECT") else f"WITH {RETS} {sql}"
         return fn
 
     return add
@@ -92,13 +92,35 @@ def benchmark_relative(spark, d):
     return rounded(rounded(out, *[c for c in out.columns if c not in ("symbol", "n", "treynor")]), "treynor", n=4)
 
 
-@query("alpha_hac")
+@query("alpha_hac", f"""{BENCH}, j AS (SELECT symbol, ret - {RFW} AS y, bench - {RFW} AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i FROM r JOIN bench USING (date) WHERE ret IS NOT NULL),
+f AS (SELECT symbol, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sum(x) AS sx, sum(x * x) AS sxx, sum(pow(y, 2)) - pow(sum(y), 2) / count(*) AS sst FROM j GROUP BY symbol HAVING count(*) >= 10),
+e AS (SELECT symbol, i, n, x, y - a - b * x AS e FROM j JOIN f USING (symbol)),
+k AS (SELECT DISTINCT symbol, n, unnest(range(0, greatest(1, floor(pow(n, 0.25)))::BIGINT + 1)) AS k FROM f),
+g AS (SELECT u.symbol, sum(w.m * u.e * v.e) AS s00, sum(w.m * u.e * v.e * (u.x + v.x) / 2) AS s01, sum(w.m * u.e * v.e * u.x * v.x) AS s11 FROM e u JOIN (SELECT symbol, k, CASE WHEN k = 0 THEN 1 ELSE 2 * (1 - k / (greatest(1, floor(pow(n, 0.25))) + 1)) END AS m FROM k) w USING (symbol) JOIN e v ON v.symbol = u.symbol AND v.i = u.i - w.k GROUP BY u.symbol),
+h AS (SELECT *, n * sxx - sx * sx AS det FROM f JOIN g USING (symbol) JOIN (SELECT symbol, sum(e * e) AS sse FROM e GROUP BY symbol) USING (symbol)),
+c AS (SELECT symbol, n, pow(1 + a, 52) - 1 AS alpha, b AS beta, 1 - sse / sst AS r2, a / sqrt((sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11) / (det * det)) AS alpha_t, sqrt((sx * sx * s00 - 2 * sx * n * s01 + n * n * s11) / (det * det)) AS beta_se FROM h)
+SELECT symbol, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(r2, 6) AS r2, round(alpha_t, 6) AS alpha_t, round(beta_se, 6) AS beta_se FROM c""")
 def alpha_hac(spark, d):
     r = weekly_returns(spark, d)
     return six(M.alpha_hac(r, benchmark(r)))
 
 
-@query("probabilistic_sharpe")
+#: The column function's approximation of the normal distribution.
+CDF = lambda x: f"(CASE WHEN {x} >= 0 THEN 1 - {TAIL(x)} ELSE {TAIL(x)} END)"
+T1 = lambda x: f"(1 / (1 + 0.5::DOUBLE * (abs({x}) / sqrt(2))))"
+
+
+def TAIL(x: str) -> str:  # noqa: N802
+    poly = "0.17087277::DOUBLE"
+    for k in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"({poly} * {T1(x)} + ({k!r})::DOUBLE)"
+    return f"(0.5::DOUBLE * {T1(x)} * exp(-pow(abs({x}) / sqrt(2), 2) + {poly}))"
+
+
+@query("probabilistic_sharpe", f"""a AS (SELECT symbol, count(ret) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(ret) AS mu, stddev_pop(ret) AS sp, avg(ret * ret) AS m2, avg(ret * ret * ret) AS m3, avg(ret * ret * ret * ret) AS m4 FROM r GROUP BY symbol),
+b AS (SELECT *, (m3 - 3 * mu * m2 + 2 * mu * mu * mu) / pow(sp, 3) AS s, (m4 - 4 * mu * m3 + 6 * mu * mu * m2 - 3 * pow(mu, 4)) / pow(sp, 4) AS k, (SELECT stddev_samp(sr) FROM a) * {M.S.expected_max_normal(100)!r}::DOUBLE AS best FROM a),
+c AS (SELECT symbol, sr, sr * sqrt(n - 1) / sqrt(1 - s * sr + (k - 1) / 4 * sr * sr) AS x, (sr - best) * sqrt(n - 1) / sqrt(1 - s * sr + (k - 1) / 4 * sr * sr) AS y FROM b)
+SELECT symbol, round(sr, 5) AS sr, round({CDF('x')}, 5) AS psr, round({CDF('y')}, 5) AS dsr FROM c""")
 def probabilistic_sharpe(spark, d):
     r = weekly_returns(spark, d)
     s = r.groupBy("symbol").agg(F.count("ret").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), M.skew().alias("s"), M.kurt().alias("k"))
@@ -140,18 +162,31 @@ def holdings_exposures(spark, d):
     return rounded(rounded(out, "beta"), "mcap", n=4)
 
 
-@query("ewm_sharpe")
+@query("ewm_sharpe", f"""WITH RECURSIVE {RETS}, o AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE ret IS NOT NULL), q AS (SELECT *, 1 - exp(-ln(2.0::DOUBLE) / (0.1::DOUBLE * n)) AS a FROM o),
+w AS (SELECT symbol, i, n, ret AS m, 0.0::DOUBLE AS v, 1.0::DOUBLE AS w2 FROM q WHERE i = 1 UNION ALL SELECT q.symbol, q.i, q.n, w.m + a * (ret - w.m), (1 - a) * (w.v + a * (ret - w.m) * (ret - w.m)), (1 - a) * (1 - a) * w.w2 + a * a FROM w JOIN q ON q.symbol = w.symbol AND q.i = w.i + 1),
+z AS (SELECT symbol, m * 52 AS er, CASE WHEN 1 - w2 > 1e-12 THEN sqrt(v / (1 - w2)) * sqrt(52) END AS ev FROM w WHERE i = n AND n >= 3)
+SELECT s.symbol, round(er, 6) AS ewm_return, round(ev, 6) AS ewm_vol, round(CASE WHEN ev > 0 THEN (er - 0.038) / ev END, 6) AS ewm_sharpe FROM (SELECT DISTINCT symbol FROM r) s LEFT JOIN z USING (symbol)""")
 def ewm_sharpe(spark, d):
     return six(M.ewm_sharpe(weekly_returns(spark, d)))
 
 
-@query("metrics_report")
+@query("metrics_report", f"""WITH p AS ({SQL['performance_summary']}), v AS ({SQL['value_at_risk']}), e AS ({SQL['expected_shortfall']}), d AS ({SQL['drawdown_metrics']}), k AS ({SQL['streaks']}), b AS ({SQL['benchmark_relative']})
+SELECT p.* EXCLUDE (omega, tail_ratio), var_gaussian, var_modified, cvar, max_drawdown, ulcer, pain, cdar, calmar, pain_ratio, win_run, loss_run, beta, r2, tracking_error, information_ratio, treynor, up_slope, down_slope, up_ratio, down_ratio, m2
+FROM p LEFT JOIN v USING (symbol) LEFT JOIN e USING (symbol) LEFT JOIN d USING (symbol) LEFT JOIN k USING (symbol) LEFT JOIN b USING (symbol)""")
 def metrics_report(spark, d):
-    r = weekly_returns(spark, d)
-    return six(M.report(r, benchmark(r)).drop("omega", "tail_ratio"))
-
-
-@query("capacity_bounds")
+    r = stored(spark, weekly_returns(spark, d), "weekly-returns")  # one scan of the bars for all parts
+    out = M.report(r, benchmark(r)).drop("omega", "tail_ratio", "alpha", "mean_sd")
+    return rounded(rounded(out, *[c for c, t in out.dtypes if t == "double" and c not in ("symbol", "treynor")]), "treynor", n=4)
+
+
+@query("capacity_bounds", f"""{UNIVERSE_SQL}, s AS (SELECT symbol, avg(ret) AS er, stddev_samp(ret) AS vol FROM r GROUP BY symbol),
+dv AS (SELECT symbol, date, CASE WHEN count(close * volume) {ROLL(20)} >= 12 THEN avg(close * volume) {ROLL(20)} END AS adv FROM bars), l AS (SELECT symbol, arg_max(adv, date) AS adv FROM dv GROUP BY symbol),
+ix AS (SELECT *, abs(close / lag(close) {WIN} - 1) / nullif(close * volume, 0) AS x FROM bars), ia AS (SELECT symbol, date, CASE WHEN count(x) {ROLL(60)} >= 36 THEN avg(x) {ROLL(60)} END AS m FROM ix), io AS (SELECT symbol, arg_max(m, date) AS m FROM ia GROUP BY symbol), i AS (SELECT symbol, coalesce(m, (SELECT median(m) FROM io)) AS amihud FROM io),
+a AS (SELECT symbol, region AS sector, CASE WHEN er > 0 AND er / vol > 0 THEN pow(mcap, 0.5) * (1 + pow(er / vol, 0.5) * pow(0.25, 0.5)) / pow(vol, 0.5) * pow(adv, 0.25) / (1 + amihud) ELSE 0 END AS c FROM universe JOIN s USING (symbol) JOIN l USING (symbol) JOIN i USING (symbol) WHERE mcap > 0),
+e AS (SELECT quantile_cont(c, 0.05) AS lo, quantile_cont(c, 0.95) AS hi FROM a WHERE c > 0), b AS (SELECT symbol, sector, CASE WHEN c > 0 THEN least(greatest(c, lo), hi) ELSE 0 END AS c FROM a, e), w AS (SELECT *, c / nullif(sum(c) OVER (), 0) AS w FROM b),
+x AS (SELECT *, CASE WHEN sum(w) OVER (PARTITION BY sector) > 0.15 THEN w * 0.15 / sum(w) OVER (PARTITION BY sector) ELSE w END AS w2 FROM w), u AS (SELECT *, least(w2, 0.08) AS u, CASE WHEN c > 0 THEN 0.08 - least(w2, 0.08) ELSE 0 END AS room FROM x),
+t AS (SELECT 1 - sum(u) AS spare, sum(room) AS rooms FROM u)
+SELECT symbol, sector, 0.0::DOUBLE AS lower, round(coalesce(u + greatest(0, least(room, room / nullif(rooms, 0) * greatest(spare, 0))), 0), 6) AS upper FROM u, t""")
 def capacity_bounds(spark, d):
     from quantloom.operators import indicators as I
 

@@ -152,7 +152,17 @@ def rsi(spark, d):
     return rounded(I.exponential(bars(spark, d)).select("symbol", "date", "rsi"), "rsi", n=5)
 
 
-@query("adx")
+#: Row by row: the state of each symbol after its bar n (a running mean keeps decaying over gaps).
+ADX = f"""b0 AS (SELECT *, row_number() {WIN} AS n, greatest(high - low, abs(high - lag(close) {WIN}), abs(low - lag(close) {WIN})) AS tr, greatest(high - lag(high) {WIN}, 0) AS up, greatest(lag(low) {WIN} - low, 0) AS dn FROM bars),
+b1 AS (SELECT symbol, date, n, tr, CASE WHEN up > dn THEN up ELSE 0 END AS plus, CASE WHEN dn > up THEN dn ELSE 0 END AS minus FROM b0),
+s AS (SELECT symbol, date, n, tr::DOUBLE AS mtr, plus::DOUBLE AS mp, minus::DOUBLE AS mm FROM b1 WHERE n = 1 UNION ALL
+  SELECT b.symbol, b.date, b.n, 13 / 14.0::DOUBLE * mtr + b.tr / 14, 13 / 14.0::DOUBLE * mp + b.plus / 14, 13 / 14.0::DOUBLE * mm + b.minus / 14 FROM s JOIN b1 b ON b.symbol = s.symbol AND b.n = s.n + 1),
+x AS (SELECT symbol, date, n, 100 * abs(mp - mm) / nullif(mp + mm, 0) AS dx FROM s WHERE mtr <> 0 UNION ALL SELECT symbol, date, n, NULL FROM s WHERE mtr = 0),
+a AS (SELECT symbol, date, n, dx AS adx, 1.0::DOUBLE AS w FROM x WHERE n = 1 UNION ALL
+  SELECT x.symbol, x.date, x.n, CASE WHEN adx IS NULL THEN dx WHEN dx IS NULL THEN adx ELSE (w * 13 / 14 * adx + dx / 14) / (w * 13 / 14 + 1 / 14.0::DOUBLE) END, CASE WHEN adx IS NULL OR dx IS NOT NULL THEN 1 ELSE w * 13 / 14 END FROM a JOIN x ON x.symbol = a.symbol AND x.n = a.n + 1)"""
+
+
+@query("adx", f"WITH RECURSIVE {BARS_SQL}, {ADX} SELECT symbol, date, round(adx, 5) AS adx FROM a")
 def adx(spark, d):
     return rounded(I.exponential(bars(spark, d)).select("symbol", "date", "adx"), "adx", n=5)
 
@@ -178,35 +188,11 @@ def bollinger_backtest(spark, d):
     return rounded(I.stats(rows, "position", ["symbol"]).select("symbol", "n", "sharpe", "t_stat"), "sharpe", "t_stat")
 
 
-@query("bollinger_grid")
-def bollinger_grid(spark, d):
-    out = I.band_grid(bars(spark, d), [10, 20, 30], [1.5, 2.0, 2.5])
-    out = I.best(out, ["symbol"], ["window", "width"]).withColumn("weight", I.weight())
-    return rounded(out.select("symbol", "window", "width", "n", "sharpe", "t_stat", "p_value", "significant", "weight"), "sharpe", "t_stat", "p_value")
-
-
-@query("mfi_grid")
-def mfi_grid(spark, d):
-    grid = spark.createDataFrame([(float(a), float(b)) for a in (10, 20, 30) for b in (70, 80, 90)], "low double, high double")
-    pre = I.mfi(bars(spark, d)).withColumn("ret", P.pct_change("close", I.W()))
-    return rounded(I.best(I.threshold_grid(pre, "mfi", grid), ["symbol"], ["low", "high"]).select("symbol", "low", "high", "n", "sharpe", "p_value"), "sharpe", "p_value")
-
-
-@query("rsi_grid")
-def rsi_grid(spark, d):
-    grid = spark.createDataFrame([(float(a), float(b)) for a in (20, 30, 40) for b in (60, 70, 80)], "low double, high double")
-    pre = I.exponential(bars(spark, d)).withColumn("ret", P.pct_change("close", I.W()))
-    return rounded(I.best(I.threshold_grid(pre, "rsi", grid), ["symbol"], ["low", "high"]).select("symbol", "low", "high", "n", "sharpe", "p_value"), "sharpe", "p_value")
-
-
-@query("ema_macd_grid")
-def ema_macd_grid(spark, d):
-    out = I.spans_grid(bars(spark, d), [8, 12, 16], [20, 26, 32]).unionByName(I.spans_grid(bars(spark, d), [8, 12], [20, 26], [7, 9]))
-    out = I.best(out, ["symbol", "signal"], ["fast", "slow"]).withColumn("weight", I.weight())
-    return rounded(out.select("symbol", "signal", "fast", "slow", "n", "sharpe", "p_value", "weight"), "sharpe", "p_value")
-
-
-@query("cooldown_positions")
+@query("cooldown_positions", f"""WITH RECURSIVE {BARS_SQL}, bb AS (SELECT symbol, date, close, row_number() {WIN} AS n, {MIN('avg', 'close', 10)} AS mid, {MIN('stddev_pop', 'close', 10)} AS sd FROM bars),
+p AS (SELECT symbol, date, n, coalesce(close < mid - sd, false) AS b, coalesce(close > mid + sd, false) AS s FROM bb), l AS (SELECT *, coalesce(lag(b) {WIN}, false) AS b1, coalesce(lag(s) {WIN}, false) AS s1 FROM p),
+q AS (SELECT symbol, date, n, b, s, 0 AS position, 0 AS wait FROM l WHERE n = 1 UNION ALL
+  SELECT l.symbol, l.date, l.n, l.b, l.s, CASE WHEN wait = 0 AND s1 THEN -1 WHEN wait = 0 AND b1 THEN 1 ELSE position END, CASE WHEN wait = 0 AND (s1 OR b1) THEN 3 ELSE greatest(wait - 1, 0) END FROM q JOIN l ON l.symbol = q.symbol AND l.n = q.n + 1)
+SELECT symbol, date, b, s, position FROM q""")
 def cooldown_positions(spark, d):
     rows = I.bollinger(bars(spark, d), 10, 1.0)
     rows = rows.select("symbol", "date", F.coalesce(F.col("close") < F.col("bb_low"), F.lit(False)).alias("b"), F.coalesce(F.col("close") > F.col("bb_high"), F.lit(False)).alias("s"))

@@ -5,12 +5,12 @@ import pytest
 from quantloom import catalog
 from quantloom.operators import estimators as E
 from quantloom.operators import forecast as X
-from quantloom.operators import indicators as I
+from quantloom.operators import calibration as K
 from quantloom.operators import holdings as O
 from quantloom.operators import statements as S
 
 SF = "/root/testdata/sf0.01"
-CASES = {"calibration": (I, "calibrate", 1), "shrinkage_covariance": (E, "shrunk_covariances", 0), "optimal_allocations": (O, "allocations", 1), "joint_paths": (X, "joint_paths", 0), "style_exposures": (S, "style_exposures", 0), "style_factor_returns": (S, "style_exposures", 0)}
+CASES = {"calibration": (K, "calibrate", 0), "shrinkage_covariance": (E, "shrunk_covariances", 0), "optimal_allocations": (O, "allocations", 1), "joint_paths": (X, "joint_paths", 0), "style_exposures": (S, "style_exposures", 0), "style_factor_returns": (S, "style_exposures", 0)}
 
 
 class Stop(Exception):
