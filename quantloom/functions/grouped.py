@@ -51,9 +51,26 @@ def alpha_of(span: float | None = None, halflife: float | None = None, alpha: fl
     return 2 / (span + 1) if span is not None else 1 - np.exp(-np.log(2) / halflife)
 
 
+def smooth(x: np.ndarray, alpha: float) -> np.ndarray:
+    """Exponential mean of values without gaps: y[t] = q^t (y[0] + sum of alpha x[i] / q^i), in stretches within the range of doubles."""
+    q = 1 - alpha
+    stretch = max(1, int(-200 / np.log10(q)))
+    out = np.empty(len(x))
+    out[0] = x[0]
+    for s in range(1, len(x), stretch):
+        part = x[s : s + stretch]
+        decay = q ** np.arange(1, len(part) + 1)
+        out[s : s + len(part)] = decay * (out[s - 1] + np.cumsum(alpha * part / decay))
+    return out
+
+
 def ewm_mean(x: np.ndarray, alpha: float) -> np.ndarray:
     """adjust=False; gaps keep the last mean while older weights go on decaying."""
     out = np.full(len(x), np.nan)
+    known = np.flatnonzero(~np.isnan(x))
+    if alpha <= 0.9 and len(known) and len(known) == len(x) - known[0]:
+        out[known[0] :] = smooth(np.asarray(x, float)[known[0] :], alpha)
+        return out
     mean, weight = np.nan, 1.0
     for i, v in enumerate(x):
         if np.isnan(mean):

@@ -56,24 +56,42 @@ def annual_inputs(spark, d):
     return floats(S.annuals(long), 4)
 
 
-@query("ratio_kpis")
-def ratio_kpis(spark, d):
-    r = statements(spark, d).selectExpr("symbol", "date", "assets / revenue AS ev_sales", "net_income / assets AS roe", "ocf / net_income AS payout")
-    return floats(S.ratio_kpis(r, ["ev_sales"]))
+STYLES = ("profit", "growth", "lever", "cash_stability", "value")
 
 
-@query("style_exposures")
+def scaled_sql(c: str) -> str:
+    """CTEs that scale a column of ``x`` by date as the operator does."""
+    return f"""q_{c} AS (SELECT date, quantile_cont({c}, 0.05) AS lo, quantile_cont({c}, 0.95) AS hi, count({c}) / count(*) AS cov FROM x GROUP BY date),
+w_{c} AS (SELECT symbol, date, cov, CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, lo), hi) END AS v FROM x JOIN q_{c} USING (date)), m_{c} AS (SELECT date, median(v) AS m, stddev_samp(v) AS sd FROM w_{c} GROUP BY date), d_{c} AS (SELECT date, 1.4826 * median(abs(v - m)) AS mad FROM w_{c} JOIN m_{c} USING (date) GROUP BY date),
+z_{c} AS (SELECT symbol, date, CASE WHEN cov >= 0.6 AND v IS NOT NULL THEN CASE WHEN mad > 0 THEN (v - m) / mad WHEN sd > 0 THEN (v - m) / sd ELSE 0 END END AS x_{c} FROM w_{c} JOIN m_{c} USING (date) LEFT JOIN d_{c} USING (date))"""
+
+
+STYLE_SQL = f"""WITH {RETS}, {ST_SQL}, own AS (SELECT s_suppkey AS symbol, st.date, revenue, net_income * (1 + s_suppkey % 5) AS net_income, assets, debt * (1 + s_suppkey % 3) AS debt, ocf * (1 + s_suppkey % 4) AS ocf, shares * (1 + s_suppkey % 7) AS shares FROM supplier JOIN st ON st.symbol = s_nationkey),
+f AS (SELECT symbol, date, net_income / nullif(assets, 0) AS profit, CASE WHEN count(revenue) OVER (PARTITION BY symbol) >= 5 THEN revenue / nullif(lag(revenue, 4) {WIN}, 0) - 1 ELSE revenue / nullif(lag(revenue) {WIN}, 0) - 1 END AS growth, debt / nullif(assets, 0) AS lever, ocf / nullif(assets, 0) AS cash, net_income, shares FROM own),
+f2 AS (SELECT *, CASE WHEN count(cash) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) >= 3 THEN -stddev_samp(cash) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) END AS cash_stability, date + 90 AS known FROM f),
+wk2 AS (SELECT symbol, date, lag(close) {WIN} AS p FROM wk), x AS (SELECT w.symbol, w.date, profit, growth, lever, cash_stability, net_income / nullif(p * shares, 0) AS value FROM wk2 w ASOF LEFT JOIN f2 ON f2.symbol = w.symbol AND f2.known <= w.date), {', '.join(scaled_sql(c) for c in STYLES)},
+e AS (SELECT * FROM z_profit JOIN z_growth USING (symbol, date) JOIN z_lever USING (symbol, date) JOIN z_cash_stability USING (symbol, date) JOIN z_value USING (symbol, date))"""
+
+
+def own_statements(spark, d):
+    """Statements of each symbol: its nation's, some items scaled by the symbol's number."""
+    n = parquet(spark, d, "supplier").select(F.col("s_suppkey").alias("own"), F.col("s_nationkey").cast("long").alias("symbol"))
+    rows = statements(spark, d).join(n, "symbol")
+    return rows.selectExpr("own AS symbol", "date", "revenue", "net_income * (1 + own % 5) AS net_income", "assets", "debt * (1 + own % 3) AS debt", "ocf * (1 + own % 4) AS ocf", "shares * (1 + own % 7) AS shares")
+
+
+def exposures(spark, d):
+    return S.style_exposures(P.resample(bars(spark, d), "W-SUN", {"close": "last"}), own_statements(spark, d))
+
+
+@query("style_exposures", f"{STYLE_SQL} SELECT symbol, date, {', '.join(f'round(x_{c}, 5) AS x_{c}' for c in STYLES)} FROM e")
 def style_exposures(spark, d):
-    wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"})
-    st = statements(spark, d)
-    return floats(S.style_exposures(wk, st), 5)
+    return floats(exposures(spark, d), 5)
 
 
-@query("style_factor_returns")
+@query("style_factor_returns", f"{STYLE_SQL} SELECT date, {', '.join(f'round(sum(x_{c} * ret) / nullif(sum(abs(x_{c})), 0), 6) AS x_{c}' for c in ('profit', 'value', 'lever'))} FROM e JOIN r USING (symbol, date) WHERE ret IS NOT NULL GROUP BY date")
 def style_factor_returns(spark, d):
-    wk = P.resample(bars(spark, d), "W-SUN", {"close": "last"})
-    x = S.style_exposures(wk, statements(spark, d))
-    return floats(S.factor_returns(x, weekly_returns(spark, d), ["x_profit", "x_value", "x_lever"]))
+    return floats(S.factor_returns(exposures(spark, d), weekly_returns(spark, d), ["x_profit", "x_value", "x_lever"]))
 
 
 @query("report_price_growth", f"WITH {BARS_SQL}, y AS (SELECT DISTINCT symbol, make_date(year(date)::BIGINT, 12, 31) AS date FROM bars), p AS (SELECT y.symbol, y.date, avg(b.close) AS price FROM y LEFT JOIN bars b ON b.symbol = y.symbol AND b.date BETWEEN y.date - 30 AND y.date + 30 GROUP BY ALL) SELECT symbol, date, round(price, 6) AS price, round(price / lag(price) {WIN} - 1, 6) AS growth FROM p")

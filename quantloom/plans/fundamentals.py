@@ -174,11 +174,6 @@ def dcf_paths(spark, d):
     return rounded(V.dcf(scenario_inputs(spark, d), 3, ("pe1", "pe2")), "p10", "p50", "p90", "sd", n=5)
 
 
-@query("residual_income")
-def residual_income(spark, d):
-    return rounded(V.residual_income(scenario_inputs(spark, d), 3), "value", "sd", "low", "high", n=5)
-
-
 @query("capm", f"WITH {RETS}, {BENCH}, b AS (SELECT symbol, regr_slope(ret, bench) AS beta, corr(ret, bench) AS rho FROM r JOIN bench USING (date) GROUP BY symbol) SELECT symbol, round(beta, 6) AS beta, round(0.038 + beta * (0.09 - 0.038), 6) AS exp_return, round(abs(beta * 0.16 / CASE WHEN rho IS NULL OR rho = 0 THEN 1 ELSE rho END), 6) AS volatility FROM b")
 def capm(spark, d):
     r = weekly_returns(spark, d)
