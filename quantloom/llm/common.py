@@ -247,7 +247,6 @@ def ranked(spark: SparkSession, df: DataFrame, keys: list[str], order: list[str]
 #: A bitmap has 16 bits for each value that goes in, between 2^20 and 2^30 bits (128 MB). Past 10^9 values it fills up and passes
 #: more rows on to the exact join behind it.
 BITMAP_LOG2 = (20, 30)
-SLICE_LOG2 = 16
 
 
 class Bitmap:
@@ -261,24 +260,27 @@ class Bitmap:
         return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def bitmap(spark: SparkSession, df: DataFrame, col: str):
-    """A broadcast Bitmap of a long column, built in slices by the executors; the driver only joins the slices."""
-    log2 = min(max((16 * df.count()).bit_length(), BITMAP_LOG2[0]), BITMAP_LOG2[1])
+def bitmap(spark: SparkSession, df: DataFrame, col: str, rows: int | None = None):
+    """A broadcast Bitmap of a long column, built in slices by the executors; the driver only joins the slices.
+
+    rows: about how many there are, counted if not given. Values should be distinct, as a repeated one goes to one task."""
+    log2 = min(max((16 * (df.count() if rows is None else rows)).bit_length(), BITMAP_LOG2[0]), BITMAP_LOG2[1])
+    size = max(log2 - (8 * partitions(spark)).bit_length(), 10)  # bits of a slice: some eight slices and more for each task
     slot = F.shiftrightunsigned(F.col(col), 64 - log2)
-    slices = df.select(F.shiftrightunsigned(slot, SLICE_LOG2).alias("s"), slot.bitwiseAND((1 << SLICE_LOG2) - 1).alias("b")).repartition(partitions(spark), "s")
+    slices = df.select(F.shiftrightunsigned(slot, size).alias("s"), slot.bitwiseAND((1 << size) - 1).alias("b")).repartition("s")
 
     def build(batches):
         have: dict[int, np.ndarray] = {}
         for b in batches:
             s, bit = (b.column(i).to_numpy() for i in range(2))
             for one in np.unique(s).tolist():
-                at = have.setdefault(one, np.zeros(1 << SLICE_LOG2, bool))
+                at = have.setdefault(one, np.zeros(1 << size, bool))
                 at[bit[s == one]] = True
         for s, on in have.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["s", "bytes"])
 
     bits = np.zeros(1 << (log2 - 3), np.uint8)
-    width = 1 << (SLICE_LOG2 - 3)
+    width = 1 << (size - 3)
     for r in slices.mapInArrow(build, "s bigint, bytes binary").collect():  # at most the bitmap's size
         bits[r["s"] * width : (r["s"] + 1) * width] |= np.frombuffer(r["bytes"], np.uint8)
     return spark.sparkContext.broadcast(Bitmap(bits))
@@ -299,15 +301,16 @@ def join_spread(spark: SparkSession, big: DataFrame, small: DataFrame, key: str,
     The hot keys' rows of small are broadcast (at most 4 x partitions, whatever the data), so no task gets all rows of a hot
     key; the other keys meet by a shuffle. Both tables are read twice and should be stored ones.
     """
-    limit = spread_from(spark, small.agg(F.sum(rows)).first()[0] or 0)
-    hot = small.filter(F.col(rows) > limit)
-    if hot.isEmpty():
+    total, most = small.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
+    limit = spread_from(spark, total)
+    if most <= limit:
         return big.join(small, key)
+    hot = small.filter(F.col(rows) > limit)
     cold = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(rows) <= limit), key)
     return big.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def _star(spark: SparkSession, edges: DataFrame, n: int, large: bool, total: int) -> DataFrame:
+def _star(spark: SparkSession, edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One star operation on edges (u, v).
 
     Large: each neighbour over u gets an edge to the least around u. Small (v < u): u and its neighbours get one to the least.
@@ -332,7 +335,7 @@ def _star(spark: SparkSession, edges: DataFrame, n: int, large: bool, total: int
         if not large:
             around = around.unionByName(spark.createDataFrame(list(zip(known.tolist(), least.tolist(), strict=True)), "u bigint, v bigint"))
         edges = edges.filter(~is_hot)
-    dealt = edges.repartition(n, "u").sortWithinPartitions("u", "v")
+    dealt = edges.repartition("u").sortWithinPartitions("u", "v")  # adaptive execution joins small parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_u = last_v = last_m = None
@@ -365,7 +368,6 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
 
     The driver sees two numbers a round and the hot vertices. Each star is written to the shared folder, so its lineage ends there.
     """
-    n = partitions(spark)
     now, path = stored(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
 
     def checksum(df: DataFrame):
@@ -374,8 +376,8 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
     state = checksum(now)
     while state["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        wide, wide_path = stored(spark, _star(spark, both, n, True, 2 * state["n"]), label)
-        then, then_path = stored(spark, _star(spark, wide, n, False, state["n"]), label)
+        wide, wide_path = stored(spark, _star(spark, both, True, 2 * state["n"]), label)
+        then, then_path = stored(spark, _star(spark, wide, False, state["n"]), label)
         drop_paths(spark, path, wide_path)
         now, path = then, then_path
         if state == (state := checksum(now)):

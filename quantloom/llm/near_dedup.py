@@ -196,7 +196,7 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, words: int
     spread over many groups.
     """
     ends = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h")))
-    near = C.bitmap(spark, ends, "h")
+    near = C.bitmap(spark, ends.distinct(), "h", 2 * pairs.count())
     src = docs.select("text", F.xxhash64(F.col("id").cast("string")).alias("idh"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, words: int
     salted = C.join_spread(spark, pairs.select("a", "b"), fans, "a", "k").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).alias("salt"))
     one = sets.withColumnRenamed("v", "a").join(fans, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "set")
     other = salted.join(sets.withColumnRenamed("v", "b"), "b").select("a", "salt", "b", "set")
-    dealt = one.unionByName(other).repartition(C.partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = one.unionByName(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine = None, None
@@ -280,7 +280,6 @@ def medoids(spark: SparkSession, rows: DataFrame) -> DataFrame:
     Where all copies come from one text, that text is the hub that most of them link with. Bits are counted in groups of
     about SALTED members and summed, so no task sees a whole bucket. rows: (key, v, m, sketch).
     """
-    n = C.partitions(spark)
     rows = with_salt(rows)
     salted = rows.select("key", "salt", "sketch")
 
@@ -303,8 +302,8 @@ def medoids(spark: SparkSession, rows: DataFrame) -> DataFrame:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([k for k, _ in sums.values()], pa.int64()), pa.array([np.packbits(2 * x > k).view(np.int64) for k, x in sums.values()], pa.list_(pa.int64()))], names=["key", "m", "middle"])
 
-    parts = salted.repartition(n, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(count, "key bigint, n bigint, bits binary")
-    middle = parts.repartition(n, "key").mapInArrow(majority, "key bigint, m bigint, middle array<bigint>")
+    parts = salted.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(count, "key bigint, n bigint, bits binary")
+    middle = parts.repartition("key").mapInArrow(majority, "key bigint, m bigint, middle array<bigint>")
     far = F.struct(differing("sketch", "middle", 0, SKETCH_WORDS).alias("z"), "v")
     best = rows.drop("m").join(with_every_salt(middle), ["key", "salt"]).groupBy("key", "m", "salt").agg(F.min(far).alias("p"))
     return best.groupBy("key", "m").agg(F.min("p").alias("p")).select("key", "m", F.col("p.v").alias("a"))
@@ -325,7 +324,7 @@ def nearest(spark: SparkSession, rows: DataFrame, percent: int, best: int) -> Da
     are compared in blocks x blocks, and what such a cell returns is linear in its members.
     """
     cells = cells_of(rows)
-    dealt = cells.repartition(C.partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    dealt = cells.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     most = most_differing(percent)
 
     def near(t: pa.Table) -> Iterator[tuple[int, int, int]]:
