@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from quantloom.sources.tables import shared_dir
 
 #: Characters of text handled at once in Python; one longer document is a chunk of its own.
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

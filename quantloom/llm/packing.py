@@ -35,8 +35,8 @@ from . import token_files
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What one more sequence costs besides its places.
 PER_SEQUENCE = 16
-#: Ids that a task holds to plan over (64 MB at 16 bits), and sequences of a batch that it hands on.
-HELD_IDS, OUT_BINS = 1 << 25, 1024
+#: Ids that a task holds to plan over (16 MB at 16 bits, some thousand sequences), and sequences of a batch that it hands on.
+HELD_IDS, OUT_BINS = 1 << 23, 512
 
 
 def price(capacity: int) -> float:
