@@ -74,12 +74,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows of a batch between Spark and Python while the stages run: texts of a few kilobytes make megabytes, on both sides.
+BATCH_ROWS = 2000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order; each one's rows are written to the shared folder and read again. What a stage needed besides is
     deleted once its rows are written."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        before = common.working_tables()
-        docs, path = common.stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
-        common.drop_paths(spark, *[p for p in common.working_tables() if p not in before and p != path])
+    name_of, had = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name_of, str(BATCH_ROWS))
+    try:
+        for name, stage in STAGES:
+            before = common.working_tables()
+            docs, path = common.stored(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+            common.drop_paths(spark, *[p for p in common.working_tables() if p not in before and p != path])
+    finally:
+        spark.conf.set(name_of, had)
     return docs
