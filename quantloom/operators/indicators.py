@@ -256,6 +256,6 @@ def calibration_map(rows: DataFrame) -> DataFrame:
 def calibrated_score(pos: DataFrame, calibration: DataFrame) -> DataFrame:
     """Scores with each symbol's own weights: sum of weight x position, clipped."""
     w = calibration.groupBy("symbol").pivot("indicator", list(NAMES)).agg(F.first("weight"))
-    rows = pos.join(w, "symbol", "left")
-    total = sum((F.coalesce(F.col(n), F.lit(0)) * F.col(f"pos_{n}") for n in NAMES), F.lit(0))
-    return rows.withColumn("score", F.least(F.greatest(total, F.lit(-10)), F.lit(10)).cast("short")).drop(*NAMES)
+    rows = pos.join(w.select("symbol", *[F.col(n).alias(f"_w_{n}") for n in NAMES]), "symbol", "left")
+    total = sum((F.coalesce(F.col(f"_w_{n}"), F.lit(0)) * F.col(f"pos_{n}") for n in NAMES), F.lit(0))
+    return rows.withColumn("score", F.least(F.greatest(total, F.lit(-10)), F.lit(10)).cast("short")).drop(*[f"_w_{n}" for n in NAMES])
