@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.plans import alignments, calibrations, companies, fundamentals, models, panels, performance, technical
+from quantloom.plans import alignments, calibrations, companies, features, fundamentals, models, panels, performance, technical
 
-PLANS = (technical, calibrations, panels, performance, fundamentals, models, companies, alignments)
+PLANS = (technical, calibrations, panels, performance, fundamentals, models, companies, alignments, features)
 
 
 def queries():
