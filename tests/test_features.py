@@ -4,8 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.operators import features as M
+from quantloom.operators import forecast as X
 
 
 def test_excitation_is_the_best_of_a_plain_search():
@@ -91,3 +93,29 @@ def test_growth_of_strings_and_missing_payouts(spark):
     assert got["A"].mean == pytest.approx(0.05, abs=2e-3) and got["B"].n == 0
     assert got["C"].mean == pytest.approx(0.02, abs=1e-3)
     assert got == {r.symbol: r for r in M.terminal_growth(h.repartition(3), p, 4000).collect()}
+
+
+class NoPowers(np.ndarray):
+    """Draws that refuse np.power, which takes most of a simulation's time."""
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=None, **kw):
+        assert ufunc is not np.power
+        plain = lambda xs: tuple(x.view(np.ndarray) if isinstance(x, np.ndarray) else x for x in xs)
+        got = getattr(ufunc, method)(*plain(inputs), **({"out": plain(out)} if out else {}), **kw)
+        return got.view(NoPowers) if isinstance(got, np.ndarray) else got
+
+
+def test_edgeworth_shocks_are_the_polynomial_without_powers():
+    rng = np.random.default_rng(3)
+    for skew, kurt in ((-0.5, 4.0), (0.0, 3.0), (1.2, 9.0)):
+        z = rng.standard_normal(5000)
+        e = z + skew / 6 * (z * z - 1) + (kurt - 3) / 24 * (z**3 - 3 * z) - skew**2 / 36 * (2 * z**3 - 5 * z)
+        got = X.edgeworth(z.view(NoPowers), skew, kurt).view(np.ndarray)
+        np.testing.assert_allclose(got, (e - e.mean()) / e.std(), atol=1e-12)
+    assert np.isnan(X.edgeworth(rng.standard_normal(10), np.nan, 3.0)).all()
+
+
+def test_simulations_stay_dealt_over_tasks(spark):
+    params = spark.createDataFrame([(s, 0.05, 0.2, 0.0, 3.0, 100.0) for s in range(40)], "symbol long, mu double, sigma double, skew double, kurt double, price double")
+    got = X.gbm_terminal(spark, params, 100, 2).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert got == int(spark.conf.get("spark.sql.shuffle.partitions"))
