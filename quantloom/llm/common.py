@@ -363,10 +363,31 @@ def _star(spark: SparkSession, edges: DataFrame, large: bool, total: int) -> Dat
     return out.unionByName(around) if hot else out
 
 
+#: Edges up to which the driver finds the components itself (1 MB): rounds of small stars are all overhead.
+FEW_EDGES = 1 << 16
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of edges (u, v), and the least one reachable from each: labels and their labels' labels sink until none changes."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for ends in (root[x], root[y], x, y):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == root).all():
+            return names, names[root]
+        root = new
+
+
 def components(spark: SparkSession, edges: DataFrame, label: str = "components") -> DataFrame:
     """(v, root): the least vertex reachable, for each vertex of edges (a, b), by alternating large and small stars.
 
-    The driver sees two numbers a round and the hot vertices. Each star is written to the shared folder, so its lineage ends there.
+    The driver sees two numbers a round and the hot vertices, or at most FEW_EDGES edges, whose components it finds at once. Each
+    star is written to the shared folder, so its lineage ends there.
     """
     now, path = stored(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
 
@@ -374,6 +395,12 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
         return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
 
     state = checksum(now)
+    if state["n"] <= FEW_EDGES:
+        few = now.toArrow()
+        names, roots = least_reachable(*(few[c].to_numpy() for c in ("u", "v")))
+        drop_paths(spark, path)
+        found = pa.table({"v": pa.array(names, pa.int64()), "root": pa.array(roots, pa.int64())})
+        return stored(spark, spark.createDataFrame(found, "v bigint, root bigint").coalesce(1), label)[0]
     while state["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide, wide_path = stored(spark, _star(spark, both, True, 2 * state["n"]), label)

@@ -58,3 +58,16 @@ def test_bitmap(spark):
     near = C.bitmap(spark, spark.createDataFrame([(int(v),) for v in x[:2000]], "h long"), "h").value
     assert near.has(x[:2000].view(np.uint64)).all()
     assert near.has(x[2000:].view(np.uint64)).mean() < 0.01
+
+
+def test_components_of_few_edges_take_no_stars(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-90, 90, (110, 2))] + [(k, k + 1) for k in range(200, 300)] + [(5, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    run = lambda: {r["v"]: r["root"] for r in C.components(spark, edges).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(C, "FEW_EDGES", -1)
+        stars = run()
+    monkeypatch.setattr(C, "_star", lambda *_: (_ for _ in ()).throw(AssertionError("a round of stars")))
+    few = run()
+    assert few == stars and few[300] == 200
