@@ -6,12 +6,16 @@ A group is one symbol's history, so its size is bounded by the calendar, not by
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def per_group(df: DataFrame, key: str, order: str, columns: dict[str, str], fn: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
@@ -40,6 +44,39 @@ def per_symbol(df: DataFrame, key: str, order: str, schema: str, fn: Callable[[o
     return df.groupBy(key).applyInPandas(run, schema)
 
 
+def per_history(df: DataFrame, key: str, order: str, schema: str, fn: Callable[[object, dict[str, np.ndarray]], list[tuple]]) -> DataFrame:
+    """As ``per_symbol``, for kernels of numbers alone: fn(key, columns in order as doubles, NULL as NaN). Spark orders the rows and
+    they come in batches of many groups, so no table is made of each group."""
+    schema = schema.replace("{key}", df.schema[key].dataType.simpleString())
+    numbers = [c for c in df.columns if c not in (key, order)]
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, F.col(order).asc_nulls_last())
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def one(k, parts: list[pa.RecordBatch]) -> list[tuple]:
+        return fn(k, {c: np.concatenate([p[c].to_numpy(zero_copy_only=False) for p in parts]) for c in numbers})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        out = []
+        for batch in batches:
+            keys = pc.run_end_encode(batch[key])
+            start = 0
+            for end, k in zip(keys.run_ends.to_pylist(), keys.values.to_pylist(), strict=True):
+                if held and k != now:
+                    out += one(now, held)
+                    held = []
+                now = k
+                held.append(batch.slice(start, end - start))
+                start = end
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row, strict=True)) for row in out], arrow)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, row, strict=True)) for row in one(now, held)], arrow)
+
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in numbers]).mapInArrow(run, schema)
+
+
 def seeded(seed: int, *keys) -> np.random.Generator:
     """Random numbers of a seed and keys (integers, or anything as text), alike on every run."""
     return np.random.default_rng([seed, *(abs(int(k)) if isinstance(k, (int, np.integer)) else zlib.crc32(str(k).encode()) for k in keys)])

@@ -192,8 +192,8 @@ class Bars:
     """One symbol's bars as arrays, and the parts of the indicators that all parameter sets share. A rule gives the Sharpe ratios
     of its grid, one axis for each parameter in order."""
 
-    def __init__(self, x: pd.DataFrame):
-        self.high, self.low, self.close, self.volume = (x[c].to_numpy(float) for c in ("high", "low", "close", "volume"))
+    def __init__(self, x: pd.DataFrame | dict[str, np.ndarray]):
+        self.high, self.low, self.close, self.volume = (np.asarray(x[c], float) for c in ("high", "low", "close", "volume"))
         self.ret = np.append(np.nan, self.close[1:] / self.close[:-1] - 1)
         prev = before(self.close)
         self.true_range = np.fmax(self.high - self.low, np.fmax(np.abs(self.high - prev), np.abs(self.low - prev)))
@@ -309,9 +309,9 @@ def calibrate(bars: DataFrame, grids: dict = GRIDS, names: tuple[str, ...] = I.N
     ``screen``: coarse grids that are tried first; a rule without a significant set in its coarse grid keeps that one's best,
     the others go on to the full grid. Symbols of any type; a symbol with fewer than three bars has no Sharpe ratio.
     """
-    def run(symbol, x: pd.DataFrame) -> list[tuple]:
+    def run(symbol, x: dict[str, np.ndarray]) -> list[tuple]:
         one = Bars(x)
-        n = max(len(x) - 1, 0)
+        n = max(len(one.close) - 1, 0)
         lr = np.log1p(one.ret[1:])
         held = float(np.sqrt(252) * lr.mean() / lr.std(ddof=1)) if n > 1 and lr.std(ddof=1) > 0 else None
         out = []
@@ -326,5 +326,5 @@ def calibrate(bars: DataFrame, grids: dict = GRIDS, names: tuple[str, ...] = I.N
             out.append((symbol, name, json.dumps(params), n, sharpe, held, float(t), S.t_sf(max(t, 0.0), max(n - 1, 1))))
         return out
 
-    rows = G.per_symbol(bars.select("symbol", "date", "high", "low", "close", "volume"), "symbol", "date", "symbol {key}, indicator string, param_json string, n long, sharpe double, sharpe_bh double, t_stat double, p_value double", run)
+    rows = G.per_history(bars.select("symbol", "date", "high", "low", "close", "volume"), "symbol", "date", "symbol {key}, indicator string, param_json string, n long, sharpe double, sharpe_bh double, t_stat double, p_value double", run)
     return rows.withColumn("weight", I.weight(alpha, least)).withColumn("significant", F.col("sharpe").isNotNull() & (F.col("p_value") < alpha))

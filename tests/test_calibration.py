@@ -81,3 +81,19 @@ def test_full_grid_costs_less_than_bars_times_sets():
             now = np.where(s, -1.0, np.where(b, 1.0, now))
 
     assert took(lambda: bars.stoch(grid)) < took(plain)
+
+
+def test_histories_come_in_order_and_whole(spark):
+    from quantloom.functions import grouped as G
+
+    rows = [(s, f"2020-01-{d + 1:02d}", None if d == 3 else float(10 * i + d)) for i, s in enumerate(("b", "a", None)) for d in range(9)]
+    df = spark.createDataFrame(rows[::-1], "symbol string, date string, x double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # groups span batches
+    try:
+        got = G.per_history(df, "symbol", "date", "symbol {key}, xs array<double>", lambda k, x: [(k, x["x"].tolist())]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 3
+    for k, xs in got:
+        at = ("b", "a", None).index(k)
+        np.testing.assert_array_equal(xs, [np.nan if d == 3 else 10.0 * at + d for d in range(9)])
