@@ -132,7 +132,9 @@ def sweep(buy: np.ndarray, sell: np.ndarray, ret: np.ndarray, at: np.ndarray | N
     starts = np.append(bars, len(ret) - 1)
     if not (buys.any() and sells.any()):  # a set keeps its first position
         pulses = (buy if buys.any() else sell)[used]
-        first = starts[np.where(pulses.any(axis=0), pulses.argmax(axis=0), len(used))]
+        # The largest of numbers that fall is the first: quicker than argmax along the first axis.
+        fall = np.arange(len(used), 0, -1, dtype=np.int16 if len(used) < 32000 else np.int32).reshape(-1, *[1] * (pulses.ndim - 1))
+        first = starts[len(used) - np.max(pulses * fall, axis=0)]
         return np.broadcast_to(gains.sharpe(first, (gains.upto[-1] - gains.upto[first]) if buys.any() else np.zeros(first.shape)), shape)
     step = np.diff(gains.upto[bars], append=gains.upto[-1])
     order = np.arange(2, 2 * len(used) + 2, 2, dtype=np.int16 if len(used) < 16000 else np.int32)  # sells get odd numbers: they win
@@ -158,9 +160,11 @@ def sweep_pairs(buy: np.ndarray, sell: np.ndarray, ret: np.ndarray) -> np.ndarra
     gains, t = Gains(ret), np.arange(len(ret), dtype=np.int32)[:, None]
     sold = np.maximum.accumulate(np.where(sell, t, t.dtype.type(-1)), axis=0)
     until = np.minimum.accumulate(np.where(sell, t, t.dtype.type(last))[::-1], axis=0)[::-1]
-    first = np.minimum(*(np.where(m.any(axis=0), m.argmax(axis=0), last) for m in (buy[:, :, None], sell[:, None, :])))
     column, bar = np.nonzero(buy.T)
     starts = np.flatnonzero(np.diff(column, prepend=-1))
+    bought = np.full(buy.shape[1], last)
+    bought[column[starts]] = bar[starts]
+    first = np.minimum(bought[:, None], until[0])
     earlier = np.append(-1, bar)[: len(bar)]
     earlier[starts] = -1
     long = np.zeros(first.shape)
@@ -252,8 +256,8 @@ class Bars:
                 up, down = ((m.any(axis=1)) for m in (c > top + least, c < bottom - least))
                 t = np.flatnonzero(up | down)
                 step, c, no = mean[t] * mult[:, None], c[t, :, None, None], np.zeros((len(t), 1, 1, 1), bool)
-                buy = c > top[t, :, None, None] + step if up.any() else no
                 sell = c < bottom[t, :, None, None] - step if down.any() else no
+                buy = c > np.add(top[t, :, None, None], step, out=step if top.shape[1] == 1 else None) if up.any() else no
             out.append(np.broadcast_to(sweep(buy, sell, self.ret, t), (top.shape[1], *shape)))
         return np.concatenate(out).transpose(2, 0, 1)  # window, break, mult
 
