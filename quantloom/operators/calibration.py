@@ -1,7 +1,7 @@
 """Calibration of trading rules over full parameter grids, one kernel call a symbol.
 
-A symbol's bars are shuffled once; its backtests run over whole grids at once as numpy arrays, one step a bar, so a grid costs
-memory for its parameter sets and never copies the panel. Each rule's positions hold the last pulse (sells win); the return of
+A symbol's bars are shuffled once; its backtests run over whole grids at once as numpy arrays, over the bars that have pulses, so a grid
+costs memory for some of its sets at those bars and never copies the panel. Each rule's positions hold the last pulse (sells win); the return of
 a bar belongs to the position before it. Of the sets with the best Sharpe ratio (to nine digits) the first in order is taken:
 with one count of returns for all sets of a symbol, the best Sharpe is the most significant too.
 """
