@@ -38,10 +38,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df as a working table and read it back: cuts lineage, survives lost executors."""
+def stored(spark: SparkSession, df: DataFrame, label: str, few: bool = False) -> tuple[DataFrame, str]:
+    """Write df as a working table and read it back: cuts lineage, survives lost executors.
+
+    few: by an eighth of the partitions, for what costs little to make. On a local disk Hadoop without its native library starts a
+    chmod for each file; until that runs, the executor's memory counts twice."""
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.coalesce(few_tasks(spark)) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -64,6 +67,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few_tasks(spark: SparkSession) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, partitions(spark) // 8)
+
+
 def chunks(batch: pa.RecordBatch, text: int = 1, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about ``limit`` bytes at most (or one row)."""
     col = batch.column(text)
@@ -389,7 +396,7 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "components")
     The driver sees two numbers a round and the hot vertices, or at most FEW_EDGES edges, whose components it finds at once. Each
     star is written to the shared folder, so its lineage ends there.
     """
-    now, path = stored(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    now, path = stored(spark, edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label, few=True)
 
     def checksum(df: DataFrame):
         return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()

@@ -206,8 +206,8 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, words: int
                 sets = [s for s in shingle_sets(b.column(0).to_pylist(), words) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([vertex(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "set"])
 
-    sets, sets_path = C.stored(spark, src.mapInArrow(load, "v bigint, set binary"), "near-sets")
-    fans, fans_path = C.stored(spark, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumn("g", F.ceil(F.col("k") / FAN).cast("long")), "near-fans")
+    sets, sets_path = C.stored(spark, src.mapInArrow(load, "v bigint, set binary"), "near-sets", few=True)
+    fans, fans_path = C.stored(spark, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k")).withColumn("g", F.ceil(F.col("k") / FAN).cast("long")), "near-fans", few=True)
     salted = C.join_spread(spark, pairs.select("a", "b"), fans, "a", "k").select("a", "b", F.pmod(F.xxhash64("b"), F.col("g")).alias("salt"))
     one = sets.withColumnRenamed("v", "a").join(fans, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "set")
     other = salted.join(sets.withColumnRenamed("v", "b"), "b").select("a", "salt", "b", "set")
@@ -229,7 +229,7 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, words: int
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    out, _ = C.stored(spark, dealt.mapInArrow(compare, "a bigint, b bigint"), "near-links")
+    out, _ = C.stored(spark, dealt.mapInArrow(compare, "a bigint, b bigint"), "near-links", few=True)
     C.drop_paths(spark, sets_path, fans_path)
     return out
 
@@ -373,32 +373,32 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     described, _ = C.stored(spark, describe(docs, words, percent), "near-described")
     first = [F.first(c).alias(c) for c in ("idh", "n", "bands", "sketch")]
-    reps, reps_path = C.stored(spark, described.filter("v IS NOT NULL").groupBy("v").agg(*first, F.count(F.lit(1)).alias("copies"), F.min("id").alias("low")), "near-vertices")
+    reps, reps_path = C.stored(spark, described.filter("v IS NOT NULL").groupBy("v").agg(*first, F.count(F.lit(1)).alias("copies"), F.min("id").alias("low")), "near-vertices", few=True)
     used = [reps_path]
 
     # Buckets of two and more vertices, each with a centre: large ones their medoid, others their first vertex.
     members = reps.select("v", F.explode("bands").alias("key"))
-    firsts, path = C.stored(spark, members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("a")).filter("m > 1"), "near-firsts")
+    firsts, path = C.stored(spark, members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("a")).filter("m > 1"), "near-firsts", few=True)
     used.append(path)
-    members, path = C.stored(spark, C.join_spread(spark, members, firsts, "key", "m"), "near-buckets")
+    members, path = C.stored(spark, C.join_spread(spark, members, firsts, "key", "m"), "near-buckets", few=True)
     used.append(path)
     sketches = reps.select("v", "n", "sketch")
     large = medoids(spark, members.filter(F.col("m") >= LARGE).select("key", "v", "m").join(sketches, "v").select("key", "v", "m", "sketch"))
     stars = with_salt(members.filter(F.col("m") >= LARGE).select("key", "v", "m")).drop("m").join(with_every_salt(large), ["key", "salt"]).select("a", F.col("v").alias("b"))
     stars = stars.unionByName(members.filter(F.col("m") < LARGE).select("a", F.col("v").alias("b"))).filter("a <> b").distinct()
-    stars, path = C.stored(spark, stars, "near-stars")
+    stars, path = C.stored(spark, stars, "near-stars", few=True)
     used.append(path)
 
     hashed = lambda c: reps.select(F.col("v").alias(c), F.col("idh").alias(f"h{c}"))
 
     # First round: each vertex confirms its best-estimated link with a centre.
     side = lambda c: reps.select(F.col("v").alias(c), F.col("idh").alias(f"h{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    centres, path = C.stored(spark, side("a").join(stars.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a"), "near-centres")
+    centres, path = C.stored(spark, side("a").join(stars.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "a"), "near-centres", few=True)
     used.append(path)
     stars = C.join_spread(spark, stars, centres, "a", "k").join(side("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     stars = stars.withColumn("z", differing("s_a", "s_b", SAMPLE_WORDS, SKETCH_WORDS)).filter(F.col("z") <= most_in_sets_column(F.col("n_a") + F.col("n_b"), percent))
     stars = stars.filter(differing("s_a", "s_b", 0, SAMPLE_WORDS) <= most_differing(percent))
-    tried, path = C.stored(spark, stars.groupBy("b").agg(F.min(F.struct("z", "a", "ha", "hb")).alias("p")).select(F.col("p.a").alias("a"), "b", "p.ha", "p.hb"), "near-tried")
+    tried, path = C.stored(spark, stars.groupBy("b").agg(F.min(F.struct("z", "a", "ha", "hb")).alias("p")).select(F.col("p.a").alias("a"), "b", "p.ha", "p.hb"), "near-tried", few=True)
     used.append(path)
     links = confirmed(spark, docs, tried, words, percent)
     roots = C.components(spark, links, "near-roots")
@@ -412,11 +412,11 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
         order = Window.partitionBy("x").orderBy("z", "y")
         # Buckets that share members name the same pairs: each goes on once, and of a vertex no more ranks than are looked at.
         ranked = nearest(spark, rows, percent, best).distinct().withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= best + 2)
-        near, near_path = C.stored(spark, ranked, "near-nearest")
+        near, near_path = C.stored(spark, ranked, "near-nearest", few=True)
         rest = not near.filter((F.col("x") == F.col("y")) | (F.col("r") > best + 1)).isEmpty()
         pairs = near.filter((F.col("x") != F.col("y")) & (F.col("r") <= best + 1)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = pairs.join(both_ways(tried), ["a", "b"], "left_anti").join(hashed("a"), "a").join(hashed("b"), "b").select("a", "b", "ha", "hb")
-        pairs, path = C.stored(spark, pairs, "near-pairs")
+        pairs, path = C.stored(spark, pairs, "near-pairs", few=True)
         used.append(path)
         C.drop_paths(spark, near_path)
         best *= 8
@@ -427,16 +427,16 @@ def cluster(spark: SparkSession, docs: DataFrame, words: int = 3, percent: int =
         lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
         joined = C.components(spark, lifted, "near-joined")
         known = roots.unionByName(joined.select("v", F.col("v").alias("root")).join(roots, "v", "left_anti"))
-        roots, path = C.stored(spark, known.join(joined.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("v", F.coalesce("top", "root").alias("root")), "near-roots")
+        roots, path = C.stored(spark, known.join(joined.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("v", F.coalesce("top", "root").alias("root")), "near-roots", few=True)
         used.append(path)
         tried = tried.unionByName(pairs)
 
     # Names: the least id of each component, back to its vertices, and on to their documents.
-    final, path = C.stored(spark, reps.select("v", "copies", "low").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "near-final")
+    final, path = C.stored(spark, reps.select("v", "copies", "low").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v")), "near-final", few=True)
     used.append(path)
-    names, path = C.stored(spark, final.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k")), "near-names")
+    names, path = C.stored(spark, final.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k")), "near-names", few=True)
     used.append(path)
-    named, _ = C.stored(spark, C.join_spread(spark, final, names, "root", "k").select("v", "copies", "component_id"), "near-named")
+    named, _ = C.stored(spark, C.join_spread(spark, final, names, "root", "k").select("v", "copies", "component_id"), "near-named", few=True)
     C.drop_paths(spark, *used)
     rows = described.select("id", "n", "v", "th")
     out = C.join_spread(spark, rows.filter("v IS NOT NULL"), named, "v", "copies").select("id", "n", "th", "component_id")
