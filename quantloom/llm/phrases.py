@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,11 +228,13 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         times = np.bincount(back, n).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(C.to_signed(one[times > 1])), pa.array(times[times > 1])], names=["fp", "n"])
 
-    seeds, seeds_path = C.stored(spark, gather(src.mapInArrow(fingerprints, BLOBS), parts, ("u8", "i4"), count, "fp bigint, n bigint"), "phrase-seeds")
+    # Kept by Spark, not as a working table: it is read right away, and each file that an executor writes starts a process there.
+    seeds = gather(src.mapInArrow(fingerprints, BLOBS), parts, ("u8", "i4"), count, "fp bigint, n bigint").persist(StorageLevel.DISK_ONLY)
     near = C.bitmap(spark, seeds, "fp")
 
     # 2a. Windows with so many occurrences that they are sent to all blocks: at most (all windows) / n_blocks.
     hot_seeds = np.sort(np.array([r["fp"] for r in seeds.filter(F.col("n") >= hot_at).select("fp").toLocalIterator()], np.int64).view(np.uint64))
+    seeds.unpersist()
     hot = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(hot_seeds):
         known = spark.sparkContext.broadcast(hot_seeds)
@@ -345,9 +348,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         if ids:
             yield from finish(ids, texts, times, blobs)
 
-    out = dealt_out.mapInArrow(stream, schema)
-    C.drop_paths(spark, seeds_path)
-    return out
+    return dealt_out.mapInArrow(stream, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quantloom.llm import common as C
-from quantloom.llm import near_dedup
+from quantloom.llm import near_dedup, phrases
 
 
 @pytest.fixture
@@ -44,3 +44,9 @@ def test_few_files_of_near_dedup(spark, written, many_partitions):
     found = near_dedup.cluster(spark, spark.createDataFrame(texts(150), "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, i % 150) for i in range(300)}
     assert max(n for label, n in written if label != "near-described") <= C.few_tasks(spark)
+
+
+def test_no_files_of_phrases(spark, written):
+    got = phrases.dedup(spark, spark.createDataFrame(texts(20), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_removed"]) for r in got} == {(i, 40 * (i >= 20)) for i in range(40)}
+    assert not written
